@@ -47,22 +47,28 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[:n], x[size - width : size - width + n])
 
 
-def segments(hashes: np.ndarray, starts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(hashes: np.ndarray, starts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Maximal runs of windows of one text with one minimizer, the smallest hash of a gram in the window.
 
     hashes: of the words of all texts, one after another; starts: where each text starts, and the end of the last. Gives
-    for each run the text's number, the first window's word in the text, the number of windows and the minimizer. The
-    runs take every window of every text once, and windows with equal words have equal minimizers.
+    for each run the text's number, the first window's word in the text, the number of windows, the minimizer and how
+    often it stands in the run. The runs take every window of every text once, windows with equal words have equal
+    minimizers, and two equal windows have their minimizer at two places.
     """
-    low = sliding_min(gram_hashes(hashes, gram), window - gram + 1) if len(hashes) >= window else np.zeros(0, dtype=np.uint64)
+    none = np.zeros(0, dtype=np.int64)
+    if len(hashes) < window:
+        return none, none, none, none.astype(np.uint64), none
+    grams = gram_hashes(hashes, gram)
+    low = sliding_min(grams, window - gram + 1)
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(low)]
-    inside = np.arange(len(low)) + window <= starts[1:][text]
-    at = np.flatnonzero(inside)
+    at = np.flatnonzero(np.arange(len(low)) + window <= starts[1:][text])
     if not len(at):
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none, np.zeros(0, dtype=np.uint64)
+        return none, none, none, none.astype(np.uint64), none
     new = np.r_[True, (low[at[1:]] != low[at[:-1]]) | (text[at[1:]] != text[at[:-1]]) | (np.diff(at) != 1)]
     first = np.flatnonzero(new)
     count = np.diff(np.r_[first, len(at)])
-    of = text[at[first]]
-    return of, at[first] - starts[of], count, low[at[first]]
+    begin = at[first]
+    held = count + window - gram
+    before = np.r_[0, np.cumsum(held)[:-1]]
+    same = grams[np.repeat(begin - before, held) + np.arange(int(held.sum()))] == np.repeat(low[begin], held)
+    return text[begin], begin - starts[text[begin]], count, low[begin], np.add.reduceat(same.astype(np.int64), before)
