@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules, sharding, simhash, substring_dedup, urls
+from . import decontamination, line_dedup, quality_rules, sharding, simhash, substring_dedup, urls
 from .sql import ORACLE_SQL
 
 
@@ -19,6 +19,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -42,7 +46,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_near_dedup, op4_substring_dedup, op6_quality_rules, op7_line_dedup, op9_hash_tree_sharding, op10_url_filter)
+    found = (op1_simhash_near_dedup, op3_decontamination, op4_substring_dedup, op6_quality_rules, op7_line_dedup, op9_hash_tree_sharding, op10_url_filter)
     return {f.__name__: f for f in found}
 
 
