@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: What the models tell apart; start signs and the end sign besides. Digits are one symbol, the rest is "_".
 ALPHABET = string.ascii_lowercase + "0./-_^$"
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -72,11 +74,12 @@ def judged_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = split.select("*", rule.alias("rule"), verdict.alias("ruled"), symbols(F.col("host"), F.col("path")).alias("s"))
     # what several rules fit together can differ for one string of symbols, so kinds are counted apart
-    strings = rows.groupBy("s").agg(F.count_if(F.col("ruled") == "allow").alias("accepted"), F.count_if(F.col("ruled") == "block").alias("rejected"))
+    strings = saved(rows.groupBy("s").agg(F.count_if(F.col("ruled") == "allow").alias("accepted"), F.count_if(F.col("ruled") == "block").alias("rejected")), "strings")
     cut = F.transform(F.sequence(F.lit(1), F.length("s") - 2), lambda i: F.substring(F.col("s"), i, F.lit(3)))
     each = strings.select("*", F.explode(cut).alias("g"))
-    ratio = log_ratio(each.groupBy("g").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")))
-    scored = each.join(F.broadcast(ratio), "g").groupBy("s").agg(F.avg("ratio").alias("score"), F.first("accepted").alias("accepted"), F.first("rejected").alias("rejected"))  # at most 36,000 short rows
+    grams = saved(each.groupBy("g").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "grams")
+    ratio = F.broadcast(saved(log_ratio(grams), "ratio"))  # at most 36,000 short rows
+    scored = saved(each.join(ratio, "g").groupBy("s").agg(F.avg("ratio").alias("score"), F.first("accepted").alias("accepted"), F.first("rejected").alias("rejected")), "scores")
     n = {k: F.sum(k) for k in ("accepted", "rejected")}
     mean = {k: F.sum(F.col(k) * F.col("score")) / F.nullif(n[k], F.lit(0)) for k in n}
     square = {k: F.sum(F.col(k) * F.col("score") * F.col("score")) / F.nullif(n[k], F.lit(0)) for k in n}
