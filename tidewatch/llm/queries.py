@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, quality_rules, sharding, simhash, substring_dedup, urls
+from . import decontamination, line_dedup, mixing, quality_rules, sharding, simhash, substring_dedup, token_files, urls
 from .sql import ORACLE_SQL
 
 
@@ -19,6 +19,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +40,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_index(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.sharded(_table(spark, sf_dir, "documents"), sharding.tree_for(40), sharding.tree_for(41))
     return out.withColumn("law", F.lit("key"))
@@ -46,7 +60,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_near_dedup, op3_decontamination, op4_substring_dedup, op6_quality_rules, op7_line_dedup, op9_hash_tree_sharding, op10_url_filter)
+    found = (op1_simhash_near_dedup, op2_mixing, op3_decontamination, op4_substring_dedup, op6_quality_rules)
+    found += (op7_line_dedup, op8_token_files, op9_hash_tree_sharding, op10_url_filter)
     return {f.__name__: f for f in found}
 
 
