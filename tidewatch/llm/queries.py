@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, quality_rules, sharding, simhash, substring_dedup, token_files, urls
+from . import decontamination, line_dedup, mixing, quality_rules, rule_ensemble, sharding, simhash, substring_dedup, token_files, urls
 from .sql import ORACLE_SQL
 
 
@@ -31,6 +31,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -60,8 +64,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_near_dedup, op2_mixing, op3_decontamination, op4_substring_dedup, op6_quality_rules)
-    found += (op7_line_dedup, op8_token_files, op9_hash_tree_sharding, op10_url_filter)
+    found = (op1_simhash_near_dedup, op2_mixing, op3_decontamination, op4_substring_dedup, op5_quality_classifier)
+    found += (op6_quality_rules, op7_line_dedup, op8_token_files, op9_hash_tree_sharding, op10_url_filter)
     return {f.__name__: f for f in found}
 
 
