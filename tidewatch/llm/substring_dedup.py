@@ -25,7 +25,7 @@ from .passages import WordHashes, segments
 
 WINDOW, GRAM = 35, 8
 #: A minimizer with more distinct segments than this is dealt out by whole windows instead.
-HOT = 128
+HOT = 1024
 #: Words in one FM-index at most, but for what one key has.
 INDEX_WORDS = 400_000
 
