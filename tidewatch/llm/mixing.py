@@ -120,8 +120,8 @@ def rate_of(p: Column, errors: list[list[float]]) -> Column:
     return F.aggregate(table, F.lit(1.0), step)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
-    """doc_id, n_tokens, posterior, rate and copies of every row of docs(doc_id, text).
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_tokens, posterior, rate and copies of every row of docs(doc_id, text), and the columns to keep.
 
     targets: domain -> weight, of which the shares count; budget: expected tokens of the result, by default those of the
     input. n_tokens counts words. copies is the rate rounded to a whole number: its whole part, and one more if a hash
@@ -133,10 +133,10 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     targets = targets or TARGETS
     names = sorted(targets)
     text = text_or_empty(F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("draw"), features(F.col("text")).alias("buckets"), F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("long").alias("n_tokens"))
+    rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("draw"), features(F.col("text")).alias("buckets"), F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("long").alias("n_tokens"))
     known = domain_of_labels(labels)
     model = learned(rows.join(known, "doc_id").select("domain", "buckets"), names)
-    scored = saved(rows.select("doc_id", "draw", "n_tokens", soft_membership(posteriors(F.col("buckets"), model)).alias("p")), "memberships")
+    scored = saved(rows.select(*keep, "doc_id", "draw", "n_tokens", soft_membership(posteriors(F.col("buckets"), model)).alias("p")), "memberships")
     groups = saved(scored.groupBy("p").agg(F.sum("n_tokens").alias("tokens")), "posteriors")
     total = groups.agg(F.sum("tokens")).first()[0] or 0
     mass = sum(targets.values())
@@ -146,4 +146,4 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     part = F.shiftrightunsigned(F.xxhash64("draw"), 11).cast("double") / 2.0**53
     copies = F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")
     named = F.map_from_arrays(F.array(*[F.lit(d) for d in names]), F.col("p"))
-    return out.select("doc_id", "n_tokens", named.alias("posterior"), "rate", copies.cast("long").alias("copies"))
+    return out.select(*keep, "doc_id", "n_tokens", named.alias("posterior"), "rate", copies.cast("long").alias("copies"))

@@ -74,8 +74,8 @@ def frequent_lines(counts: DataFrame, min_documents: int = MIN_DOCUMENTS, max_sh
 def quality_rules(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The verdict on every row of docs(doc_id, text, host).
 
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and n_words_frequent
-    (words in frequent lines). A document is kept unless the base rules fail it or frequent lines hold so much of it
+    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_words_frequent
+    (words in frequent lines) and row_key, a hash of text and host that tells rows with one doc_id apart. A document is kept unless the base rules fail it or frequent lines hold so much of it
     that less than min_left of its words is left. A null text counts as empty and fails; a null host is a host of its
     own; repeated rows and a null doc_id each get their row; an empty table gives none; other columns are ignored.
     """
@@ -87,7 +87,7 @@ def quality_rules(docs: DataFrame, host: str = "source", min_documents: int = MI
     removed = removed.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "gone")
     out = counts.join(removed, counts["doc_id"].eqNullSafe(removed["d"]) & (counts["row_key"] == removed["k"]), "left").withColumn("n_words_frequent", F.coalesce("gone", F.lit(0).cast("long")))
     depleted = F.col("n_words") - F.col("n_words_frequent") < min_left * F.col("n_words")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "n_words_frequent")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "n_words_frequent", "row_key")
 
 
 def without_frequent_lines(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:

@@ -36,7 +36,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
