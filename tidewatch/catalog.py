@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import aggregates
+
 #: Modules with queries; each has QUERIES and ORACLE_SQL.
-MODULES: tuple = ()
+MODULES = (aggregates,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
