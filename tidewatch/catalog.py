@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import aggregates
+from .plans import aggregates, relations, sequences
 
 #: Modules with queries; each has QUERIES and ORACLE_SQL.
-MODULES = (aggregates,)
+MODULES = (aggregates, sequences, relations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
