@@ -10,6 +10,7 @@ Spark knows will do.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,10 +29,30 @@ SEGMENT_IDS = 8_000_000
 _DOC, _BLOCK = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")]), np.dtype([("n", "<u4"), ("bytes", "<u4"), ("crc", "<u4")])
 
 
+#: Between a letter or digit and a sign the tokenizer always cuts, but for the apostrophe; a cut there makes fewer words.
+_SEAM = re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])")
+
+
+class _Numbers(dict):
+    """A number for each word, given in the order of first use; the words that are new wait in `new`."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        found = self[word] = len(self)
+        return found
+
+
 class WordIds:
-    """The ids of texts by a tokenizer that never joins across ASCII white space, each word encoded once and remembered."""
+    """The ids of texts, each word encoded once and remembered.
 
-    def __init__(self, path: str, remembered: int = 2_000_000) -> None:
+    For tokenizers that lower-case, drop white space and never join letters with signs or what white space parts, as the
+    default one does: then a text's ids are its words' ids, and A-Z can be lower-cased first.
+    """
+
+    def __init__(self, path: str, remembered: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,36 +62,46 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.flat, self.starts, self.lengths, self.used = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-            at, ids = len(self.number), found.ids
-            if at == len(self.starts):
-                self.starts, self.lengths = np.r_[self.starts, np.zeros_like(self.starts)], np.r_[self.lengths, np.zeros_like(self.lengths)]
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[at], self.lengths[at] = self.used, len(ids)
-            self.used += len(ids)
-            self.number[word] = at
+        self.number = _Numbers()
+        self.flat, self.ends = np.zeros(0, dtype=np.uint16), np.zeros(1, dtype=np.int64)
+
+    def _learn(self) -> None:
+        """Encode the new words as one text; a token belongs to the word in which it begins."""
+        words = [w.decode() for w in self.number.new]
+        self.number.new = []
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        begins = np.cumsum([0, *[len(w) + 1 for w in words[:-1]]])
+        at = np.searchsorted(begins, np.array([a for a, _ in found.offsets], dtype=np.int64), side="right") - 1
+        lengths = np.bincount(at, minlength=len(words))
+        self.flat = np.concatenate([self.flat, np.array(found.ids, dtype=np.uint16)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
 
     def of(self, texts: list[bytes], end: int = END_ID) -> list[np.ndarray]:
         """The ids of each text with the end id."""
         if len(self.number) > self.remembered:
             self.forget()
-        split = [t.split() for t in texts]
+        split = [_SEAM.sub(b" ", t.lower()).split() for t in texts]
         words = [w for s in split for w in s]
-        if new := {w for w in words if w not in self.number}:
-            self._learn(sorted(new))
         which = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-        lengths = self.lengths[which]
+        if self.number.new:
+            self._learn()
+        begins = self.ends[which]
+        lengths = self.ends[which + 1] - begins
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[which] - (ends - lengths), lengths) + np.arange(total)]
-        cuts = np.r_[0, ends][np.cumsum([len(s) for s in split])]
-        return [np.append(part, end) for part in np.split(ids, cuts[:-1])]
+        ids = self.flat[np.repeat(begins - (ends - lengths), lengths) + np.arange(total)]
+        cuts = np.concatenate([[0], ends])[np.cumsum([len(s) for s in split])]
+        return [np.append(part, np.uint16(end)) for part in np.split(ids, cuts[:-1])]
+
+
+_WORDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The words that this Python worker remembers, from task to task."""
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path]
 
 
 def packed(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -109,7 +140,7 @@ def written(docs: DataFrame, tokenizer: str, segment_ids: int = SEGMENT_IDS) ->
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, names, ids, size, n, part = WordIds(tokenizer), [], [], 0, 0, 0
+        coder, names, ids, size, n, part = word_ids(tokenizer), [], [], 0, 0, 0
 
         def segment() -> pa.RecordBatch:
             values = (part, n, len(ids), size, packed(names, ids))
@@ -122,7 +153,7 @@ def written(docs: DataFrame, tokenizer: str, segment_ids: int = SEGMENT_IDS) ->
                 part = batch.column(2)[0].as_py()
                 for name, found in zip(batch.column(0).to_pylist(), coder.of(batch.column(1).to_pylist()), strict=True):
                     names.append(name)
-                    ids.append(found.astype(np.uint16))
+                    ids.append(found)
                     size += len(found)
                     if size >= segment_ids:
                         yield segment()
