@@ -49,7 +49,7 @@ def log_ratio(grams: DataFrame) -> DataFrame:
     for kind in ("accepted", "rejected"):
         n = out.groupBy("c").agg(F.sum(kind).alias("n"))
         total = n.agg(F.sum("n").alias("all"), F.count_if(F.col("n") > 0).alias("kinds"))
-        none = n.crossJoin(total).select("c", ((F.col("n") + F.col("kinds") / len(ALPHABET)) / (F.col("all") + F.col("kinds"))).alias("p0"))  # one row of totals
+        none = n.crossJoin(total).select("c", F.coalesce(F.try_divide(F.col("n") + F.col("kinds") / len(ALPHABET), F.col("all") + F.col("kinds")), F.lit(1 / len(ALPHABET))).alias("p0"))  # one row of totals
         pairs = out.groupBy("b", "c", "bc").agg(F.sum(kind).alias("n"))
         after = pairs.groupBy("b").agg(F.sum("n").alias("all"), F.count_if(F.col("n") > 0).alias("kinds"))
         one = pairs.join(after, "b").join(none, "c").select("bc", F.when(F.col("all") > 0, (F.col("n") + F.col("kinds") * F.col("p0")) / (F.col("all") + F.col("kinds"))).otherwise(F.col("p0")).alias("p1"))
