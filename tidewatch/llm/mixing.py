@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_or_empty
+from .common import let, saved, text_or_empty
 
 #: Word features are hashed into so many buckets; tokens of evidence at which a posterior stops sharpening.
 BUCKETS, EVIDENCE = 4096, 300.0
@@ -78,13 +78,16 @@ def posteriors(buckets: Column, model: dict[str, tuple[float, list[float]]]) ->
 
 def soft_membership(logits: Column) -> Column:
     """Softmax of an array of logits, rounded down to multiples of 1 / GRID; the largest gets what is left."""
-    top = F.array_max(logits)
-    mass = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(mass, F.lit(0.0), lambda s, x: s + x)
-    floors = F.transform(mass, lambda x: F.floor(x / total * GRID))
-    rest = F.lit(GRID) - F.aggregate(floors, F.lit(0).cast("long"), lambda s, x: s + x)
-    first = F.array_position(logits, top).cast("int") - 1
-    return F.transform(floors, lambda x, i: ((x + F.when(i == first, rest).otherwise(0)) / GRID).cast("double"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+    def shares(values: Column) -> Column:
+        first = F.array_position(values, F.array_max(values)) - 1
+        mass = let(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))
+        floors = let(mass, lambda m: let(total(m), lambda t: F.transform(m, lambda x: F.floor(x / t * GRID).cast("double"))))
+        filled = let(floors, lambda f: F.transform(f, lambda x, i: x + F.when(i == first, GRID - total(f)).otherwise(0.0)))
+        return F.transform(filled, lambda x: x / GRID)
+
+    return let(logits, shares)
 
 
 def fitted_rates(groups: DataFrame, targets: Sequence[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[float]:
@@ -134,6 +137,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     names = sorted(targets)
     text = text_or_empty(F.col("text"))
     rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("draw"), features(F.col("text")).alias("buckets"), F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("long").alias("n_tokens"))
+    rows = saved(rows, "features")
     known = domain_of_labels(labels)
     model = learned(rows.join(known, "doc_id").select("domain", "buckets"), names)
     scored = saved(rows.select(*keep, "doc_id", "draw", "n_tokens", soft_membership(posteriors(F.col("buckets"), model)).alias("p")), "memberships")
