@@ -117,7 +117,7 @@ def seq_trend_split(spark, sf):
     """Win rate of the first 70 % of a wallet's positions against the rest."""
     w = Window.partitionBy("wallet")
     rows = t.fills(spark, sf).select("wallet", "win", F.row_number().over(w.orderBy(*_FILL)).alias("i"), F.count("*").over(w).alias("n")).filter("n >= 10")
-    early = F.col("i") <= F.floor(F.col("n") * 0.7)
+    early = F.col("i") * 10 <= F.col("n") * 7
     a = rows.groupBy("wallet").agg(F.avg(F.when(early, F.col("win").cast("double"))).alias("a"), F.avg(F.when(~early, F.col("win").cast("double"))).alias("b"))
     change = r((F.col("b") - F.col("a")) * 100, 5)
     return a.select("wallet", r("a", 6).alias("early"), r("b", 6).alias("late"), F.when(change > 5, "improving").when(change < -5, "declining").otherwise("stable").alias("trend"))
@@ -203,7 +203,7 @@ ORACLE_SQL = {
     "seq_sliding_windows": t.sql("trades", "SELECT market, s AS window_start, count(*) AS n, count(DISTINCT wallet) AS wallets, round(sum(usd), 4) AS usd, count(*) FILTER (side = 'BUY') AS buys FROM (SELECT x.*, unnest(range(greatest(0, ceil((ts_ms - f - 3600000) / 600000)::BIGINT), (ts_ms - f) // 600000 + 1)) * 600000 + f AS s FROM trades x JOIN (SELECT market, min(ts_ms) AS f FROM trades GROUP BY market) USING (market)) GROUP BY market, s HAVING count(*) >= 4 AND count(DISTINCT wallet) >= 3"),
     "seq_drawdown": t.sql("fills", f"SELECT wallet, round(arg_max(c, ({_O})), 2) AS total, round(max(p - c), 2) AS drawdown FROM (SELECT *, greatest(max(c) OVER (PARTITION BY wallet ORDER BY {_O} ROWS UNBOUNDED PRECEDING), 0) AS p FROM (SELECT *, sum(pnl) OVER (PARTITION BY wallet ORDER BY {_O} ROWS UNBOUNDED PRECEDING) AS c FROM fills)) GROUP BY wallet"),
     "seq_cumulative_pnl": t.sql("fills", "SELECT wallet, day, round(pnl, 2) AS pnl, round(sum(pnl) OVER (PARTITION BY wallet ORDER BY day), 2) AS running FROM (SELECT wallet, ts_ms // 86400000 * 86400000 AS day, sum(pnl) AS pnl FROM fills GROUP BY ALL)"),
-    "seq_trend_split": t.sql("fills", f"SELECT wallet, round(a, 6) AS early, round(b, 6) AS late, CASE WHEN round((b - a) * 100, 5) > 5 THEN 'improving' WHEN round((b - a) * 100, 5) < -5 THEN 'declining' ELSE 'stable' END AS trend FROM (SELECT wallet, avg(win::INT) FILTER (i <= floor(n * 0.7)) AS a, avg(win::INT) FILTER (i > floor(n * 0.7)) AS b FROM (SELECT wallet, win, row_number() OVER (PARTITION BY wallet ORDER BY {_O}) AS i, count(*) OVER (PARTITION BY wallet) AS n FROM fills) WHERE n >= 10 GROUP BY wallet)"),
+    "seq_trend_split": t.sql("fills", f"SELECT wallet, round(a, 6) AS early, round(b, 6) AS late, CASE WHEN round((b - a) * 100, 5) > 5 THEN 'improving' WHEN round((b - a) * 100, 5) < -5 THEN 'declining' ELSE 'stable' END AS trend FROM (SELECT wallet, avg(win::INT) FILTER (i * 10 <= n * 7) AS a, avg(win::INT) FILTER (i * 10 > n * 7) AS b FROM (SELECT wallet, win, row_number() OVER (PARTITION BY wallet ORDER BY {_O}) AS i, count(*) OVER (PARTITION BY wallet) AS n FROM fills) WHERE n >= 10 GROUP BY wallet)"),
     "seq_ranks": t.sql("fills", "SELECT wallet, rate, rank, round(coalesce((total - rank) * 100.0 / nullif(total - 1, 0), 100)::DOUBLE, 5) AS percentile FROM (SELECT *, row_number() OVER (ORDER BY rate DESC, n DESC, wallet) AS rank, count(*) OVER () AS total FROM (SELECT wallet, count(*) AS n, round(avg(win::INT), 6) AS rate FROM fills GROUP BY wallet HAVING count(*) >= 5))"),
     "seq_volume_trend": t.sql("trades", "SELECT market, s AS slope, CASE WHEN s > 0.1 THEN 'increasing' WHEN s < -0.1 THEN 'decreasing' ELSE 'stable' END AS trend FROM (SELECT market, round(coalesce(regr_slope(v, day) / nullif(avg(v), 0), 0), 6) AS s FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY day DESC) AS i FROM (SELECT market, ts_ms // 86400000 AS day, sum(usd) AS v FROM trades GROUP BY ALL)) WHERE i <= 5 GROUP BY market)"),
     "seq_first_trades": t.sql("trades", "SELECT wallet, trade_id, usd, round(usd / m, 5) AS multiple, round(CASE WHEN s > 0 THEN (usd - m) / s ELSE 0 END, 5) AS z, round(CASE WHEN s > 0 THEN (usd - m) / s ELSE 0 END, 5) >= 2 AS outlier FROM (SELECT *, avg(usd) OVER () AS m, stddev_pop(usd) OVER () AS s FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY ts_ms, trade_id) AS i FROM trades) WHERE i = 1)"),
