@@ -29,7 +29,7 @@ def test_held_out_quality(tables):
 def test_compiled_rules_equal_a_plain_reading(spark, tables):
     docs, labels = tables
     known = labels.filter(~re_.held_out(labels.doc_id)).select("doc_id", "quality")
-    rules = re_.trained(docs.select("doc_id", "text").join(known, "doc_id"))
+    rules = re_.trained(docs.select("doc_id", "text"), known)
     assert 0 < len(rules.rules) < 200 and re_.Rules.from_json(rules.to_json()) == rules
     stats = docs.limit(200).select("doc_id", *[c.cast("double").alias(n) for n, c in re_.statistics(docs.text).items()]).collect()
     score = {r.doc_id: r.score for r in re_.scored(docs, rules).collect()}
@@ -49,6 +49,11 @@ def test_statistics_equal_a_plain_count(spark, sf_dir):
         assert all(math.isclose(out[d][k], v, abs_tol=1e-9) for k, v in want.items())
 
 
+def test_sample_is_bounded(spark):
+    known = spark.range(5000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    assert re_.sampled(known, 100).count() == 100 and re_.sampled(known, 9000).count() == 5000
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "fine words in a line"), (3, "fine words in a line"), (None, "*** $$$"), (4, "a b " * 20000)]
     docs = spark.createDataFrame([(*r, 0.1, "x") for r in rows], "doc_id long, text string, score double, symbols string")

@@ -91,14 +91,26 @@ def paths(model) -> set[tuple[Condition, ...]]:
     return found
 
 
-def trained(marked: DataFrame, most_rows: int = MOST_ROWS) -> Rules:
-    """Rules from marked(text, quality) with quality 0 or 1; other rows are left out.
+def sampled(known: DataFrame, most_rows: int) -> DataFrame:
+    """The rows of known(doc_id, quality) with the smallest hashes of doc_id, `most_rows` at most.
 
-    At most `most_rows` rows train, those with the smallest hashes of their text, each class weighing the same. With one
-    class only, or none, there are no rules and the score is the share of label 1, or one half.
+    A cut at twice the share that is wanted comes first, so that what tasks send to be ordered doesn't grow with them.
     """
-    rows = marked.filter("quality in (0, 1)").select(F.col("quality").cast("double").alias("label"), "text").withColumn("h", F.xxhash64("text"))
-    rows = rows.orderBy("h").limit(most_rows)
+    n = known.count()
+    drawn = known.withColumn("h", F.xxhash64("doc_id"))
+    share = min(1.0, 2 * most_rows / max(1, n))
+    return drawn.filter(F.pmod("h", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).orderBy(F.pmod("h", F.lit(1 << 20)), "h", "doc_id").limit(most_rows).select("doc_id", F.col("quality").cast("double").alias("label"))
+
+
+def trained(docs: DataFrame, known: DataFrame, most_rows: int = MOST_ROWS) -> Rules:
+    """Rules from docs(doc_id, text) and known(doc_id, quality) with quality 0 or 1; other rows are left out.
+
+    At most `most_rows` labels train, those with the smallest hashes of their doc_id, each class weighing the same; their
+    ids are broadcast to the documents, so that no text is shuffled. With one class only, or none, there are no rules
+    and the score is near that class, or one half.
+    """
+    few = F.broadcast(saved(sampled(known.filter("quality in (0, 1)"), most_rows), "chosen"))  # most_rows rows of two numbers
+    rows = docs.join(few, "doc_id")
     rows = saved(rows.select("label", *[c.alias(n) for n, c in statistics(F.col("text")).items()]), "training")
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(n) < 2:
@@ -143,5 +155,5 @@ def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_
     Labels that are not 0 or 1 and labels without a document are left out; a null doc_id is never held out nor trains.
     """
     known = labels.filter(~held_out(F.col("doc_id"))).filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rules = trained(docs.select("doc_id", "text").join(known, "doc_id"), most_rows)
+    rules = trained(docs.select("doc_id", "text"), known, most_rows)
     return scored(docs, rules).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
