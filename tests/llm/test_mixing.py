@@ -88,4 +88,5 @@ def test_edge_cases(spark):
     assert len(out) == 6 and all(abs(sum(r.posterior.values()) - 1) < 1e-9 and r.rate >= 0 for r in out)
     assert len({(r.rate, r.copies) for r in out if r.doc_id == 3}) == 1
     assert mixing.mixed(docs, labels.limit(0)).count() == 6
+    assert mixing.mixed(docs, labels, most_rows=1).count() == 6
     assert mixing.mixed(docs.limit(0), labels).count() == 0

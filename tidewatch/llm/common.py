@@ -61,6 +61,17 @@ def dropped(df: DataFrame) -> None:
     at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sampled(known: DataFrame, most_rows: int) -> DataFrame:
+    """The rows of known(doc_id, ...) with the smallest hashes of doc_id, `most_rows` at most.
+
+    A cut at twice the share that is wanted comes first, so that what tasks send to be ordered doesn't grow with them.
+    """
+    n = known.count()
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    share = min(1.0, 2 * most_rows / max(1, n))
+    return known.filter(draw < F.lit(int(share * (1 << 20)) + 1)).orderBy(draw, F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Column arrays of each run of equal integer keys, from batches in which equal keys stand together."""
     held: dict[str, np.ndarray] | None = None

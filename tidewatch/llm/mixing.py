@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, saved, text_or_empty
+from .common import let, sampled, saved, text_or_empty
 
 #: Word features are hashed into so many buckets; tokens of evidence at which a posterior stops sharpening.
 BUCKETS, EVIDENCE = 4096, 300.0
@@ -20,6 +20,8 @@ BUCKETS, EVIDENCE = 4096, 300.0
 GRID = 32
 #: Projected-gradient steps at most, and the relative error of all domain totals at which they end.
 STEPS, TOLERANCE = 30, 5e-3
+#: Labelled documents that may train the classifier, those with the smallest hashes of their doc_id.
+MOST_ROWS = 20_000
 #: Production targets: domain -> share of tokens. Domains are quality and toxicity labels.
 TARGETS = {"q1t0": 0.9, "q1t1": 0.02, "q0t0": 0.07, "q0t1": 0.01}
 
@@ -123,11 +125,12 @@ def rate_of(p: Column, errors: list[list[float]]) -> Column:
     return F.aggregate(table, F.lit(1.0), step)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, keep: Sequence[str] = (), most_rows: int = MOST_ROWS) -> DataFrame:
     """doc_id, n_tokens, posterior, rate and copies of every row of docs(doc_id, text), and the columns to keep.
 
     targets: domain -> weight, of which the shares count; budget: expected tokens of the result, by default those of the
-    input. n_tokens counts words. copies is the rate rounded to a whole number: its whole part, and one more if a hash
+    input. At most `most_rows` labels train the classifier; they are broadcast to the documents, so that no text or
+    feature is shuffled; rates and totals cover every document. n_tokens counts words. copies is the rate rounded to a whole number: its whole part, and one more if a hash
     of doc_id and text falls below the rest, so that expected totals hold and a rerun decides alike. A domain without
     labels still has its prior; targets that no nonnegative rates meet are met as closely as least squares can. Null and
     empty texts have no tokens and the prior as posterior; a null doc_id is hashed like any other; repeated rows get
@@ -138,8 +141,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     text = text_or_empty(F.col("text"))
     rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("draw"), features(F.col("text")).alias("buckets"), F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("long").alias("n_tokens"))
     rows = saved(rows, "features")
-    known = domain_of_labels(labels)
-    model = learned(rows.join(known, "doc_id").select("domain", "buckets"), names)
+    few = F.broadcast(saved(sampled(domain_of_labels(labels), most_rows), "chosen"))  # most_rows short rows
+    model = learned(rows.join(few, "doc_id").select("domain", "buckets"), names)
     scored = saved(rows.select(*keep, "doc_id", "draw", "n_tokens", soft_membership(posteriors(F.col("buckets"), model)).alias("p")), "memberships")
     groups = saved(scored.groupBy("p").agg(F.sum("n_tokens").alias("tokens")), "posteriors")
     total = groups.agg(F.sum("tokens")).first()[0] or 0

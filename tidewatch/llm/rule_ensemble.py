@@ -15,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, let, saved, text_or_empty
+from .common import GAP, let, sampled, saved, text_or_empty
 
 #: Labelled rows that may train the rules, by the smallest hashes; trees, their depth, the lasso's weight.
 MOST_ROWS, TREES, DEPTH, LASSO, SEED = 20_000, 20, 3, 0.002, 7
@@ -91,17 +91,6 @@ def paths(model) -> set[tuple[Condition, ...]]:
     return found
 
 
-def sampled(known: DataFrame, most_rows: int) -> DataFrame:
-    """The rows of known(doc_id, quality) with the smallest hashes of doc_id, `most_rows` at most.
-
-    A cut at twice the share that is wanted comes first, so that what tasks send to be ordered doesn't grow with them.
-    """
-    n = known.count()
-    drawn = known.withColumn("h", F.xxhash64("doc_id"))
-    share = min(1.0, 2 * most_rows / max(1, n))
-    return drawn.filter(F.pmod("h", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).orderBy(F.pmod("h", F.lit(1 << 20)), "h", "doc_id").limit(most_rows).select("doc_id", F.col("quality").cast("double").alias("label"))
-
-
 def trained(docs: DataFrame, known: DataFrame, most_rows: int = MOST_ROWS) -> Rules:
     """Rules from docs(doc_id, text) and known(doc_id, quality) with quality 0 or 1; other rows are left out.
 
@@ -109,7 +98,8 @@ def trained(docs: DataFrame, known: DataFrame, most_rows: int = MOST_ROWS) -> Ru
     ids are broadcast to the documents, so that no text is shuffled. With one class only, or none, there are no rules
     and the score is near that class, or one half.
     """
-    few = F.broadcast(saved(sampled(known.filter("quality in (0, 1)"), most_rows), "chosen"))  # most_rows rows of two numbers
+    known = known.filter("quality in (0, 1)").select("doc_id", F.col("quality").cast("double").alias("label"))
+    few = F.broadcast(saved(sampled(known, most_rows), "chosen"))  # most_rows rows of two numbers
     rows = docs.join(few, "doc_id")
     rows = saved(rows.select("label", *[c.alias(n) for n, c in statistics(F.col("text")).items()]), "training")
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
