@@ -143,7 +143,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert tuple(files.merged(old, new, "id", "at", ["price"]).first()) == (1, 2, 5.0, "y")
 
 
-@pytest.mark.parametrize("name", ["ml_wallet_clusters", "ml_isolation_forest", "ml_density_clusters", "stream_windowed_volume", "stream_bursts", "stream_spikes", "seq_regularity", "seq_down_sampled"])
+@pytest.mark.parametrize("name", ["ml_wallet_clusters", "ml_isolation_forest", "ml_density_clusters", "ml_elbow", "stream_windowed_volume", "stream_bursts", "stream_spikes", "seq_regularity", "seq_down_sampled"])
 def test_queries_without_sql_give_rows(spark, sf_dir, name):
     from tidewatch import catalog
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import aggregates, detectors, models, relations, sequences
+from .plans import aggregates, detectors, models, outcomes, relations, sequences
 
 #: Modules with queries; each has QUERIES and ORACLE_SQL.
-MODULES = (aggregates, sequences, relations, detectors, models)
+MODULES = (aggregates, sequences, relations, detectors, outcomes, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

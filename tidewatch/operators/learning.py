@@ -97,3 +97,16 @@ def isolation_scores(rows: DataFrame, key: str, columns: Sequence[str], trees: i
             yield pd.DataFrame({key: b[key], "score": 2.0 ** (-np.mean([t.paths(x) for t in forest], axis=0) / scale)})
 
     return few.mapInPandas(score, f"{key} {rows.schema[key].dataType.simpleString()}, score double")
+
+
+def elbow(rows: DataFrame, columns: Sequence[str], least: int, most: int, seed: int = 1) -> DataFrame:
+    """(k, inertia, chosen) for each number of clusters: chosen is where the fall in inertia slows down most, the least
+    number if it nowhere does. The features are assembled and cached once for all fits; one number a fit comes back."""
+    steps = [VectorAssembler(inputCols=list(columns), outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_features", withMean=True)]
+    ready = Pipeline(stages=steps).fit(rows).transform(rows).select("_features").cache()
+    cost = [float(KMeans(k=k, seed=seed, featuresCol="_features").fit(ready).summary.trainingCost) for k in range(least, most + 1)]
+    ready.unpersist()
+    slows = {least + i: cost[i - 1] - 2 * cost[i] + cost[i + 1] for i in range(1, len(cost) - 1)}
+    best = max(slows, key=slows.get, default=least)
+    best = best if slows.get(best, 0) > 0 else least
+    return rows.sparkSession.createDataFrame([(least + i, c, least + i == best) for i, c in enumerate(cost)], "k int, inertia double, chosen boolean")

@@ -69,3 +69,40 @@ def best_threshold(rows: DataFrame, score: str, y: str, grid: Sequence[float]) -
     hit = F.col(score) >= F.col("threshold")
     a = c.groupBy("threshold").agg(F.sum(F.when(hit & (F.col(y) == 1), F.col("k")).otherwise(0)).alias("tp"), F.sum(F.when(hit & (F.col(y) == 0), F.col("k")).otherwise(0)).alias("fp"), F.sum(F.when(~hit & (F.col(y) == 1), F.col("k")).otherwise(0)).alias("fn"))
     return a.select("threshold", F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("f1"))
+
+
+def mapped(p: Column, curve: Sequence[tuple[float, float]], a: float = -1.0, b: float = 0.0, temperature: float = 1.5, powers: tuple[float, float] = (1.2, 0.9)) -> dict[str, Column]:
+    """A probability under each way of calibration: Platt's sigmoid, a temperature on the logit, the beta family, and a
+    curve of ascending points, joined by straight lines."""
+    logit = F.ln(p / (1 - p + 1e-10))
+    up, down = F.pow(p, F.lit(powers[0])), F.pow(1 - p, F.lit(powers[1]))
+    lines = [F.when(p <= x1, y0 + (p - x0) / (x1 - x0) * (y1 - y0)) for (x0, y0), (x1, y1) in zip(curve, curve[1:], strict=False)]
+    return {"platt": 1 / (1 + F.exp(a * p + b)), "temperature": 1 / (1 + F.exp(-logit / temperature)), "beta": F.try_divide(up, up + down), "isotonic": F.coalesce(*lines, F.lit(float(curve[-1][1])))}
+
+
+def contiguous_folds(rows: DataFrame, chunk: str, order: Sequence[str], k: int) -> DataFrame:
+    """rows with `fold`, 0 to k - 1: runs of floor(n / k) rows in this order; the rows after the last run are dropped.
+
+    chunk is a column that rises with the order. Rows are numbered within their chunk, and the counts of the chunks
+    before are added, so that only one row a chunk is ever in one task.
+    """
+    counts = rows.groupBy(chunk).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(chunk).alias("_chunk"), before.alias("_before"), F.floor(F.sum("_n").over(Window.partitionBy(F.lit(1))) / k).alias("_size"))
+    at = F.col("_before") + F.row_number().over(Window.partitionBy(chunk).orderBy(*order)) - 1
+    placed = rows.join(starts, F.col(chunk).eqNullSafe(F.col("_chunk"))).withColumn("fold", F.floor(F.try_divide(at, F.col("_size"))))
+    return placed.filter(F.col("fold") < k).drop("_chunk", "_before", "_size")
+
+
+def signal_pairs(signals: DataFrame, key: str, pairs: Sequence[tuple[str, str, float, float]], least: float = 0.3, factor: float = 0.15) -> DataFrame:
+    """(key, first, second, strength, boost) of each configured pair (first, second, level, weight) whose values both
+    reach the level: the mean of how alike they are and of how far above it, 50 points being the most."""
+    values = signals.filter("value is not null").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("signal", "value"))).alias("v"))
+    each = F.array(*[F.struct(F.lit(f).alias("first"), F.lit(s).alias("second"), F.lit(float(at)).alias("level"), F.lit(float(w)).alias("weight")) for f, s, at, w in pairs])
+    j = values.select(key, "v", F.inline(each)).select(key, "first", "second", "level", "weight", F.col("v")[F.col("first")].alias("a"), F.col("v")[F.col("second")].alias("b"))
+    j = j.filter((F.col("a") >= F.col("level")) & (F.col("b") >= F.col("level")))
+    most = F.greatest("a", "b")
+    alike = F.when(most > 0, 1 - F.abs(F.col("a") - F.col("b")) / most).otherwise(0.0)
+    above = F.least(F.lit(1.0), (F.col("a") + F.col("b") - 2 * F.col("level")) / 2 / 50)
+    j = j.withColumn("strength", (above + alike) / 2)
+    return j.select(key, "first", "second", "strength", F.when(F.col("strength") >= least, (F.col("a") + F.col("b")) / 2 * F.col("strength") * factor * F.col("weight")).otherwise(0.0).alias("boost"))

@@ -72,7 +72,7 @@ def det_history_depth(spark, sf):
     return a.select("wallet", r(100 * (0.3 * cap("n", 500.0) + 0.25 * cap("m", 200.0) + 0.25 * cap("usd", 2e7) + 0.2 * cap("span", 2.5e11)), 4).alias("depth"))
 
 
-def _signals(spark, sf):
+def signals(spark, sf):
     """Long table of signals from 0 to 100 a wallet, null where they can't be told."""
     a = t.fills(spark, sf).groupBy("wallet").agg(F.count("*").alias("n"), F.avg(F.col("win").cast("double")).alias("wins"), F.max("usd").alias("most"), F.avg("usd").alias("mean"), F.countDistinct("market").alias("m"), F.avg((F.col("side") == "BUY").cast("double")).alias("buys"))
     values = {"win_rate": F.col("wins") * 100, "size": F.least(F.col("most") / 1000, F.lit(100.0)), "focus": 100 - F.least(F.try_divide("m", "n") * 50, F.lit(100.0)), "lean": F.abs(F.col("buys") - 0.5) * 200, "activity": F.when(F.col("n") >= 5, F.least(F.col("n") / 5, F.lit(100.0)))}
@@ -83,7 +83,7 @@ WEIGHTS = {"win_rate": 0.3, "size": 0.2, "focus": 0.2, "lean": 0.1, "activity":
 
 
 def score_composite(spark, sf):
-    out = scoring.composite(_signals(spark, sf), "wallet", WEIGHTS, 3)
+    out = scoring.composite(signals(spark, sf), "wallet", WEIGHTS, 3)
     return out.select("wallet", "signals", r("raw", 4).alias("raw"), "boosted", stats.ladder(F.col("boosted"), [(80, "critical"), (60, "high"), (40, "medium"), (20, "low")], "minimal").alias("level"))
 
 
@@ -109,35 +109,36 @@ def score_signal_effectiveness(spark, sf):
     return a.select("category", "side", "n", r(F.try_divide("hits", "n"), 6).alias("accuracy"), r(F.try_divide(F.try_divide("hits", "n"), F.try_divide("all_hits", "all_n")), 6).alias("lift"), r(low, 6).alias("low"), r(high, 6).alias("high"), r(z, 5).alias("z")).withColumn("significant", F.abs("z") >= 1.96)
 
 
-def _predicted(spark, sf):
+def predicted(spark, sf):
+    """A probability p of each fill from its size, and its outcome y."""
     f = t.fills(spark, sf)
     return f.select(F.least(F.greatest(r(F.col("usd") / 110_000, 2), F.lit(0.01)), F.lit(0.99)).alias("p"), F.col("win").cast("int").alias("y"), "ts_ms", "wallet", "order_id", "line")
 
 
 def cal_scores(spark, sf):
-    return scoring.calibration(_predicted(spark, sf), "p", "y").select("n", r("brier", 6).alias("brier"), r("log_loss", 6).alias("log_loss"), r("rate", 6).alias("rate"))
+    return scoring.calibration(predicted(spark, sf), "p", "y").select("n", r("brier", 6).alias("brier"), r("log_loss", 6).alias("log_loss"), r("rate", 6).alias("rate"))
 
 
 def cal_reliability(spark, sf):
-    return scoring.reliability(_predicted(spark, sf), "p", "y").select("bin", "n", r("predicted", 6).alias("predicted"), r("observed", 6).alias("observed"))
+    return scoring.reliability(predicted(spark, sf), "p", "y").select("bin", "n", r("predicted", 6).alias("predicted"), r("observed", 6).alias("observed"))
 
 
 def cal_auc(spark, sf):
-    return scoring.auc(_predicted(spark, sf), "p", "y").select(r("auc", 6).alias("auc"))
+    return scoring.auc(predicted(spark, sf), "p", "y").select(r("auc", 6).alias("auc"))
 
 
 def cal_confusion(spark, sf):
-    out = scoring.confusion(_predicted(spark, sf), F.col("p") >= 0.5, "y")
+    out = scoring.confusion(predicted(spark, sf), F.col("p") >= 0.5, "y")
     return out.select("tp", "fp", "fn", "tn", *[r(c, 6).alias(c) for c in ("precision", "recall", "f1", "f2", "mcc")])
 
 
 def cal_thresholds(spark, sf):
-    return scoring.best_threshold(_predicted(spark, sf), "p", "y", [x / 100 for x in range(10, 95, 5)]).select("threshold", r("f1", 6).alias("f1"))
+    return scoring.best_threshold(predicted(spark, sf), "p", "y", [x / 100 for x in range(10, 95, 5)]).select("threshold", r("f1", 6).alias("f1"))
 
 
 def cal_walk_forward(spark, sf):
     """Test folds of 180 days after 365 days of training, at most ten: accuracy of a fixed threshold in each."""
-    p = _predicted(spark, sf)
+    p = predicted(spark, sf)
     first = p.agg(F.min("ts_ms").alias("first"))
     day = p.crossJoin(F.broadcast(first)).withColumn("fold", F.floor((F.col("ts_ms") - F.col("first") - 365 * t.DAY) / (180 * t.DAY)))  # one row
     return day.filter("fold between 0 and 9").groupBy("fold").agg(F.count("*").alias("n"), r(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")), 6).alias("accuracy"))
@@ -213,7 +214,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _LEVELS = ",l AS (SELECT f.market AS book, CASE WHEN price < m THEN 'bid' ELSE 'ask' END AS side, floor(price) AS price, sum(size) AS size FROM fills f JOIN (SELECT market, median(price) AS m FROM fills GROUP BY market) USING (market) WHERE price != m GROUP BY ALL)"
-_P = ",q AS (SELECT least(greatest(round(usd / 110000, 2), 0.01), 0.99) AS p, win::INT AS y, ts_ms FROM fills)"
+PREDICTED = ",q AS (SELECT least(greatest(round(usd / 110000, 2), 0.01), 0.99) AS p, win::INT AS y, ts_ms, wallet, order_id, line FROM fills)"
 _HOURLY = ",v AS (SELECT market, ts_ms // 3600000 * 3600000 AS hour, sum(usd) AS v FROM trades GROUP BY ALL)"
 _BEST = "CASE WHEN side = 'bid' THEN -price ELSE price END"
 
@@ -236,12 +237,12 @@ ORACLE_SQL = {
     "score_signal_effectiveness": t.sql("fills markets", """,a AS (SELECT category, side, count(*)::DOUBLE AS n, count(*) FILTER (win)::DOUBLE AS h FROM fills JOIN markets USING (market) GROUP BY ALL), b AS (SELECT *, sum(n) OVER (PARTITION BY category) AS an, sum(h) OVER (PARTITION BY category) AS ah, h / n AS p FROM a),
         c AS (SELECT *, (h / n - (ah - h) / (an - n)) / sqrt(ah / an * (1 - ah / an) * (1 / n + 1 / (an - n))) AS z, 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n) AS half, (p + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) AS mid FROM b)
         SELECT category, side, n::BIGINT AS n, round(p, 6) AS accuracy, round(p / (ah / an), 6) AS lift, round(greatest(mid - half, 0), 6) AS low, round(least(mid + half, 1), 6) AS high, coalesce(round(z, 5), 0) AS z, abs(coalesce(round(z, 5), 0)) >= 1.96 AS significant FROM c"""),
-    "cal_scores": t.sql("fills", _P + " SELECT count(*) AS n, round(avg((p - y) ^ 2), 6) AS brier, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) AS log_loss, round(avg(y), 6) AS rate FROM q"),
-    "cal_reliability": t.sql("fills", _P + " SELECT b AS bin, count(p) AS n, round(avg(p), 6) AS predicted, round(avg(y), 6) AS observed FROM (SELECT unnest(range(10)) AS b) LEFT JOIN q ON least(floor(p * 10), 9) = b GROUP BY b"),
-    "cal_auc": t.sql("fills", _P + " SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT p, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM q GROUP BY p))"),
-    "cal_confusion": t.sql("fills", _P + ",c AS (SELECT count(*) FILTER (p >= 0.5 AND y = 1) AS tp, count(*) FILTER (p >= 0.5 AND y = 0) AS fp, count(*) FILTER (p < 0.5 AND y = 1) AS fn, count(*) FILTER (p < 0.5 AND y = 0) AS tn FROM q) SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(5 * tp / (5 * tp + 4 * fn + fp), 6) AS f2, round((tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM c"),
-    "cal_thresholds": t.sql("fills", _P + " SELECT threshold, round(coalesce(2 * count(*) FILTER (p >= threshold AND y = 1) / (2 * count(*) FILTER (p >= threshold AND y = 1) + count(*) FILTER (p >= threshold AND y = 0) + count(*) FILTER (p < threshold AND y = 1)), 0), 6) AS f1 FROM q, (SELECT unnest(range(10, 95, 5)) / 100 AS threshold) GROUP BY threshold"),
-    "cal_walk_forward": t.sql("fills", _P + " SELECT fold, count(*) AS n, round(avg(((p >= 0.5)::INT = y)::INT), 6) AS accuracy FROM (SELECT *, floor((ts_ms - f - 365 * 86400000::BIGINT) / (180 * 86400000::BIGINT))::BIGINT AS fold FROM q, (SELECT min(ts_ms) AS f FROM q)) WHERE fold BETWEEN 0 AND 9 GROUP BY fold"),
+    "cal_scores": t.sql("fills", PREDICTED + " SELECT count(*) AS n, round(avg((p - y) ^ 2), 6) AS brier, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) AS log_loss, round(avg(y), 6) AS rate FROM q"),
+    "cal_reliability": t.sql("fills", PREDICTED + " SELECT b AS bin, count(p) AS n, round(avg(p), 6) AS predicted, round(avg(y), 6) AS observed FROM (SELECT unnest(range(10)) AS b) LEFT JOIN q ON least(floor(p * 10), 9) = b GROUP BY b"),
+    "cal_auc": t.sql("fills", PREDICTED + " SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT p, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM q GROUP BY p))"),
+    "cal_confusion": t.sql("fills", PREDICTED + ",c AS (SELECT count(*) FILTER (p >= 0.5 AND y = 1) AS tp, count(*) FILTER (p >= 0.5 AND y = 0) AS fp, count(*) FILTER (p < 0.5 AND y = 1) AS fn, count(*) FILTER (p < 0.5 AND y = 0) AS tn FROM q) SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(5 * tp / (5 * tp + 4 * fn + fp), 6) AS f2, round((tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM c"),
+    "cal_thresholds": t.sql("fills", PREDICTED + " SELECT threshold, round(coalesce(2 * count(*) FILTER (p >= threshold AND y = 1) / (2 * count(*) FILTER (p >= threshold AND y = 1) + count(*) FILTER (p >= threshold AND y = 0) + count(*) FILTER (p < threshold AND y = 1)), 0), 6) AS f1 FROM q, (SELECT unnest(range(10, 95, 5)) / 100 AS threshold) GROUP BY threshold"),
+    "cal_walk_forward": t.sql("fills", PREDICTED + " SELECT fold, count(*) AS n, round(avg(((p >= 0.5)::INT = y)::INT), 6) AS accuracy FROM (SELECT *, floor((ts_ms - f - 365 * 86400000::BIGINT) / (180 * 86400000::BIGINT))::BIGINT AS fold FROM q, (SELECT min(ts_ms) AS f FROM q)) WHERE fold BETWEEN 0 AND 9 GROUP BY fold"),
     "book_stats": t.sql("fills", _LEVELS + f" SELECT book, max(price) FILTER (side = 'bid') AS bid, min(price) FILTER (side = 'ask') AS ask, round(coalesce(sum(size) FILTER (side = 'bid' AND i <= 5), 0), 3) AS bids, round(coalesce(sum(size) FILTER (side = 'ask' AND i <= 5), 0), 3) AS asks, round(min(price) FILTER (side = 'ask') - max(price) FILTER (side = 'bid'), 6) AS spread, round((min(price) FILTER (side = 'ask') + max(price) FILTER (side = 'bid')) / 2, 6) AS middle, round(coalesce(sum(size) FILTER (side = 'bid' AND i <= 5), 0) / nullif(coalesce(sum(size) FILTER (side = 'ask' AND i <= 5), 0), 0), 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY book, side ORDER BY {_BEST}) AS i FROM l) GROUP BY book"),
     "book_depth": t.sql("fills", _LEVELS + f",g AS (SELECT book, side, CASE WHEN side = 'bid' THEN floor(price / 100) ELSE ceil(price / 100) END * 100.0::DOUBLE AS price, sum(size) AS size, count(*) AS levels FROM l GROUP BY ALL) SELECT book, side, price, levels, row_number() OVER w AS place, round(sum(size) OVER w, 3) AS depth, round(sum(price * size) OVER w, 3) AS value FROM g WINDOW w AS (PARTITION BY book, side ORDER BY {_BEST})"),
     "book_fill_price": t.sql("fills", _LEVELS + " SELECT book, round(sum(k * price) / sum(k), 5) AS average, max(price) AS worst FROM (SELECT *, greatest(least(size, 100 - (sum(size) OVER (PARTITION BY book ORDER BY price) - size)), 0) AS k FROM l WHERE side = 'ask') WHERE k > 0 GROUP BY book HAVING sum(k) >= 100 - 1e-9"),

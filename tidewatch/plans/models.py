@@ -31,6 +31,10 @@ def ml_density_clusters(spark, sf):
     return learning.density_clusters(scaled, "wallet", "mean", "wins", 0.05, 4)
 
 
+def ml_elbow(spark, sf):
+    return learning.elbow(_features(spark, sf), FEATURES, 2, 8)
+
+
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     """Events as a stream of the table's files. A single parquet file is read through its folder, by name."""
     folder, name = sf, "events.parquet"
@@ -60,5 +64,5 @@ def stream_spikes(spark, sf):
     return _drained(streaming.spikes(streaming.deduplicated(_stream(spark, sf)), late=None), "spikes")
 
 
-QUERIES = {f.__name__: f for f in (ml_wallet_clusters, ml_isolation_forest, ml_density_clusters, stream_windowed_volume, stream_bursts, stream_spikes)}
+QUERIES = {f.__name__: f for f in (ml_wallet_clusters, ml_isolation_forest, ml_density_clusters, ml_elbow, stream_windowed_volume, stream_bursts, stream_spikes)}
 ORACLE_SQL: dict[str, str] = {}
