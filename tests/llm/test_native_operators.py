@@ -64,6 +64,13 @@ def test_copies_do_not_make_a_line_frequent(spark):
     assert quality_rules.quality_rules(docs).filter("kept").count() == 60
 
 
+def test_a_longest_line_that_many_documents_share_is_frequent(spark):
+    licence = " ".join(f"licence{k}" for k in range(40))
+    docs = spark.createDataFrame([(i, f"own words {i}\n{licence}", "h") for i in range(60)], "doc_id long, text string, source string")
+    out = quality_rules.quality_rules(docs).collect()
+    assert [r.n_words_frequent for r in out] == [40] * 60 and not any(r.kept for r in out)
+
+
 def lines_left(rows):
     docs = sorted({(d, t or "") for d, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     places = defaultdict(list)

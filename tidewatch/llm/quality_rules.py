@@ -35,7 +35,7 @@ def repeated_starts(hashes: Column) -> Column:
 
 
 def base_counts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One row a document: doc_id, host, row_key, the base counts, its lines as (hash, words) and its longest line's hash."""
+    """One row a document: doc_id, host, row_key, the base counts and its lines as (hash, words)."""
     text = text_or_empty(F.col("text"))
     step = docs.select(F.col("doc_id").cast("long"), F.col(host).alias("host"), text.alias("text"), words_of(F.col("text")).alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("raw"))
     n = F.size("words")
@@ -43,7 +43,6 @@ def base_counts(docs: DataFrame, host: str = "source") -> DataFrame:
     step = step.select("*", windows.alias("windows"))
     repeats = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), covered_words(repeated_starts(F.col("windows")), WINDOW)).otherwise(0)
     lines = F.transform("raw", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("w"), F.length(x).alias("c")))
-    longest = F.array_max(F.transform("raw", lambda x: F.struct(F.length(normal_line(x)), F.xxhash64(normal_line(x)).alias("h"))))["h"]
     return step.select(
         "doc_id",
         "host",
@@ -54,20 +53,19 @@ def base_counts(docs: DataFrame, host: str = "source") -> DataFrame:
         (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long").alias("n_dup_lines"),
         repeats.cast("long").alias("n_repeat_words"),
         F.transform(lines, lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"))).alias("lines"),
-        longest.alias("longest"),
     ).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def frequent_lines(counts: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
     """(host, h, n_docs) of the lines above both limits; counts: from base_counts.
 
-    Documents are told apart by their longest line, so that copies of one document count once: a line that stands in
-    many copies of one text isn't boilerplate. Each line is first reduced to one row a host and document; a line in a
-    third of all documents is summed up before the shuffle.
+    Documents are told apart by their whole text (row_key), so that exact copies count once: a line that stands in many
+    copies of one text isn't boilerplate. Each line is first reduced to one row a host and document; a line in a third
+    of all documents is summed up before the shuffle.
     """
-    held = counts.select("host", "longest", F.explode("lines").alias("x")).select("host", "longest", F.col("x.h").alias("h"))
-    by_line = held.groupBy("host", "h", "longest").agg(F.lit(1)).groupBy("host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_documents)
-    by_host = counts.groupBy("host", "longest").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("n_host"))
+    held = counts.select("host", "row_key", F.explode("lines").alias("x")).select("host", "row_key", F.col("x.h").alias("h"))
+    by_line = held.groupBy("host", "h", "row_key").agg(F.lit(1)).groupBy("host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_documents)
+    by_host = counts.groupBy("host", "row_key").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("n_host"))
     return by_line.join(by_host, by_line["host"].eqNullSafe(by_host["host"])).filter(F.col("n_docs") > max_share * F.col("n_host")).select(by_line["host"], "h", "n_docs")
 
 
@@ -96,7 +94,7 @@ def without_frequent_lines(docs: DataFrame, host: str = "source", min_documents:
     Hashes of a document's frequent lines come back to it as one array, which its own lines bound. Null and empty texts
     stay as they are.
     """
-    counts = saved(base_counts(docs, host).select("doc_id", "row_key", "host", "longest", "lines"), "quality")
+    counts = saved(base_counts(docs, host).select("doc_id", "row_key", "host", "lines"), "quality")
     often = frequent_lines(counts, min_documents, max_share).withColumnRenamed("host", "on")
     at = counts.select("doc_id", "row_key", "host", F.explode("lines").alias("x")).select("doc_id", "row_key", "host", "x.h")
     hit = at.join(often, (at["h"] == often["h"]) & at["host"].eqNullSafe(often["on"]), "left_semi")
