@@ -90,3 +90,18 @@ def test_edge_cases(spark):
     assert mixing.mixed(docs, labels.limit(0)).count() == 6
     assert mixing.mixed(docs, labels, most_rows=1).count() == 6
     assert mixing.mixed(docs.limit(0), labels).count() == 0
+
+
+def test_each_domain_meets_its_own_target_by_exact_posteriors(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1.5, (3000, 4)) + [1, -1, 4, 0]
+    docs = spark.createDataFrame([(int(n), [float(v) for v in row]) for n, row in zip(rng.integers(20, 3000, len(x)), x, strict=True)], "n_tokens long, x array<double>")
+    rows = docs.select("n_tokens", mixing.soft_membership(docs.x).alias("p"), "x")
+    target = np.array([0.07, 0.01, 0.9, 0.02]) * rows.toPandas().n_tokens.sum()
+    errors = mixing.fitted_rates(rows, target.tolist())
+    out = rows.withColumn("rate", mixing.rate_of("p", errors)).toPandas()
+    e = np.exp(np.stack(out.x))
+    p = e / e.sum(1, keepdims=True)
+    assert np.allclose(np.stack(out.p), p, atol=1e-12)
+    reached = ((out.rate * out.n_tokens).to_numpy()[:, None] * p).sum(0)
+    assert np.abs(reached / target - 1).max() < 0.02

@@ -16,10 +16,12 @@ from .common import let, sampled, saved, text_or_empty
 
 #: Word features are hashed into so many buckets; tokens of evidence at which a posterior stops sharpening.
 BUCKETS, EVIDENCE = 4096, 300.0
-#: Posteriors are multiples of 1 / GRID; documents with one posterior share a rate, as the gradient gives them the same.
+#: Posteriors are exact; 3 / GRID is what a test of them allows.
 GRID = 32
 #: Projected-gradient steps at most, and the relative error of all domain totals at which they end.
 STEPS, TOLERANCE = 30, 5e-3
+#: Newton steps at most, for targets that the gradient has not met by then.
+NEWTON = 20
 #: Labelled documents that may train the classifier, those with the smallest hashes of their doc_id.
 MOST_ROWS = 20_000
 #: Production targets: domain -> share of tokens. Domains are quality and toxicity labels.
@@ -62,7 +64,7 @@ def learned(marked: DataFrame, domains: Sequence[str]) -> dict[str, tuple[float,
 
 
 def posteriors(buckets: Column, model: dict[str, tuple[float, list[float]]]) -> Column:
-    """Posterior of each domain as an array in the model's order, in multiples of 1 / GRID that sum to 1.
+    """Logits of each domain as an array in the model's order.
 
     Log likelihoods are scaled by EVIDENCE / (EVIDENCE + words), so that a long text is no surer than its mean word
     makes it; without words the posterior is the prior.
@@ -79,50 +81,61 @@ def posteriors(buckets: Column, model: dict[str, tuple[float, list[float]]]) ->
 
 
 def soft_membership(logits: Column) -> Column:
-    """Softmax of an array of logits, rounded down to multiples of 1 / GRID; the largest gets what is left."""
+    """Softmax of an array of logits."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    mass = let(logits, lambda x: let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top))))
+    return let(mass, lambda m: let(total(m), lambda t: F.transform(m, lambda x: x / t)))
 
-    def shares(values: Column) -> Column:
-        first = F.array_position(values, F.array_max(values)) - 1
-        mass = let(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))
-        floors = let(mass, lambda m: let(total(m), lambda t: F.transform(m, lambda x: F.floor(x / t * GRID).cast("double"))))
-        filled = let(floors, lambda f: F.transform(f, lambda x, i: x + F.when(i == first, GRID - total(f)).otherwise(0.0)))
-        return F.transform(filled, lambda x: x / GRID)
 
-    return let(logits, shares)
-
-
-def fitted_rates(groups: DataFrame, targets: Sequence[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[float]:
+def fitted_rates(rows: DataFrame, targets: Sequence[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
     """The rate of a posterior follows from the errors returned, one array of domains a step: see rate_of.
 
-    groups(p, tokens): tokens of all documents with posterior p. The objective is the sum over domains of the squared
-    error of its total over its total at rate 1; steps are taken in the metric in which a document weighs its tokens,
-    where the gradient of a rate is the posterior times the errors, and the projection is a cut at 0. In this scale the
-    Hessian's rows sum to 1, so that a step of 1 never overshoots.
+    rows(p, n_tokens): posterior and tokens of every document; each step is one pass that only sums. The objective is
+    the sum over domains of the squared error of its total over its total at rate 1; steps are taken in the metric in
+    which a document weighs its tokens, where the gradient of a rate is the posterior times the errors, and the
+    projection is a cut at 0. In this scale the Hessian's rows sum to 1, so that a step of 1 never overshoots. Small
+    domains converge slowly: what is left after `steps` goes by Newton steps over the documents with a rate above 0, of
+    which only the domains x domains sums come to the driver, as long as they lessen the worst error.
     """
+    import numpy as np
+
     k = len(targets)
     errors: list[list[float]] = []
     base = None
-    for _ in range(steps + 1):
-        rated = groups.withColumn("rate", rate_of(F.col("p"), errors))
-        sums = rated.agg(*[F.sum(F.col("tokens") * F.col("rate") * F.get("p", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
-        now = [x or 0.0 for x in sums]
+    least = None
+    for n in range(steps + NEWTON + 1):
+        rated = rows.select("p", "n_tokens", rate_of("p", errors).alias("rate"))
+        shares = [F.get("p", F.lit(i)) for i in range(k)]
+        sums = [F.sum(F.col("n_tokens") * F.col("rate") * x) for x in shares]
+        if n >= steps:
+            sums += [F.sum(F.when(F.col("rate") > 0, F.col("n_tokens") * x * y)) for x in shares for y in shares]
+        found = [x or 0.0 for x in rated.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()]
+        now = found[:k]
         base = base or now
         off = [(s - t) / b if b else 0.0 for s, t, b in zip(now, targets, base, strict=True)]
-        if len(errors) == steps or max((abs(o) * b / t if t else abs(o) for o, b, t in zip(off, base, targets, strict=True)), default=0) < tolerance:
+        worst = max((abs(o) * b / t if t else abs(o) for o, b, t in zip(off, base, targets, strict=True)), default=0)
+        if least is not None and worst >= least:
+            return errors[:-1]
+        if worst < tolerance or n == steps + NEWTON:
             return errors
-        errors.append(off)
+        if n < steps:
+            errors.append(off)
+            continue
+        least = worst
+        scale = np.sqrt([b or 1.0 for b in base])
+        hessian = np.array(found[k:]).reshape(k, k) / np.outer(scale, scale)
+        left = np.array([s - t for s, t in zip(now, targets, strict=True)]) / scale
+        errors.append((np.linalg.lstsq(hessian, left, rcond=1e-9)[0] / scale).tolist())
     return errors
 
 
-def rate_of(p: Column, errors: list[list[float]]) -> Column:
-    """The rate that the steps with these errors give a posterior: from 1, each step subtracts the expected error and
-    cuts at 0."""
-    if not errors:
-        return F.lit(1.0)
-    table = F.from_json(F.lit(str(errors)), "array<array<double>>")
-    step = lambda r, e: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(p, e, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
-    return F.aggregate(table, F.lit(1.0), step)
+def rate_of(p: str, errors: list[list[float]]) -> Column:
+    """The rate that the steps with these errors give a posterior in column p: from 1, each step subtracts the expected
+    error and cuts at 0."""
+    rate = "1D"
+    for e in errors:  # in SQL, which is compiled; functions on arrays are not
+        rate = f"greatest(0D, {rate} - (" + " + ".join(f"{p}[{i}] * ({x!r}D)" for i, x in enumerate(e)) + "))"
+    return F.expr(rate)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, keep: Sequence[str] = (), most_rows: int = MOST_ROWS) -> DataFrame:
@@ -144,12 +157,10 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     few = F.broadcast(saved(sampled(domain_of_labels(labels), most_rows), "chosen"))  # most_rows short rows
     model = learned(rows.join(few, "doc_id").select("domain", "buckets"), names)
     scored = saved(rows.select(*keep, "doc_id", "draw", "n_tokens", soft_membership(posteriors(F.col("buckets"), model)).alias("p")), "memberships")
-    groups = saved(scored.groupBy("p").agg(F.sum("n_tokens").alias("tokens")), "posteriors")
-    total = groups.agg(F.sum("tokens")).first()[0] or 0
+    total = scored.agg(F.sum("n_tokens")).first()[0] or 0
     mass = sum(targets.values())
-    errors = fitted_rates(groups, [targets[d] / mass * (budget or total) for d in names])
-    rates = saved(groups.select("p", F.xxhash64("p").alias("pk"), rate_of(F.col("p"), errors).alias("rate")), "rates")
-    out = scored.withColumn("pk", F.xxhash64("p")).join(rates.select("pk", "rate"), "pk")
+    errors = fitted_rates(scored, [targets[d] / mass * (budget or total) for d in names])
+    out = scored.withColumn("rate", rate_of("p", errors))
     part = F.shiftrightunsigned(F.xxhash64("draw"), 11).cast("double") / 2.0**53
     copies = F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")
     named = F.map_from_arrays(F.array(*[F.lit(d) for d in names]), F.col("p"))
