@@ -38,6 +38,22 @@ def test_seeds_hit_any_twenty_tokens_with_four_substituted():
         assert any(not set(gone) & {m + o for m in mask} for mask in dc.MASKS for o in range(15))
 
 
+def test_seeds_hit_items_of_every_length_within_tolerance():
+    for n in range(1, 21):
+        for gone in itertools.combinations(range(n), n - -(-4 * n // 5) if n >= dc.MIN_TOKENS else 0):
+            assert any(not set(gone) & {m + o for m in mask} for mask in dc.masks_for(n) for o in range(n - max(mask)))
+
+
+def test_short_items_are_found(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (1, 3, 4, 7, 8, 10, 11, 12, 15)]
+    swapped = {8: {2}, 10: {3, 6}, 11: {3, 6}, 12: {4, 7}, 15: {4, 5, 8}, 7: {3}}
+    text = {n: t.split() for n, t in items}
+    docs = [(n, f"before {t} after") for n, t in items] + [(100 + n, t) for n, t in items]
+    docs += [(200 + n, " ".join("x" if k in gone else w for k, w in enumerate(text[n]))) for n, gone in swapped.items()]
+    found = got(dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert found == {(d + n, n): n for n, _ in items for d in (0, 100)} | {(200 + n, n): n - len(gone) for n, gone in swapped.items() if n >= 8}
+
+
 def test_against_brute_force(spark, sf_dir):
     docs = duckdb.sql(f"select doc_id, text from '{sf_dir}/documents.parquet' order by n_chars limit 150").fetchall()
     items = duckdb.sql(f"select item_id, text from '{sf_dir}/benchmark.parquet'").fetchall()
