@@ -1,8 +1,10 @@
 import zlib
+from functools import cache
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +17,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def brute(rows):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     out, start = [], 0
     for d, text in sorted(rows, key=lambda r: r[0]):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
@@ -24,6 +25,11 @@ def brute(rows):
     return out
 
 
+@cache
+def library_of(path):
+    return Tokenizer.from_file(path)
+
+
 def got(df):
     return sorted(tuple(r) for r in df.select("doc_id", "start", "n_tokens", "ids_crc32").collect())
 
@@ -60,10 +66,29 @@ def test_repeated_ids_take_little_room():
     assert sum(map(len, id_coder.encoded(np.tile(np.arange(40), 1000)))) < 12_000
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("aAbt's.,$# \n\u00a0\u0301éÉß日ﬁ1９"), st.characters(codec="utf-8"))) | st.sampled_from(["a <|endoftext|> b", "A<|endoftext|>", "<|ENDOFTEXT|>"]), max_size=6))
+def test_ids_are_those_of_the_library(name, texts):
+    path = public_tokenizers.path(name)
+    flat, counts = token_files.text_ids(path).of(pa.array(texts, pa.string()))
+    library = library_of(path)
+    want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])][: len(texts)] == want
+
+
+def test_forgotten_words_are_learned_again():
+    few, texts = token_files.TextIds(PATH, remembered=5), [["some words here", "some more"], ["some words that are new"], ["words here", "some"]]
+    for t in texts * 2:
+        flat, _ = few.of(pa.array(t))
+        assert flat.tolist() == [i for x in t for i in [*few.tokenizer.encode(x).ids, 1]]
+
+
 def test_damage_is_noticed():
-    payload = bytearray(token_files.packed([7, None], [np.arange(300), np.arange(5)]))
-    names, ids = token_files.unpacked(bytes(payload))
-    assert names == [7, None] and [len(x) for x in ids] == [300, 5]
+    flat = np.arange(305)
+    payload = bytearray(token_files.packed(pa.array([7, None], pa.int64()), flat, np.array([300, 5])))
+    names, ids, counts = token_files.unpacked(bytes(payload))
+    assert names.to_pylist() == [7, None] and counts.tolist() == [300, 5] and (ids == flat).all()
     payload[-3] ^= 1
     with pytest.raises(ValueError, match="damaged"):
         token_files.unpacked(bytes(payload))

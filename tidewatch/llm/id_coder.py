@@ -4,8 +4,11 @@ Three models predict each id: order 2 and order 1 remember the id that last foll
 counts ids by their high byte and by their low byte given the high one. They are mixed as weights: how often each of
 them was right after the last two outcomes gives the shares of the interval that order 2's id, order 1's id and order
 0's distribution get. An arithmetic coder narrows its interval to the share of the best model that is right. Each block
-starts from the same state and adapts to itself alone, so it can be read without any other. Blocks of equal length go
-through the coder side by side, as lanes of arrays; all state is integer, so that any machine reads what another wrote.
+starts from the same state and adapts to itself alone, so it can be read without any other. Blocks go through the coder
+side by side, as lanes of arrays; all state is integer, so that any machine reads what another wrote.
+
+Weights and counts take effect at the ends of frames of 64 ids, as shares of powers of two, so that an id is coded by
+one shift, two products and a sum, and all else is worked out for a frame at a time.
 """
 
 from __future__ import annotations
@@ -14,11 +17,59 @@ import numpy as np
 
 #: Ids in a block, and ids there can be.
 BLOCK, IDS = 4096, 1 << 16
-_SLOTS, _GROUPS, _OUTCOMES = 12, 16, 3
-#: The interval is below WHOLE wide; 16 bits are written as soon as it is below LEAST.
-_WHOLE, _LEAST, _DIGIT = 1 << 60, 1 << 44, 44
-#: Where order 0's distribution is drawn anew from its counts, and how often the models' weights are halved if large.
-_REDRAW, _HALVE, _HEAVY = {16, 64, 160, 320, 640, 1280, 2560}, 64, 4000
+#: Contexts that a block remembers, as bits; groups of high bytes with low-byte counts of their own; models.
+_SLOTS, _GROUPS, _OUTCOMES = 10, 4, 3
+#: Bits of the shares of models and of a byte; of all that one id is coded by.
+_SHARE, _BYTE = 12, 11
+_ALL = _SHARE + 2 * _BYTE
+#: The interval is below 2**_WHOLE wide; a digit of 24 bits is written as soon as it is below 2**_LEAST.
+_WHOLE, _DIGIT = 61, 24
+_LEAST = _WHOLE - _DIGIT
+#: Ends of frames, those where order 0's distribution is drawn anew, and the weight above which a model's is halved.
+_FRAMES = [0, 16, 32, *range(64, BLOCK + 1, 64)]
+_REDRAW, _HEAVY = {64, 320, 1280}, 4000
+#: Sums of 256 counts and their total, filled up to whole rows of 16.
+_ROW = 272
+
+
+class _Shares:
+    """Counts of bytes by row and, as shares of 2**_BYTE, their running sums."""
+
+    def __init__(self, rows: int) -> None:
+        self.counts = np.zeros((rows, 256), dtype=np.uint16)
+        self.sums = np.full((rows, _ROW), 1 << _BYTE, dtype=np.uint16)
+        self.sums[:, 0] = 0
+        self.redraw()
+
+    def count(self, row: np.ndarray, byte: np.ndarray) -> None:
+        np.add.at(self.counts.ravel(), row * 256 + byte, np.uint16(1))  # of another type it would be slow
+
+    def redraw(self) -> None:
+        for at in range(0, len(self.counts), 4096):
+            sums = np.cumsum(self.counts[at : at + 4096] + np.float32(1), axis=1, dtype=np.float32)
+            each = np.float32((1 << _BYTE) - 256) / sums[:, -1:]
+            self.sums[at : at + 4096, 1:256] = (sums[:, :-1] * each).astype(np.uint16) + np.arange(1, 256, dtype=np.uint16)
+        self.coarse = np.ascontiguousarray(self.sums[:, 0:256:16])
+        self.fine = self.sums.reshape(-1, 16)
+        self.flat = self.sums.ravel()
+
+    def of(self, row: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the bytes' shares begin, and how large they are."""
+        at = row * _ROW + byte
+        begin = self.flat.take(at).astype(np.int64)
+        return begin, self.flat.take(at + 1) - begin
+
+    def found(self, row: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The byte of each row into whose share v falls: the row's 16 sixteenths first, then 16 bytes."""
+        v = v.astype(np.uint16)[:, None]
+        part = _set(self.coarse.take(row, axis=0) <= v)
+        return part * 16 + _set(self.fine.take(row * (_ROW // 16) + part, axis=0) <= v)
+
+
+def _set(below: np.ndarray) -> np.ndarray:
+    """How many of 16 flags are set, less one."""
+    two = np.bitwise_count(below.view(np.uint64))
+    return two[:, 0].astype(np.int64) + two[:, 1] - 1
 
 
 class _Lanes:
@@ -26,171 +77,176 @@ class _Lanes:
 
     def __init__(self, lanes: int) -> None:
         self.lane = np.arange(lanes)
-        self.base = self.lane << _SLOTS
-        self.weight_base = self.lane * 27
+        self.base, self.row = self.lane << _SLOTS, self.lane * 9
         self.next1, self.next2 = (np.zeros(lanes << _SLOTS, dtype=np.uint16) for _ in range(2))
-        self.weights = np.tile(np.array([8, 4, 20], dtype=np.int32), lanes * 9)
-        self.before, self.last1, self.last2 = (np.zeros(lanes, dtype=np.int64) for _ in range(3))
-        self.high, self.low = np.zeros((lanes, 256), dtype=np.uint16), np.zeros((lanes * _GROUPS, 256), dtype=np.uint16)
-        self.high_sums, self.low_sums = (np.zeros((len(x), 257), dtype=np.uint16) for x in (self.high, self.low))
-        self.redraw()
-        self.width = np.full(lanes, _WHOLE - 1)
-
-    def redraw(self) -> None:
-        np.cumsum(self.high + 1, axis=1, out=self.high_sums[:, 1:], dtype=np.uint16)
-        np.cumsum(self.low + 1, axis=1, out=self.low_sums[:, 1:], dtype=np.uint16)
-
-    def predict(self, k: int) -> tuple[np.ndarray, ...]:
-        """The ids of orders 1 and 2 in the first k lanes, and the weights of orders 2, 1 and 0."""
-        mixed = self.last1[:k] * 40503
-        self.slot1 = (mixed >> 4 & (1 << _SLOTS) - 1) + self.base[:k]
-        self.slot2 = (mixed + self.last2[:k] * 30029 >> 4 & (1 << _SLOTS) - 1) + self.base[:k]
-        self.row = self.weight_base[:k] + self.before[:k] * _OUTCOMES
-        return self.next1[self.slot1], self.next2[self.slot2], self.weights[self.row], self.weights[self.row + 1], self.weights[self.row + 2]
-
-    def learn(self, t: int, k: int, ids: np.ndarray, outcome: np.ndarray) -> None:
-        self.weights[self.row + outcome] += 24
-        if t % _HALVE == 0:
-            rows = self.weights.reshape(-1, _OUTCOMES)
-            large = rows.sum(1) > _HEAVY
-            rows[large] = rows[large] >> 1 | 1
-        self.before[:k] = self.before[:k] % _OUTCOMES * _OUTCOMES + outcome
-        self.next1[self.slot1] = ids
-        self.next2[self.slot2] = ids
-        self.last2[:k] = self.last1[:k]
-        self.last1[:k] = ids
+        self.weights = np.tile(np.array([8, 4, 20], dtype=np.int64), (lanes * 9, 1))
+        self.high, self.low = _Shares(lanes), _Shares(lanes * _GROUPS)
+        self.width = np.full(lanes, (1 << _WHOLE) - 1)
+        self.shares()
+
+    def shares(self) -> None:
+        """The shares of order 2, and of orders 2 and 1, of 2**_ALL."""
+        heavy = self.weights.sum(1) > _HEAVY
+        self.weights[heavy] = self.weights[heavy] >> 1 | 1
+        each = 1 + self.weights[:, :2] * ((1 << _SHARE) - _OUTCOMES) // self.weights.sum(1, keepdims=True)
+        self.share2, self.both = each[:, 0] << 2 * _BYTE, each.sum(1) << 2 * _BYTE
+
+    def slots(self, last1: np.ndarray, last2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mixed = last1 * 40503
+        return (mixed >> 4 & (1 << _SLOTS) - 1) + self.base, (mixed + last2 * 30029 >> 4 & (1 << _SLOTS) - 1) + self.base
+
+    def end_of_frame(self, t: int, rows: np.ndarray, outcomes: np.ndarray, lane: np.ndarray, rest: np.ndarray) -> None:
+        """Learn from a frame that ends before t: which models were right in which rows of weights, and order 0's ids by lane."""
+        np.add.at(self.weights.ravel(), rows * _OUTCOMES + outcomes, 24)
+        self.shares()
+        self.high.count(lane, rest >> 8)
+        self.low.count(lane * _GROUPS + (rest >> 8 & _GROUPS - 1), rest & 255)
         if t in _REDRAW:
-            self.redraw()
-
-    def count(self, rest: np.ndarray, hi: np.ndarray, row: np.ndarray, lo: np.ndarray) -> None:
-        self.high[rest, hi] += 1
-        self.low[row, lo] += 1
+            self.high.redraw()
+            self.low.redraw()
 
 
 def encoded(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """The blocks of a sequence of ids; all but the last hold `block` ids."""
+    """The blocks of a sequence of ids; all but the last hold `block` ids, and the last one of several is filled with zeros."""
     n = len(ids)
     if not n:
         return []
     if int(ids.max()) >= IDS or block > BLOCK:
         raise ValueError(f"ids must be below {IDS} and blocks hold {BLOCK} at most")
     lanes = -(-n // block)
-    table = np.zeros(lanes * block, dtype=np.int64)
+    table = np.zeros(lanes * block, dtype=np.uint16)
     table[:n] = ids
+    steps = block if lanes > 1 else n
     table = np.ascontiguousarray(table.reshape(lanes, block).T)
-    state, last, at = _Lanes(lanes), n - (lanes - 1) * block, np.zeros(lanes, dtype=np.int64)
-    out, filled = np.zeros((lanes, 3 * block + 8), dtype=np.uint16), np.zeros(lanes, dtype=np.int64)
-
-    def carried(of: np.ndarray) -> None:
-        at[of] -= _WHOLE
-        place = filled[of] - 1
-        while len(of):
-            out[of, place] += 1
-            over = out[of, place] == 0
-            of, place = of[over], place[over] - 1
-
-    for t in range(block if lanes > 1 else last):
-        k = lanes if t < last else lanes - 1
-        x, width = table[t, :k], state.width[:k]
-        c1, c2, w2, w1, w0 = state.predict(k)
-        is2 = x == c2
-        is1 = (x == c1) & ~is2
-        both = w2 + w1
-        unit = width // (both + w0)
-        at[:k] += np.where(is2, 0, np.where(is1, w2, both)) * unit
-        width[:] = np.where(is2, w2, np.where(is1, w1, w0)) * unit
-        outcome = 2 - is1 - 2 * is2
-        rest = np.flatnonzero(outcome == 2)
-        if len(rest):
-            xr, wide, low = x[rest], width[rest], at[rest]
-            hi, lo = xr >> 8, xr & 255
-            row = rest * _GROUPS + hi % _GROUPS
-            for sums, of, c in ((state.high_sums, rest, hi), (state.low_sums, row, lo)):
-                flat, i = sums.ravel(), of * 257
-                begin = flat[i + c].astype(np.int64)
-                unit = wide // flat[i + 256]
-                low += begin * unit
-                wide = (flat[i + c + 1] - begin) * unit
-            at[rest], width[rest] = low, wide
-            state.count(rest, hi, row, lo)
-        state.learn(t, k, x, outcome)
-        if len(of := np.flatnonzero(at[:k] >= _WHOLE)):
-            carried(of)
-        of = np.flatnonzero(width < _LEAST)
-        while len(of):
-            low = at[of]
-            out[of, filled[of]] = low >> _DIGIT
-            filled[of] += 1
-            at[of] = (low & _LEAST - 1) << 16
-            wide = width[of] << 16
-            width[of] = wide
-            of = of[wide < _LEAST]
-    for _ in range(4):
-        out[state.lane, filled] = at >> _DIGIT
-        filled += 1
-        at = (at & _LEAST - 1) << 16
-    return [out[i, : filled[i]].astype("<u2").tobytes() for i in range(lanes)]
-
-
-def _found(flat: np.ndarray, base: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The symbol of each row of running sums into which v falls."""
-    at = base.copy()
-    for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        at += step * (flat[at + step] <= v)
-    return at - base
+    state, at = _Lanes(lanes), np.zeros(lanes, dtype=np.int64)
+    size = 2 * block + 8
+    out, filled = np.zeros(lanes * size, dtype=np.uint32), state.lane * size
+    width, unit, moved = state.width, np.empty_like(at), np.empty_like(at)
+    before = np.zeros((2, lanes), dtype=np.int64)  # the last two outcomes and, below, ids
+    last = np.zeros((2, lanes), dtype=np.int64)
+
+    def digit(of: np.ndarray) -> None:
+        low = at[of]
+        place = filled[of[low >> _WHOLE > 0]] - 1
+        while len(place):  # a carry runs on through digits that overflow
+            more = out[place] + np.uint32(1) & np.uint32((1 << _DIGIT) - 1)
+            out[place] = more
+            place = place[more == 0] - 1
+        low &= (1 << _WHOLE) - 1
+        place = filled[of]
+        out[place] = low >> _LEAST
+        filled[of] = place + 1
+        at[of] = (low & (1 << _LEAST) - 1) << _DIGIT
+
+    for begin, end in zip(_FRAMES, _FRAMES[1:], strict=False):
+        if begin >= steps:
+            break
+        x = table[begin : min(end, steps)]
+        wide = np.concatenate([last, x])
+        slot1, slot2 = state.slots(wide[1:-1], wide[:-2])
+        guess1, guess2 = np.empty_like(x), np.empty_like(x)
+        for t, ids_now in enumerate(x):
+            state.next1.take(slot1[t], out=guess1[t], mode="wrap")
+            state.next2.take(slot2[t], out=guess2[t], mode="wrap")
+            state.next1[slot1[t]] = ids_now
+            state.next2[slot2[t]] = ids_now
+        outcomes = np.where(guess2 == x, 0, np.where(guess1 == x, 1, 2))
+        after = np.concatenate([before, outcomes])
+        rows = state.row + after[:-2] * _OUTCOMES + after[1:-1]
+        share2, both = state.share2.take(rows), state.both.take(rows)
+        start = np.where(outcomes == 0, 0, share2)
+        share = np.where(outcomes == 0, share2, both - share2)
+        of = np.flatnonzero(outcomes == 2)
+        rest, lane, left = x.ravel()[of].astype(np.int64), of % lanes, both.ravel()[of]
+        mine = (1 << _ALL) - left >> 2 * _BYTE
+        hi_begin, hi_size = state.high.of(lane, rest >> 8)
+        lo_begin, lo_size = state.low.of(lane * _GROUPS + (rest >> 8 & _GROUPS - 1), rest & 255)
+        start.ravel()[of] = left + mine * ((hi_begin << _BYTE) + hi_size * lo_begin)
+        share.ravel()[of] = mine * hi_size * lo_size
+        for t in range(len(x)):
+            np.right_shift(width, _ALL, out=unit)
+            np.multiply(start[t], unit, out=moved)
+            np.add(at, moved, out=at)
+            np.multiply(share[t], unit, out=width)
+            of = np.flatnonzero(width < 1 << _LEAST)
+            while len(of):
+                digit(of)
+                wider = width[of] << _DIGIT
+                width[of] = wider
+                of = of[wider < 1 << _LEAST]
+        state.end_of_frame(end, rows, outcomes, lane, rest)
+        before, last = after[-2:], wide[-2:]
+    for _ in range(3):
+        digit(state.lane)
+    return [out[i * size : filled[i]].astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes() for i in range(lanes)]
 
 
 def decoded(blocks: list[bytes], counts: list[int]) -> np.ndarray:
     """The ids of blocks that `encoded` made; counts: of ids, equal for all but the last."""
     lanes = len(blocks)
     if not lanes:
-        return np.zeros(0, dtype=np.int64)
-    data = np.zeros((lanes, max(map(len, blocks)) // 2 + 8), dtype=np.int64)
+        return np.zeros(0, dtype=np.uint16)
+    size = max(map(len, blocks)) // 3 + 4
+    data = np.zeros((lanes, size, 4), dtype=np.uint8)
     for i, b in enumerate(blocks):
-        data[i, : len(b) // 2] = np.frombuffer(b, dtype="<u2")
+        data[i, : len(b) // 3, 1:] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 3)
+    data = data.reshape(-1).view(">u4").astype(np.int64)
     block, last, state = counts[0], counts[-1], _Lanes(lanes)
-    code, used = data[:, 0] << 44 | data[:, 1] << 28 | data[:, 2] << 12 | data[:, 3] >> 4, np.full(lanes, 4)
-    spare = data[:, 3] & 15  # a digit has 16 bits and the interval 60, so four bits wait for the next one
-    table = np.zeros((block, lanes), dtype=np.int64)
-    for t in range(block if lanes > 1 else last):
-        k = lanes if t < last else lanes - 1
-        width = state.width[:k]
-        c1, c2, w2, w1, w0 = state.predict(k)
-        both = w2 + w1
-        unit = width // (both + w0)
-        v = code[:k] // unit
-        is2 = v < w2
-        is1 = (v < both) & ~is2
-        code[:k] -= np.where(is2, 0, np.where(is1, w2, both)) * unit
-        width[:] = np.where(is2, w2, np.where(is1, w1, w0)) * unit
-        outcome = 2 - is1 - 2 * is2
-        x = np.where(is2, c2, c1).astype(np.int64)
-        rest = np.flatnonzero(outcome == 2)
-        if len(rest):
-            wide, ahead = width[rest], code[rest]
-            hi = row = rest
-            for sums in (state.high_sums, state.low_sums):
-                flat, i = sums.ravel(), row * 257
-                total = flat[i + 256]
-                unit = wide // total
-                c = _found(flat, i, np.minimum(ahead // unit, total - 1))
-                begin = flat[i + c].astype(np.int64)
-                ahead = ahead - begin * unit
-                wide = (flat[i + c + 1] - begin) * unit
-                if sums is state.high_sums:
-                    hi, row = c, rest * _GROUPS + c % _GROUPS
-            code[rest], width[rest] = ahead, wide
-            state.count(rest, hi, row, c)
-            x[rest] = hi << 8 | c
-        table[t, :k] = x
-        state.learn(t, k, x, outcome)
-        of = np.flatnonzero(width < _LEAST)
-        while len(of):
-            digit = data[of, used[of]]
-            used[of] += 1
-            code[of] = code[of] << 16 | spare[of] << 12 | digit >> 4
-            spare[of] = digit & 15
-            wide = width[of] << 16
-            width[of] = wide
-            of = of[wide < _LEAST]
+    steps = block if lanes > 1 else last
+    rest_bits = _WHOLE - 2 * _DIGIT  # of the third digit that the interval holds; the others wait in `spare`
+    used = state.lane * size
+    code = data[used] << _LEAST | data[used + 1] << rest_bits | data[used + 2] >> _DIGIT - rest_bits
+    spare, used = data[used + 2] & (1 << _DIGIT - rest_bits) - 1, used + 3
+    width, high, low = state.width, state.high, state.low
+    last1, last2, row = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64), state.row.copy()
+    outcome = np.zeros(lanes, dtype=np.int64)
+    table = np.zeros((block, lanes), dtype=np.uint16)
+    for begin, end in zip(_FRAMES, _FRAMES[1:], strict=False):
+        if begin >= steps:
+            break
+        end = min(end, steps)
+        rows, outcomes = (np.empty((end - begin, lanes), dtype=np.int64) for _ in range(2))
+        for t in range(begin, end):
+            slot1, slot2 = state.slots(last1, last2)
+            unit = width >> _ALL
+            v = (code.view(np.uint64) // unit.view(np.uint64)).view(np.int64)
+            share2, both = state.share2.take(row), state.both.take(row)
+            not2, not1 = v >= share2, v >= both
+            now = not2 + not1.astype(np.int64)
+            x = np.where(not2, state.next1.take(slot1), state.next2.take(slot2)).astype(np.int64)
+            start = np.where(not2, share2, 0)
+            share = np.where(not2, both - share2, share2)
+            rest = np.flatnonzero(not1)
+            if len(rest):
+                left = both.take(rest)
+                mine = (1 << _ALL) - left >> 2 * _BYTE
+                place = ((v.take(rest) - left) / mine).astype(np.int64)
+                hi = high.found(rest, place >> _BYTE)
+                hi_begin, hi_size = high.of(rest, hi)
+                of = rest * _GROUPS + (hi & _GROUPS - 1)
+                lo = low.found(of, ((place - (hi_begin << _BYTE)) / hi_size).astype(np.int64))
+                lo_begin, lo_size = low.of(of, lo)
+                x[rest] = hi << 8 | lo
+                start[rest] = left + mine * ((hi_begin << _BYTE) + hi_size * lo_begin)
+                share[rest] = mine * hi_size * lo_size
+            code -= start * unit
+            np.multiply(share, unit, out=width)
+            state.next1[slot1] = x
+            state.next2[slot2] = x
+            table[t], rows[t - begin], outcomes[t - begin] = x, row, now
+            row = state.row + outcome * _OUTCOMES + now
+            outcome, last1, last2 = now, x, last1
+            of = np.flatnonzero(width < 1 << _LEAST)
+            while len(of):
+                at = used[of]
+                digit = data[at]
+                used[of] = at + 1
+                code[of] = code[of] << _DIGIT | spare[of] << rest_bits | digit >> _DIGIT - rest_bits
+                spare[of] = digit & (1 << _DIGIT - rest_bits) - 1
+                wide = width[of] << _DIGIT
+                width[of] = wide
+                of = of[wide < 1 << _LEAST]
+        if end < steps:
+            of = np.flatnonzero(outcomes == 2)
+            state.end_of_frame(end, rows, outcomes, of % lanes, table[begin:end].ravel()[of].astype(np.int64))
     return table.T.ravel()[: block * (lanes - 1) + last]

@@ -9,114 +9,172 @@ Spark knows will do.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import saved, text_or_empty
-from .id_coder import BLOCK, decoded, encoded
+from .id_coder import BLOCK, IDS, decoded, encoded
 
 END_ID = 1
 #: Ids after which a segment ends, with the document that reaches it.
 SEGMENT_IDS = 8_000_000
+#: How a segment's documents and blocks are listed.
 _DOC, _BLOCK = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")]), np.dtype([("n", "<u4"), ("bytes", "<u4"), ("crc", "<u4")])
-
-
-#: Between a letter or digit and a sign the tokenizer always cuts, but for the apostrophe; a cut there makes fewer words.
-_SEAM = re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])")
+#: How a tokenizer that lower-cases, drops white space and never joins what white space parts is spelled in its file.
+_BY_WORDS = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+)
+#: Between a letter or digit and a sign such a tokenizer always cuts, but for the apostrophe; a cut there makes fewer words.
+_SEAM = r"([a-z0-9])([!-&(-/:-@\[-`{-~])"
+#: Documents that are read back at a time, bytes of texts encoded at a time, new words encoded as one text.
+DOCS, TEXT_BYTES, _TOGETHER = 2000, 1 << 24, 200
 
 
 class _Numbers(dict):
     """A number for each word, given in the order of first use; the words that are new wait in `new`."""
 
     def __init__(self) -> None:
-        self.new: list[bytes] = []
+        self.new: list[str] = []
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         self.new.append(word)
         found = self[word] = len(self)
         return found
 
 
-class WordIds:
-    """The ids of texts, each word encoded once and remembered.
+class TextIds:
+    """The ids of whole texts as the tokenizers library gives them.
 
-    For tokenizers that lower-case, drop white space and never join letters with signs or what white space parts, as the
-    default one does: then a text's ids are its words' ids, and A-Z can be lower-cased first.
+    For tokenizers of the kind in _BY_WORDS a text's ids are those of its words, and A-Z can be lower-cased first: each
+    word is then encoded once and remembered. Other tokenizers, and texts that hold the string of a special token, get
+    the library's own encoding of the whole text. Ids from 65,536 on are an error.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000) -> None:
+    def __init__(self, path: str, remembered: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are then ordinary text
-        self.remembered = remembered
-        self.forget()
-
-    def forget(self) -> None:
-        self.number = _Numbers()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.of_words, self.of_letters = (Tokenizer.from_file(path) for _ in range(3))
+        self.of_words.encode_special_tokens = True  # lower-cased words may look like a special token
+        # words of a-z alone need neither another form nor a cut
+        self.of_letters.normalizer, self.of_letters.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        spec = json.loads(self.tokenizer.to_str())
+        cut = (spec["pre_tokenizer"] or {}).get("pretokenizers", [None])[0]
+        self.by_words = (((spec["normalizer"] or {}).get("normalizers")), cut) == _BY_WORDS and all(t["special"] and not t["normalized"] for t in spec["added_tokens"])
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+        if self.tokenizer.get_vocab_size() > IDS:
+            raise ValueError(f"ids of this tokenizer reach {IDS}")
+        self.remembered, self.number = remembered, _Numbers()
         self.flat, self.ends = np.zeros(0, dtype=np.uint16), np.zeros(1, dtype=np.int64)
+        self._forget(np.zeros(0, dtype=np.int64))
+
+    def _forget(self, but: np.ndarray) -> None:
+        """Keep only the words with these numbers."""
+        names = list(self.number) if len(but) else []
+        number = _Numbers()
+        for i in but.tolist():
+            number[names[i]] = len(number)
+        self.number, self.uses = number, np.zeros(len(but), dtype=np.int64)
+        self.flat, self.ends = _gathered(self.flat, self.ends, but)
 
     def _learn(self) -> None:
-        """Encode the new words as one text; a token belongs to the word in which it begins."""
-        words = [w.decode() for w in self.number.new]
-        self.number.new = []
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        begins = np.cumsum([0, *[len(w) + 1 for w in words[:-1]]])
-        at = np.searchsorted(begins, np.array([a for a, _ in found.offsets], dtype=np.int64), side="right") - 1
-        lengths = np.bincount(at, minlength=len(words))
-        self.flat = np.concatenate([self.flat, np.array(found.ids, dtype=np.uint16)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-
-    def of(self, texts: list[bytes], end: int = END_ID) -> list[np.ndarray]:
-        """The ids of each text with the end id."""
+        """Encode the new words, many as one text; a token belongs to the word in which it begins."""
+        words, self.number.new = self.number.new, []
+        letters = np.fromiter((w.isascii() and w.isalpha() for w in words), dtype=bool, count=len(words))
+        ids, lengths, order = [], [], np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])
+        for tokenizer, which in ((self.of_letters, order[: letters.sum()]), (self.of_words, order[letters.sum() :])):
+            for at in range(0, len(which), _TOGETHER):
+                some = [words[i] for i in which[at : at + _TOGETHER]]
+                found = tokenizer.encode(" ".join(some), add_special_tokens=False)
+                begins = np.cumsum([0, *[len(w) + 1 for w in some[:-1]]])
+                of = np.searchsorted(begins, np.array([a for a, _ in found.offsets], dtype=np.int64), side="right") - 1
+                lengths.append(np.bincount(of, minlength=len(some)))
+                ids.append(np.array(found.ids, dtype=np.uint16))
+        cuts = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        flat, cuts = _gathered(np.concatenate(ids), cuts, np.argsort(order))
+        self.flat, self.ends = np.concatenate([self.flat, flat]), np.concatenate([self.ends, self.ends[-1] + cuts[1:]])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), dtype=np.int64)])
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one after another, and where each text begins and the last one ends."""
         if len(self.number) > self.remembered:
-            self.forget()
-        split = [_SEAM.sub(b" ", t.lower()).split() for t in texts]
-        words = [w for s in split for w in s]
-        which = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+            again = np.flatnonzero(self.uses > 1)
+            self._forget(again if 2 * len(again) < self.remembered else again[:0])
+        # distinct words first, then what signs part them into: both steps are small beside the texts
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = split.flatten().dictionary_encode()
+        parted = pc.ascii_split_whitespace(pc.replace_substring_regex(words.dictionary, _SEAM, r"\1 \2"))
+        parts = parted.flatten().dictionary_encode()
+        distinct = parts.dictionary.to_pylist()
+        number = np.fromiter(map(self.number.__getitem__, distinct), dtype=np.int64, count=len(distinct))
         if self.number.new:
             self._learn()
-        begins = self.ends[which]
-        lengths = self.ends[which + 1] - begins
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(begins - (ends - lengths), lengths) + np.arange(total)]
-        cuts = np.concatenate([[0], ends])[np.cumsum([len(s) for s in split])]
-        return [np.append(part, np.uint16(end)) for part in np.split(ids, cuts[:-1])]
-
-
-_WORDS: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
+        self.uses[number] += 1
+        part_ids, part_cuts = _gathered(self.flat, self.ends, number[parts.indices.to_numpy()])
+        word_ids, word_cuts = part_ids, part_cuts[parted.offsets.to_numpy()]
+        ids, cuts = _gathered(word_ids, word_cuts, words.indices.to_numpy())
+        offsets = split.offsets.to_numpy()
+        return ids, cuts[offsets - offsets[0]]
+
+    def of(self, texts: pa.Array, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another and each with the end id, and how many each has."""
+        whole = np.full(len(texts), not self.by_words)
+        if self.by_words:
+            for token in self.specials:
+                whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        rest = texts.filter(pa.array(~whole)) if whole.any() else texts
+        ids, cuts = self._by_words(rest)
+        counts = np.zeros(len(texts), dtype=np.int64)
+        counts[~whole] = np.diff(cuts)
+        if whole.any():
+            found = [np.array(e.ids, dtype=np.uint16) for e in self.tokenizer.encode_batch(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)]
+            parts: list[np.ndarray] = [None] * len(texts)
+            for at, part in zip([*np.flatnonzero(~whole), *np.flatnonzero(whole)], [*np.split(ids, cuts[1:-1])[: len(rest)], *found], strict=True):
+                parts[at] = part
+            counts[whole] = [len(x) for x in found]
+            ids = np.concatenate(parts)
+        return np.insert(ids, np.cumsum(counts), np.uint16(end)), counts + 1
+
+
+def _gathered(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[ends[i]:ends[i + 1]] for each i of `which`, one after another, and where each begins and the last ends."""
+    begins = ends[which]
+    cuts = np.concatenate([[0], np.cumsum(ends[which + 1] - begins)])
+    return flat[np.repeat(begins - cuts[:-1], np.diff(cuts)) + np.arange(cuts[-1])], cuts
+
+
+_KNOWN: dict[str, TextIds] = {}
+
+
+def text_ids(path: str) -> TextIds:
     """The words that this Python worker remembers, from task to task."""
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    if path not in _KNOWN:
+        _KNOWN[path] = TextIds(path)
+    return _KNOWN[path]
 
 
-def packed(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
-    """The payload of a segment."""
-    flat = np.concatenate(ids)
+def packed(doc_ids: pa.Array, flat: np.ndarray, counts: np.ndarray) -> bytes:
+    """The payload of a segment: doc_ids (long), all ids one after another, and how many each document has."""
     blocks = encoded(flat)
-    docs, heads = np.zeros(len(ids), dtype=_DOC), np.zeros(len(blocks), dtype=_BLOCK)
-    docs["id"], docs["null"], docs["n"] = [d or 0 for d in doc_ids], [d is None for d in doc_ids], [len(x) for x in ids]
+    docs, heads = np.zeros(len(doc_ids), dtype=_DOC), np.zeros(len(blocks), dtype=_BLOCK)
+    docs["id"], docs["null"], docs["n"] = doc_ids.fill_null(0).to_numpy(), doc_ids.is_null().to_numpy(zero_copy_only=False), counts
     heads["n"], heads["bytes"], heads["crc"] = BLOCK, [len(b) for b in blocks], [zlib.crc32(b) for b in blocks]
     heads["n"][-1] = len(flat) - (len(blocks) - 1) * BLOCK
-    return b"".join([b"TIDS", np.array([len(ids), len(blocks)], dtype="<u4").tobytes(), docs.tobytes(), heads.tobytes(), *blocks])
+    return b"".join([b"TIDS", np.array([len(docs), len(blocks)], dtype="<u4").tobytes(), docs.tobytes(), heads.tobytes(), *blocks])
 
 
-def unpacked(payload: bytes) -> tuple[list[int | None], list[np.ndarray]]:
-    """doc_ids and ids of a segment; a block that doesn't match its checksum is an error."""
+def unpacked(payload: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """doc_ids, all ids and the documents' counts of a segment; a block that doesn't match its checksum is an error."""
     if payload[:4] != b"TIDS":
         raise ValueError("not a segment of token ids")
     n_docs, n_blocks = np.frombuffer(payload, dtype="<u4", count=2, offset=4).tolist()
@@ -128,8 +186,7 @@ def unpacked(payload: bytes) -> tuple[list[int | None], list[np.ndarray]]:
         at += int(head["bytes"])
         if zlib.crc32(blocks[-1]) != head["crc"]:
             raise ValueError(f"block {i} is damaged")
-    flat = decoded(blocks, heads["n"].tolist())
-    return [None if null else int(d) for d, null, _ in docs.tolist()], np.split(flat, np.cumsum(docs["n"])[:-1])
+    return pa.array(docs["id"], mask=docs["null"].astype(bool)), decoded(blocks, heads["n"].tolist()), docs["n"].astype(np.int64)
 
 
 def written(docs: DataFrame, tokenizer: str, segment_ids: int = SEGMENT_IDS) -> DataFrame:
@@ -140,29 +197,43 @@ def written(docs: DataFrame, tokenizer: str, segment_ids: int = SEGMENT_IDS) ->
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, names, ids, size, n, part = word_ids(tokenizer), [], [], 0, 0, 0
+        coder, n, part = text_ids(tokenizer), 0, 0
+        names: list[pa.Array] = []
+        ids: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
 
         def segment() -> pa.RecordBatch:
-            values = (part, n, len(ids), size, packed(names, ids))
+            flat, each_n = np.concatenate(ids), np.concatenate(counts)
+            values = (part, n, len(each_n), len(flat), packed(pa.concat_arrays(names), flat, each_n))
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["part", "segment", "n_docs", "n_ids", "payload"])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            ends = np.cumsum(pc.binary_length(whole.column(1)).to_numpy(), dtype=np.int64)
+            cuts = np.flatnonzero(np.diff(ends // TEXT_BYTES)) + 1
+            for at, to in zip([0, *cuts], [*cuts, whole.num_rows], strict=True):
+                batch = whole.slice(at, to - at)
                 part = batch.column(2)[0].as_py()
-                for name, found in zip(batch.column(0).to_pylist(), coder.of(batch.column(1).to_pylist()), strict=True):
-                    names.append(name)
-                    ids.append(found)
-                    size += len(found)
-                    if size >= segment_ids:
+                flat, each_n = coder.of(batch.column(1))
+                begin = 0
+                while begin < len(each_n):  # as many documents as end the segment
+                    room = segment_ids - sum(map(len, ids))
+                    sums = np.cumsum(each_n[begin:])
+                    end = begin + min(int(np.searchsorted(sums, room)) + 1, len(sums))
+                    names.append(batch.column(0)[begin:end])
+                    counts.append(each_n[begin:end])
+                    ids.append(flat[: sums[end - begin - 1]])
+                    flat = flat[sums[end - begin - 1] :]
+                    begin = end
+                    if sum(map(len, ids)) >= segment_ids:
                         yield segment()
-                        names, ids, size, n = [], [], 0, n + 1
+                        n += 1
+                        names, ids, counts = [], [], []
         if ids:
             yield segment()
 
     text = text_or_empty(F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), text.cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), text.alias("text"))
     dealt = rows.repartitionByRange("doc_id", "k").sortWithinPartitions("doc_id", "k").select("doc_id", "text", F.spark_partition_id().alias("part"))
     return saved(dealt.mapInArrow(each, "part int, segment int, n_docs long, n_ids long, payload binary"), "token-files")
 
@@ -173,11 +244,14 @@ def read_back(segments: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                names, ids = unpacked(payload)
-                starts = start + np.r_[0, np.cumsum([len(x) for x in ids])[:-1]]
-                for at in range(0, len(ids), 500):
-                    some = ids[at : at + 500]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 500], pa.int64()), pa.array(starts[at : at + 500]), pa.array([x.astype("<u4").tobytes() for x in some], pa.binary())], names=["doc_id", "start", "ids"])
+                names, flat, counts = unpacked(payload)
+                ends = np.cumsum(counts)
+                data, begins = pa.py_buffer(flat.astype("<u4")), np.concatenate([[0], 4 * ends])
+                for at in range(0, len(ends), DOCS):
+                    k = min(DOCS, len(ends) - at)
+                    offsets = (begins[at : at + k + 1] - begins[at]).astype(np.int32)
+                    ids = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(offsets), data.slice(int(begins[at]))])
+                    yield pa.RecordBatch.from_arrays([names[at : at + k], pa.array(start + (ends - counts)[at : at + k]), ids], names=["doc_id", "start", "ids"])
 
     # one row a segment of millions of ids
     before = F.sum("n_ids").over(Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1))
