@@ -26,9 +26,9 @@ BITS, RADIUS, SHINGLE, SEED, SECOND = 64, 3, 3, 42, 32
 BUCKET = 16_384
 
 
-def covering_masks(vector_of: list[int]) -> list[int]:
-    """The masks for all nonzero v, as signed 64-bit integers; vector_of: each position's vector."""
-    masks = [sum(1 << i for i, x in enumerate(vector_of) if (x & v).bit_count() & 1) for v in range(1, 2 ** (RADIUS + 1))]
+def covering_masks(vector_of: list[int], radius: int = RADIUS) -> list[int]:
+    """The masks for all nonzero v, as signed 64-bit integers; vector_of: each position's vector of radius + 1 bits."""
+    masks = [sum(1 << i for i, x in enumerate(vector_of) if (x & v).bit_count() & 1) for v in range(1, 2 ** (radius + 1))]
     return [m - 2**BITS if m >= 2 ** (BITS - 1) else m for m in masks]
 
 
@@ -113,7 +113,7 @@ def links(classes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     counted = _counted(classes.select("node", "fp", F.inline(tables)))
     small = counted.filter((F.col("n") > 1) & (F.col("n") <= bucket))
     large = counted.filter(F.col("n") > bucket).drop("n", "k2", "key")
-    both = [F.lit(a & b) for a in MASKS for b in MASKS_2]
+    both = [F.lit(a | b) for a in MASKS for b in MASKS_2]
     again = F.array(*[F.struct(F.lit(j).alias("k2")) for j in range(len(MASKS_2))])
     mask = F.element_at(F.array(*both), F.col("k1") * len(MASKS_2) + F.col("k2") + 1)
     finer = _counted(large.select("node", "fp", "k1", F.inline(again)).select("node", "fp", "k1", "k2", F.col("fp").bitwiseAND(mask).alias("key"))).filter("n > 1")
