@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,26 +39,51 @@ def scratch_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="scratch-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+#: What ``saved`` has written and nothing has deleted yet.
+_TABLES: list[DataFrame] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame as Parquet into the scratch folder and read it back: the lineage ends there."""
+    """Write a DataFrame as Parquet into the scratch folder and read it back: the lineage ends there.
+
+    Whatever isn't ``dropped`` before goes when the driver ends, with which no frame outlives its tables.
+    """
     spark = df.sparkSession
     path = os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _TABLES.append(out)
     return out
 
 
-def dropped(df: DataFrame) -> None:
+def dropped(*tables: DataFrame) -> None:
     """Delete what ``saved`` wrote, once nothing reads it any more."""
-    jvm, path = df.sparkSession._jvm, df._scratch_path
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df._scratch_path
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _TABLES[:] = [t for t in _TABLES if t is not df]
+
+
+def tables_since(mark: int) -> list[DataFrame]:
+    """The scratch tables that stand after the first `mark` ones."""
+    return _TABLES[mark:]
+
+
+def table_count() -> int:
+    """How many scratch tables there are: a mark for ``tables_since``."""
+    return len(_TABLES)
+
+
+@atexit.register
+def _all_dropped() -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        dropped(*_TABLES)
 
 
 def sampled(known: DataFrame, most_rows: int) -> DataFrame:

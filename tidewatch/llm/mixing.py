@@ -12,12 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, sampled, saved, text_or_empty
+from .common import GAP, dropped, let, sampled, saved, text_or_empty
 
 #: Word features are hashed into so many buckets; tokens of evidence at which a posterior stops sharpening.
 BUCKETS, EVIDENCE = 4096, 300.0
-#: Posteriors are exact; 3 / GRID is what a test of them allows.
-GRID = 32
 #: Projected-gradient steps at most, and the relative error of all domain totals at which they end.
 STEPS, TOLERANCE = 30, 5e-3
 #: Newton steps at most, for targets that the gradient has not met by then.
@@ -143,24 +141,33 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
     targets: domain -> weight, of which the shares count; budget: expected tokens of the result, by default those of the
     input. At most `most_rows` labels train the classifier; they are broadcast to the documents, so that no text or
-    feature is shuffled; rates and totals cover every document. n_tokens counts words. copies is the rate rounded to a whole number: its whole part, and one more if a hash
-    of doc_id and text falls below the rest, so that expected totals hold and a rerun decides alike. A domain without
-    labels still has its prior; targets that no nonnegative rates meet are met as closely as least squares can. Null and
-    empty texts have no tokens and the prior as posterior; a null doc_id is hashed like any other; repeated rows get
-    equal rows; an empty table gives none; other columns are ignored.
+    feature is shuffled; rates and totals cover every document. n_tokens counts words. copies is the rate rounded to a
+    whole number: its whole part, and one more if a hash of doc_id and text falls below the rest, so that expected
+    totals hold and a rerun decides alike. A domain without labels still has its prior; targets that no nonnegative
+    rates meet are met as closely as least squares can. Null and empty texts have no tokens and the prior as posterior;
+    a null doc_id is hashed like any other; repeated rows get equal rows; very long texts are taken whole; an empty table
+    gives none; other columns are ignored.
+
+    What is fitted depends on the scratch table of posteriors alone. With columns to keep, posteriors are worked out once
+    more beside them, so that no text goes to a scratch table or a shuffle.
     """
     targets = targets or TARGETS
     names = sorted(targets)
     text = text_or_empty(F.col("text"))
-    rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("draw"), features(F.col("text")).alias("buckets"), F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("long").alias("n_tokens"))
-    rows = saved(rows, "features")
-    few = F.broadcast(saved(sampled(domain_of_labels(labels), most_rows), "chosen"))  # most_rows short rows
-    model = learned(rows.join(few, "doc_id").select("domain", "buckets"), names)
-    scored = saved(rows.select(*keep, "doc_id", "draw", "n_tokens", soft_membership(posteriors(F.col("buckets"), model)).alias("p")), "memberships")
-    total = scored.agg(F.sum("n_tokens")).first()[0] or 0
+    rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("draw"), features(F.col("text")).alias("buckets"), F.size(F.array_remove(F.split(text, GAP), "")).cast("long").alias("n_tokens"))
+    counted = saved(rows.drop(*keep), "features")
+    few = saved(sampled(domain_of_labels(labels), most_rows), "chosen")
+    model = learned(counted.join(F.broadcast(few), "doc_id").select("domain", "buckets"), names)  # most_rows short rows
+    scored = lambda df: df.select(*[c for c in df.columns if c != "buckets"], soft_membership(posteriors(F.col("buckets"), model)).alias("p"))
+    members = saved(scored(counted), "memberships")
+    dropped(counted, few)
+    total = members.agg(F.sum("n_tokens")).first()[0] or 0
     mass = sum(targets.values())
-    errors = fitted_rates(scored, [targets[d] / mass * (budget or total) for d in names])
-    out = scored.withColumn("rate", rate_of("p", errors))
+    errors = fitted_rates(members, [targets[d] / mass * (budget or total) for d in names])
+    if keep:
+        dropped(members)
+        members = scored(rows)
+    out = members.withColumn("rate", rate_of("p", errors))
     part = F.shiftrightunsigned(F.xxhash64("draw"), 11).cast("double") / 2.0**53
     copies = F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")
     named = F.map_from_arrays(F.array(*[F.lit(d) for d in names]), F.col("p"))
