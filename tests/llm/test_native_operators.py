@@ -53,9 +53,12 @@ def test_quality_rules_on_edge_cases(spark):
         assert r.base_failed == failed and (not failed or not r.kept)
         if r.doc_id and r.doc_id >= 100:
             assert r.n_words_frequent == len(shared.split()) and r.kept == (r.doc_id >= 200)
-    texts = {r.doc_id: r.text for r in quality_rules.without_frequent_lines(docs).collect()}
-    assert texts[105] == "own 5" and shared not in texts[205] and texts[1] is None and texts[2] == ""
-    assert quality_rules.quality_rules(docs.limit(0)).count() == 0
+    left = quality_rules.cleaned(docs)
+    assert left.columns == docs.columns
+    texts = {r.doc_id: r.text for r in left.collect()}
+    assert sorted(r.doc_id or -1 for r in left.collect()) == sorted(r.doc_id or -1 for r in out if r.kept)
+    assert texts[205] == clean.replace("word", "w5x") and texts[3] == clean
+    assert quality_rules.quality_rules(docs.limit(0)).count() == quality_rules.cleaned(docs.limit(0)).count() == 0
 
 
 def test_copies_do_not_make_a_line_frequent(spark):

@@ -69,37 +69,45 @@ def frequent_lines(counts: DataFrame, min_documents: int = MIN_DOCUMENTS, max_sh
     return by_line.join(by_host, by_line["host"].eqNullSafe(by_host["host"])).filter(F.col("n_docs") > max_share * F.col("n_host")).select(by_line["host"], "h", "n_docs")
 
 
-def quality_rules(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """The verdict on every row of docs(doc_id, text, host).
+def _judged(counts: DataFrame, min_documents: int, max_share: float, min_left: float) -> DataFrame:
+    """counts with gone_lines (hashes of the row's frequent lines; null if none), n_words_frequent and kept.
 
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_words_frequent
-    (words in frequent lines) and row_key, a hash of text and host that tells rows with one doc_id apart. A document is kept unless the base rules fail it or frequent lines hold so much of it
-    that less than min_left of its words is left. A null text counts as empty and fails; a null host is a host of its
-    own; repeated rows and a null doc_id each get their row; an empty table gives none; other columns are ignored.
+    A document's frequent lines come back to it as one array, which its own lines bound.
     """
-    counts = saved(base_counts(docs, host), "quality")
     often = frequent_lines(counts, min_documents, max_share).withColumnRenamed("host", "on")
     at = counts.select("doc_id", "row_key", "host", F.posexplode("lines").alias("at", "x")).select("doc_id", "row_key", "host", "at", "x.*")
     hit = at.join(often, (at["h"] == often["h"]) & at["host"].eqNullSafe(often["on"]), "left_semi")
-    removed = hit.groupBy("doc_id", "row_key", "at").agg(F.max("w").alias("w")).groupBy("doc_id", "row_key").agg(F.sum("w").alias("gone"))
-    removed = removed.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "gone")
+    # a repeated row has each of its lines once
+    removed = hit.groupBy("doc_id", "row_key", "at").agg(F.max("w").alias("w"), F.max("h").alias("h")).groupBy("doc_id", "row_key").agg(F.sum("w").alias("gone"), F.collect_set("h").alias("gone_lines"))
+    removed = removed.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "gone", "gone_lines")
     out = counts.join(removed, counts["doc_id"].eqNullSafe(removed["d"]) & (counts["row_key"] == removed["k"]), "left").withColumn("n_words_frequent", F.coalesce("gone", F.lit(0).cast("long")))
     depleted = F.col("n_words") - F.col("n_words_frequent") < min_left * F.col("n_words")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "n_words_frequent", "row_key")
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def quality_rules(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """The verdict on every row of docs(doc_id, text, host).
+
+    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_words_frequent
+    (words in frequent lines) and row_key, a hash of text and host that tells rows with one doc_id apart. A document is
+    kept unless the base rules fail it or frequent lines hold so much of it that less than min_left of its words is
+    left. A null text counts as empty and fails; a null host is a host of its own; repeated rows and a null doc_id each
+    get their row; very long texts are counted whole; an empty table gives none; other columns are ignored.
+    """
+    out = _judged(saved(base_counts(docs, host), "quality"), min_documents, max_share, min_left)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_frequent", "row_key")
 
 
-def without_frequent_lines(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
-    """docs with the frequent lines of each host taken out of the texts; the other columns stay, row for row.
+def cleaned(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """docs without the rows that quality_rules rejects, the frequent lines of each host taken out of the texts of the rest.
 
-    Hashes of a document's frequent lines come back to it as one array, which its own lines bound. Null and empty texts
-    stay as they are.
+    All columns stay; the cases are those of quality_rules. Only rows that change or go are looked up, by doc_id and a
+    hash of text and host, so that each row is decided by its own text.
     """
-    counts = saved(base_counts(docs, host).select("doc_id", "row_key", "host", "lines"), "quality")
-    often = frequent_lines(counts, min_documents, max_share).withColumnRenamed("host", "on")
-    at = counts.select("doc_id", "row_key", "host", F.explode("lines").alias("x")).select("doc_id", "row_key", "host", "x.h")
-    hit = at.join(often, (at["h"] == often["h"]) & at["host"].eqNullSafe(often["on"]), "left_semi")
-    gone = hit.groupBy("doc_id", "row_key").agg(F.collect_set("h").alias("gone_lines")).select(F.col("doc_id").alias("gone_doc"), F.col("row_key").alias("gone_key"), "gone_lines")
+    judged = _judged(saved(base_counts(docs, host), "quality"), min_documents, max_share, min_left)
+    marks = judged.filter("not kept or gone_lines is not null").groupBy("doc_id", "row_key").agg(F.first("kept").alias("stays"), F.first("gone_lines").alias("gone_lines"))
+    marks = marks.select(F.col("doc_id").alias("marked_doc"), F.col("row_key").alias("marked_key"), "stays", "gone_lines")
     key = F.xxhash64(text_or_empty(docs["text"]), docs[host])
+    joined = docs.join(marks, docs["doc_id"].cast("long").eqNullSafe(marks["marked_doc"]) & (key == marks["marked_key"]), "left").filter(F.coalesce("stays", F.lit(True)))
     left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x: ~F.array_contains("gone_lines", F.xxhash64(normal_line(x)))), "\n")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_doc"]) & (key == gone["gone_key"]), "left")
     return joined.select(*[F.when(F.col("gone_lines").isNull(), docs[c]).otherwise(left).alias(c) if c == "text" else docs[c] for c in docs.columns])

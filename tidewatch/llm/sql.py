@@ -18,9 +18,9 @@ QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text, {words("text")} AS w FROM documents),
 l AS (SELECT r, host, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS raw FROM d),
 n AS (SELECT r, host, raw, lower({line("raw")}) AS h, len({words("raw")}) AS nw FROM l),
-e AS (SELECT r, arg_max(h, (length(h), h)) AS longest FROM n GROUP BY r),
-f AS (SELECT n.host, h, count(DISTINCT longest) AS n_docs FROM n JOIN e USING (r) GROUP BY n.host, h HAVING count(DISTINCT longest) > 20),
-a AS (SELECT d.host, count(DISTINCT longest) + count(DISTINCT CASE WHEN longest IS NULL THEN 0 END) AS n_host FROM d LEFT JOIN e USING (r) GROUP BY d.host),
+e AS (SELECT r, host, md5(text) AS whole FROM d),
+f AS (SELECT n.host, h, count(DISTINCT whole) AS n_docs FROM n JOIN e USING (r) GROUP BY n.host, h HAVING count(DISTINCT whole) > 20),
+a AS (SELECT host, count(DISTINCT whole) AS n_host FROM e GROUP BY host),
 q AS (SELECT f.host, h FROM f JOIN a ON f.host IS NOT DISTINCT FROM a.host WHERE n_docs > 0.1 * n_host),
 g AS (SELECT r, sum(nw) AS gone FROM n SEMI JOIN q ON n.h = q.h AND n.host IS NOT DISTINCT FROM q.host GROUP BY r),
 u AS (SELECT r, count(*) - count(DISTINCT raw) AS n_dup FROM l GROUP BY r),
