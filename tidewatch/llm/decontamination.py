@@ -60,32 +60,50 @@ def best_overlap(doc: Column, item: Column, diagonal: Column) -> Column:
     return F.when(length >= want, F.struct(most.alias("equal"), F.when(want < MIN_TOKENS, want.cast("long")).otherwise(F.ceil(SHARE * want)).alias("needed")))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """(doc_id, item_id, n_equal, n_needed): each document and benchmark item that share an overlap, one row a pair.
+def _counted(df: DataFrame, most: int) -> DataFrame:
+    """A saved table as one to broadcast, if it has at most `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
-    docs(doc_id, text), items(item_id, text). Tokens are lower-cased runs of letters and digits, so that case and
-    punctuation don't hide a passage. Only places that share a seed's hash are aligned; n_equal counts equal tokens in
-    the best overlap. Items of fewer than MIN_TOKENS tokens are found where all their tokens stand in a row. Texts and
-    items without tokens are in no pair; repeated rows give one pair; a null doc_id or item_id is an id like any other; empty tables give no rows; other columns are ignored.
-    """
+
+def _overlaps(docs: DataFrame, items: DataFrame, max_broadcast: int) -> DataFrame:
+    """(doc_id, text_key, item_id, best) for each row of docs and item that share an overlap; equal texts of one doc_id once."""
     bench = items.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("item")).filter(F.size("item") > 0).distinct()
     bench = saved(bench.withColumn("item_key", F.xxhash64("item")), "benchmark")
     short = [r["n"] for r in bench.select(F.size("item").alias("n")).filter(F.col("n") < SHORT).distinct().collect()]  # 15 rows at most
     masks = list(dict.fromkeys([*MASKS, *[m for n in sorted(short) for m in masks_for(n)]]))
     known = saved(_hashed(bench, "item", masks, "item_id", "item_key", own=True).withColumnRenamed("at", "item_at").distinct(), "seeds")
-    if known.count() <= max_broadcast:
-        known = F.broadcast(known)  # 500,000 rows of four numbers at most
+    known = _counted(known, max_broadcast)  # four numbers a row
     text = text_or_empty(F.col("text"))
     ours = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), tokens(F.col("text")).alias("words"))
     hits = _hashed(ours, "words", masks, "doc_id", "text_key").join(known, "h").select("doc_id", "text_key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal"))
-    hits = saved(hits.distinct(), "hits").withColumnsRenamed({"doc_id": "hit_doc", "text_key": "hit_key", "item_id": "hit_item"})
-    with_item = hits.join(bench, hits["hit_item"].eqNullSafe(bench["item_id"]) & (hits["item_key"] == bench["item_key"])).select("hit_doc", "hit_key", "item_id", "item", "diagonal")
-    both = ours.join(with_item, ours["doc_id"].eqNullSafe(with_item["hit_doc"]) & (ours["text_key"] == with_item["hit_key"]))
-    found = both.select("doc_id", "item_id", best_overlap(F.col("words"), F.col("item"), F.col("diagonal")).alias("best")).filter("best.equal >= best.needed")
+    # one row a document and item, with as many diagonals as the two have tokens at most
+    hits = saved(hits.groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.collect_set("diagonal").alias("diagonals")), "hits")
+    hits = hits.withColumnsRenamed({"doc_id": "hit_doc", "text_key": "hit_key", "item_id": "hit_item"})
+    with_item = hits.join(bench, hits["hit_item"].eqNullSafe(bench["item_id"]) & (hits["item_key"] == bench["item_key"])).select("hit_doc", "hit_key", "item_id", "item", "diagonals")
+    # texts without a hit are left out before the texts with one are shuffled
+    texts = _counted(saved(hits.select(F.col("hit_key").alias("text_key")).distinct(), "hit-texts"), max_broadcast)
+    some = ours.join(texts, "text_key", "left_semi").distinct()
+    both = some.join(with_item, some["doc_id"].eqNullSafe(with_item["hit_doc"]) & (some["text_key"] == with_item["hit_key"]))
+    best = F.array_max(F.transform("diagonals", lambda g: best_overlap(F.col("words"), F.col("item"), g)))
+    return both.select("doc_id", "text_key", "item_id", best.alias("best")).filter("best.equal >= best.needed")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(doc_id, item_id, n_equal, n_needed): each document and benchmark item that share an overlap, one row a pair.
+
+    docs(doc_id, text), items(item_id, text). Tokens are lower-cased runs of letters and digits, so that case and
+    punctuation don't hide a passage. Only places that share a seed's hash are aligned; n_equal counts equal tokens in
+    the best overlap. Items of fewer than MIN_TOKENS tokens are found where all their tokens stand in a row. Texts and
+    items without tokens are in no pair; repeated rows give one pair; a null doc_id or item_id is an id like any other;
+    very long texts are searched whole; empty tables give no rows; other columns are ignored.
+    """
+    found = _overlaps(docs, items, max_broadcast)
     return found.groupBy("doc_id", "item_id").agg(F.max("best.equal").cast("long").alias("n_equal"), F.max("best.needed").cast("long").alias("n_needed"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is contaminated."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("bad_doc")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_doc"]), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """docs without the rows whose own text is contaminated; rows of other texts that share their doc_id stay."""
+    bad = _overlaps(docs, items, max_broadcast).select(F.col("doc_id").alias("bad_doc"), F.col("text_key").alias("bad_key")).distinct()
+    bad = _counted(saved(bad, "contaminated"), max_broadcast)
+    key = F.xxhash64(text_or_empty(docs["text"]))
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_doc"]) & (key == bad["bad_key"]), "left_anti")
