@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline as cp
-from tests.llm import test_decontamination, test_simhash, test_token_files
+from tests.llm import test_decontamination, test_near_copies, test_token_files
 from tidewatch.llm import mixing
 from tidewatch.llm.sql import QUALITY
 
@@ -31,10 +31,30 @@ def test_quality_rules(stages, sf_dir):
     assert {r.doc_id for r in stages[0][1]} == kept and len(kept) < len(stages[0][0])
 
 
+def test_frequent_lines_go(stages):
+    before, after, _ = stages[0]
+    host, n_docs, has = {r.doc_id: r.source for r in before}, {}, {}
+    lines = lambda t: [x for x in (t or "").split("\n") if x.split()]
+    normal = lambda x: " ".join(x.lower().split())
+    for source, text in {(r.source, r.text or "") for r in before}:
+        n_docs[source] = n_docs.get(source, 0) + 1
+        for x in set(map(normal, lines(text))):
+            has[source, x] = has.get((source, x), 0) + 1
+    often = {k for k, n in has.items() if n > 20 and n > 0.1 * n_docs[k[0]]}
+    texts = {r.doc_id: r.text for r in before}
+    for r in after:
+        want = "\n".join(x for x in texts[r.doc_id].split("\n") if (host[r.doc_id], normal(x)) not in often)
+        assert r.text == want and r.n_chars == len(want)
+
+
 def test_one_document_of_each_group_stays(stages):
     before, after, _ = stages[1]
-    want = {c for _, _, c in test_simhash.brute([(r.doc_id, r.text) for r in before])}
-    assert sorted(r.doc_id for r in after) == sorted(want)
+    sets = [test_near_copies.shingles(r.text) for r in before]
+    pairs = {(a, b): test_near_copies.jaccard(sets[a], sets[b]) for a in range(len(sets)) for b in range(a)}
+    loose, strict = (test_near_copies.roots(len(sets), [p for p, j in pairs.items() if j >= least]) for least in (0.72, 0.88))
+    kept = {r.doc_id for r in after}
+    assert {loose[i] for i, r in enumerate(before) if r.doc_id in kept} == set(loose)
+    assert len(after) == len(kept) == len({strict[i] for i, r in enumerate(before) if r.doc_id in kept})
 
 
 def test_benchmarks_go(stages, sf_dir):
@@ -57,8 +77,35 @@ def test_ids_are_those_of_what_is_left(stages):
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in after) == want
 
 
-def test_repeated_rows_and_rows_without_id(spark):
-    rows = [(1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (2, "e f g h", "en", None, 7), (None, "i j", None, "s", 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted((r.doc_id or -1) for r in cp.one_of_each_group(spark, docs, "").collect()) == [-1, 1, 2]
-    assert cp.good_documents(spark, docs.limit(0), "").count() == 0
+ROWS = [
+    (1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (2, "e f g h", "en", None, 7), (None, "i j", None, "s", 3),
+    (3, None, None, None, None), (4, "", "en", "s", 0), (5, "word " * 30_000, "en", "s", 150_000), (1, "another text", "en", "s", 12),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_edge_cases_of_each_stage(spark, sf_dir):
+    docs = spark.createDataFrame([(*r, 1, "k") for r in ROWS], SCHEMA + ", copies int, row_key string")
+    ids = lambda df: sorted((r.doc_id or -1, r.text) for r in df.collect())
+    assert [d for d, _ in ids(cp.one_of_each_group(spark, docs, ""))] == [-1, 1, 1, 2, 3, 5]
+    assert cp.good_documents(spark, docs, "").count() == 0  # all are short or repeat themselves
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    both = docs.union(spark.createDataFrame([(1, item, "en", "s", 9, 1, "k"), (None, item, "en", "s", 9, 1, "k")], docs.schema))
+    rest = cp.without_benchmarks(spark, both, sf_dir).collect()
+    assert sorted(map(str, rest)) == sorted(map(str, docs.select(*cp.COLUMNS).collect()))  # rows that share an id stay
+    assert cp.mixed(spark, docs, sf_dir).columns == list(cp.COLUMNS)
+    assert cp.token_index(spark, docs, sf_dir).count() == len(ROWS)
+
+
+def test_empty_tables(spark, sf_dir):
+    for _, stage in cp.STAGES:
+        assert stage(spark, spark.createDataFrame([], SCHEMA), sf_dir).count() == 0
+
+
+def test_run_equals_the_stages_and_leaves_no_scratch(spark, stages, sf_dir):
+    from tidewatch.llm.common import table_count
+
+    before = table_count()
+    out = cp.run(spark, sf_dir)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, stages[-1][1]))
+    assert table_count() - before <= 3  # the last stage's input and files
