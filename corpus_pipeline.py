@@ -1,16 +1,18 @@
 """A training-data pipeline: each stage works on all that the one before it kept.
 
 quality rules -> SimHash near-dedup -> benchmark decontamination -> mixing to target weights -> token files
+
+Each stage but the last takes and gives the columns of documents; others are left out. Nulls, ties, repeated rows and
+empty tables are cases of the operators; what they mean for a stage stands in its docstring.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidewatch.llm import decontamination, mixing, quality_rules, simhash, token_files
-from tidewatch.llm.common import saved, text_or_empty
+from tidewatch.llm import decontamination, mixing, near_copies, quality_rules, token_files
+from tidewatch.llm.common import dropped, saved, table_count, tables_since
 from tidewatch.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,42 +23,41 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that quality rules reject; a rejected row takes rows with the same doc_id and text along."""
+    """Without the rows that quality rules reject, null texts among them, and without frequent lines in the texts of the rest.
+
+    Each row is judged by its own text and source, whatever doc_id it shares; n_chars follows the text.
+    """
     docs = _documents(docs)
-    verdict = quality_rules.quality_rules(docs)
-    bad = verdict.filter("not kept").select(F.col("doc_id").alias("bad_doc"), "row_key").distinct()
-    key = F.xxhash64(text_or_empty(F.col("text")), F.col("source"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_doc"]) & (key == bad["row_key"]), "left_anti")
+    left = quality_rules.cleaned(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group, one row of it; rows without a doc_id stay."""
-    docs = _documents(docs)
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    again = saved(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is not null and n > 1").select("doc_id"), "repeated")
-    # ids on several rows are rare: only their rows are compared
-    single = kept.join(again, "doc_id", "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang", "n_chars")
-    several = kept.join(again, "doc_id", "left_semi").withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
-    return _documents(single).union(_documents(several)).union(docs.filter("doc_id is null"))
+    """One row of each group of near copies (five-word shingles, similarity 0.8 or more), that with the smallest doc_id.
+
+    Rows of different texts that share a doc_id are judged apart; rows without a doc_id stay only if their group has no
+    other; repeated rows are one.
+    """
+    return near_copies.kept_rows(_documents(docs))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that share an overlap with a benchmark item."""
+    """Without the rows whose text shares an overlap with a benchmark item, whatever doc_id they share; null texts stay."""
     return decontamination.decontaminated(_documents(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its fitted rate says, none to a few times; copies are rows of their own."""
+    """Each document as often as its fitted rate says, none to a few times; copies are rows of their own.
+
+    Equal rows get equal rates; null texts have the prior's.
+    """
     docs = _documents(docs)
     rated = mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=("text", "lang", "source", "n_chars"))
     return _documents(rated.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
 
 
 def token_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all that is left, read back: doc_id, start, n_tokens and ids_crc32."""
+    """Token files of all that is left, read back: doc_id, start, n_tokens and ids_crc32, a row for every row."""
     return token_files.token_index(docs, tokenizer_path())
 
 
@@ -73,8 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the scratch folder and read again."""
+    """All stages over documents, each written to the scratch folder and read again; what a stage has used goes after it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        mark = table_count()
+        before, docs = docs, saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        dropped(*[t for t in tables_since(mark) if t is not docs], *([before] if hasattr(before, "_scratch_path") else []))
     return STAGES[-1][1](spark, docs, sf_dir)
