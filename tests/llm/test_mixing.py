@@ -66,7 +66,7 @@ def test_memberships_equal_brute_force(spark, sf_dir, result):
         x = np.array([math.log((n[k] + 1) / total) + s * np.log(count[k] / count[k].sum())[b].sum() for k in names])
         e = np.exp(x - x.max())
         worst = max(worst, np.abs(e / e.sum() - [r.posterior[k] for k in names]).max())
-    assert worst < 1e-9
+    assert worst < 1e-6  # weights have nine digits
 
 
 def test_clean_documents_are_told_from_others(spark):
