@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of all nodes of undirected edges; root is the smallest node of the component.
 
-    Labels take the least label among neighbours and then jump to their label's label, so that paths halve each round. A
-    round ends in a checkpoint, which cuts the lineage; it ends when the sum of changes is none.
+    Large-star links the larger neighbours of a node to its smallest one, small-star the smaller ones, until the edges
+    are one star a component. Each round is checkpointed, which cuts the lineage, and ends when the edges are those of
+    the round before; only their count and a checksum reach the driver.
     """
-    sc = edges.sparkSession.sparkContext
-    if edges.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
+    shared_checkpoints(edges.sparkSession)
+    alone = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b))).filter("node is not null").distinct()
+    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a is not null and b is not null and a != b").distinct().checkpoint()
+    before = None
+    while (mark := now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()) != before:
+        before = mark
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = small.union(least).distinct().checkpoint()
+    root = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return alone.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Let checkpoints go to the folder that the cluster names; a temporary one serves local runs alone."""
+    sc = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v")
-    e = e.union(e.select("v", "u")).distinct().checkpoint()
-    labels = e.select(F.col("u").alias("node")).union(edges.select(F.col(a))).union(edges.select(F.col(b))).filter("node is not null").distinct().withColumn("root", F.col("node")).checkpoint()
-    for _ in range(rounds):
-        seen = e.join(labels, e["v"] == labels["node"]).groupBy("u").agg(F.min("root").alias("low"))
-        step = labels.join(seen, labels["node"] == seen["u"], "left").select("node", F.col("root").alias("before"), F.least("root", F.coalesce("low", "root")).alias("root"))
-        up = step.select(F.col("node").alias("p"), F.col("root").alias("above"))
-        step = step.join(up, step["root"] == up["p"], "left").select("node", "before", F.least("root", F.coalesce("above", "root")).alias("root")).checkpoint()
-        if not step.filter("root != before").limit(1).count():
-            return step.select("node", "root")
-        labels = step.select("node", "root")
-    raise RuntimeError(f"no end after {rounds} rounds")
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -45,12 +54,23 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return out
 
 
-def shared_pairs(rows: DataFrame, item: str, key: str, most: int) -> DataFrame:
-    """(a, b, shared): pairs of items, a below b, by how many keys they share.
+def shared_pairs(rows: DataFrame, item: str, key: str, least: int, common: int = 40) -> DataFrame:
+    """(a, b, shared): all pairs of items, a below b, that share `least` keys or more, with how many; rows(item, key) are distinct.
 
-    Keys that more than `most` items have tell little and would make pairs with the square of their size: they are not
-    used. rows must be distinct (item, key).
+    Keys that more than `common` items have would make pairs with the square of their size. They are first counted by
+    rarer keys; only pairs that common keys alone can make are looked for among those, without each item's least - 1
+    most common ones: two items that share `least` of them still meet at the rarest. What common keys a pair shares is
+    then counted from the items' lists of them.
     """
-    size = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n").between(2, most)).select(key)
+    size = rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
     kept = rows.join(size, key)
-    return kept.select(key, F.col(item).alias("a")).join(kept.select(key, F.col(item).alias("b")), key).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    pairs = lambda df: df.select(key, F.col(item).alias("a")).join(df.select(key, F.col(item).alias("b")), key).filter("a < b")
+    rare = pairs(kept.filter(F.col("_n") <= common)).groupBy("a", "b").agg(F.count("*").alias("rare"))
+    lists = kept.filter(F.col("_n") > common).groupBy(item).agg(F.array_sort(F.collect_list(F.struct("_n", key))).alias("keys"))
+    lists = lists.select(item, F.transform("keys", lambda x: x[key]).alias("keys"))
+    prefix = lists.select(item, F.explode(F.slice("keys", F.lit(1), F.greatest(F.size("keys") - (least - 1), F.lit(0)))).alias(key))
+    met = pairs(prefix).select("a", "b", F.lit(0).cast("long").alias("rare"))
+    each = rare.union(met.distinct()).groupBy("a", "b").agg(F.max("rare").alias("rare"))
+    both = each.join(lists.select(F.col(item).alias("a"), F.col("keys").alias("ka")), "a", "left").join(lists.select(F.col(item).alias("b"), F.col("keys").alias("kb")), "b", "left")
+    shared = F.col("rare") + F.coalesce(F.size(F.array_intersect("ka", "kb")), F.lit(0))
+    return both.select("a", "b", shared.cast("long").alias("shared")).filter(F.col("shared") >= least)

@@ -39,14 +39,20 @@ def reliability(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     return rows.sparkSession.range(bins).select(F.col("id").alias("bin")).join(a, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "predicted", "observed")
 
 
-def auc(rows: DataFrame, score: str, y: str) -> DataFrame:
+def auc(rows: DataFrame, score: str, y: str, chunks: int = 1000) -> DataFrame:
     """One row: the chance that a positive scores above a negative, ties half, from counts of equal scores.
 
-    Rows are first reduced to one a score; the running sum over scores is over distinct values only.
+    Rows are first reduced to one a score; scores are summed in `chunks` steps of their range and within each.
     """
     by = rows.groupBy(F.col(score).alias("at")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    a = by.withColumn("below", below).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    ends = by.agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    step = F.coalesce(F.floor(F.try_divide(F.col("at") - F.col("low"), F.col("high") - F.col("low")) * chunks), F.lit(0))
+    by = by.crossJoin(F.broadcast(ends)).withColumn("step", step)  # one row
+    whole = F.coalesce(F.sum("all").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = by.groupBy("step").agg(F.sum("neg").alias("all")).select("step", whole.alias("before"))
+    within = F.coalesce(F.sum("neg").over(Window.partitionBy("step").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.col("before") + within
+    a = by.join(sums, "step").withColumn("below", below).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return a.select(F.coalesce(F.try_divide("won", F.col("pos") * F.col("neg")), F.lit(0.5)).alias("auc"))
 
 

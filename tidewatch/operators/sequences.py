@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 
 def sessions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], gap_ms: int, least: int) -> DataFrame:
@@ -36,20 +36,59 @@ def largest_gap(rows: DataFrame, key: str, order: Sequence[str], least_ms: int)
     return steps.groupBy(key).agg(best.alias("g")).select(key, "g.*")
 
 
-def trailing(keys: Sequence[str], width_ms: int):
-    """A frame of all rows of the key in the last width_ms, the row's own instant included."""
-    return Window.partitionBy(*keys).orderBy("ts_ms").rangeBetween(-width_ms, 0)
+def trailing(rows: DataFrame, keys: Sequence[str], widths: dict[str, int], chunk_ms: int, columns: Callable[[str, WindowSpec], dict[str, Column]]) -> DataFrame:
+    """rows with the columns that columns(name, frame) gives for each trailing width, the row's own instant included.
+
+    A key is dealt by chunks of time, each with the rows of the widest frame before it, so that a busy key is as many
+    tasks as it has chunks; no width may exceed chunk_ms, and a row is copied once at most.
+    """
+    if max(widths.values()) > chunk_ms:
+        raise ValueError("a frame must not be wider than a chunk")
+    chunk = F.floor(F.col("ts_ms") / chunk_ms)
+    both = rows.select("*", F.explode(F.array(chunk, chunk + 1)).alias("_chunk"))
+    for name, width in widths.items():
+        both = both.withColumns(columns(name, Window.partitionBy(*keys, "_chunk").orderBy("ts_ms").rangeBetween(-width, 0)))
+    return both.filter(F.col("_chunk") == chunk).drop("_chunk")
 
 
 def anchored_windows(rows: DataFrame, keys: Sequence[str], width_ms: int, step_ms: int) -> DataFrame:
     """rows with window_start: closed windows [s, s + width] for s = first row of the key + i * step, each row in all
-    that hold it. The number of windows of a row is width / step + 1 at most."""
-    first = F.min("ts_ms").over(Window.partitionBy(*keys))
-    at = rows.withColumn("_at", F.col("ts_ms") - first).withColumn("_first", first)
+    that hold it. The number of windows of a row is width / step + 1 at most. First rows come from an aggregation, one a
+    key, so that no key is gathered in one task."""
+    first = rows.groupBy(*keys).agg(F.min("ts_ms").alias("_first"))
+    at = rows.join(first, list(keys)).withColumn("_at", F.col("ts_ms") - F.col("_first"))
     low = F.greatest(F.ceil((F.col("_at") - width_ms) / step_ms), F.lit(0).cast("long"))
     return at.select("*", F.explode(F.sequence(low, F.floor(F.col("_at") / step_ms))).alias("_i")).withColumn("window_start", F.col("_first") + F.col("_i") * step_ms).drop("_at", "_first", "_i")
 
 
+def admitted(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ttl_ms: int) -> DataFrame:
+    """The rows of each key that come more than ttl_ms after the last one admitted; the first one is.
+
+    A fold over a key's instants in order; they are one array, so keys must be bounded (a wallet in a market).
+    """
+    held = F.array_sort(F.collect_list(F.struct(*order)))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.slice(held, 1, 0).alias("rows"))
+
+    def step(acc: Column, x: Column) -> Column:
+        goes = F.coalesce(x["ts_ms"] - acc["last"] <= ttl_ms, F.lit(False))
+        return F.when(goes, acc).otherwise(F.struct(x["ts_ms"].alias("last"), F.array_append(acc["rows"], x).alias("rows")))
+
+    return rows.groupBy(*keys).agg(F.aggregate(held, start, step)["rows"].alias("_rows")).select(*keys, F.inline("_rows"))
+
+
+def ranked(rows: DataFrame, chunk: Column, order: Sequence[Column | str]) -> DataFrame:
+    """rows with `rank`, 1 and up in this order over all of them; chunk is a whole number that rises with the order.
+
+    Rows are numbered within their chunk and the counts of the chunks before are added: one task has a chunk, and only
+    one row a chunk is ever put in one order.
+    """
+    named = rows.withColumn("_chunk", chunk)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = named.groupBy("_chunk").agg(F.count("*").alias("_n")).select(F.col("_chunk").alias("_c"), before.alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_chunk").orderBy(*order))
+    return named.join(starts, F.col("_chunk") == F.col("_c")).withColumn("rank", (F.col("_before") + at).cast("long")).drop("_chunk", "_c", "_before")
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str], tie: str) -> DataFrame:
     """Each left row with the values of the last right row of its key at or before it, by one sort of both sides.
 

@@ -110,8 +110,8 @@ def agg_alert_stats(spark, sf):
     """Alerts are large fills; counts by severity, by side and over all in one pass of grouping sets."""
     rank = stats.ladder(F.col("usd"), [(90_000, "critical"), (70_000, "high"), (50_000, "medium")], "low")
     a = t.fills(spark, sf).filter("usd >= 40000").withColumn("severity", rank)
-    a.createOrReplaceTempView("alerts_of_fills")
-    return spark.sql("SELECT coalesce(severity, '*') AS severity, coalesce(side, '*') AS side, count(*) AS n FROM alerts_of_fills GROUP BY GROUPING SETS ((severity), (side), ())")
+    sets = a.groupingSets([["severity"], ["side"], []], "severity", "side").agg(F.count("*").alias("n"))
+    return sets.select(F.coalesce("severity", F.lit("*")).alias("severity"), F.coalesce("side", F.lit("*")).alias("side"), "n")
 
 
 def agg_category_shares(spark, sf):

@@ -94,8 +94,7 @@ def score_alert_priority(spark, sf):
     hours = (F.col("now") - F.col("ts_ms")) / t.HOUR
     base = 0.7 * F.least(F.col("usd") / 10, F.lit(100.0)) + 0.3 * F.least(F.col("size"), F.lit(100.0))
     s = j.select("trade_id", r(base * scoring.time_decay(hours), 4).alias("score"))
-    # one row an alert; a rank over all alerts needs one order
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "trade_id"))).withColumn("level", stats.ladder(F.col("score"), [(85, "urgent"), (70, "high"), (50, "medium"), (30, "low")], "info"))
+    return sequences.ranked(s, -F.floor(F.col("score") * 10), [F.desc("score"), "trade_id"]).withColumn("level", stats.ladder(F.col("score"), [(85, "urgent"), (70, "high"), (50, "medium"), (30, "low")], "info"))
 
 
 def score_signal_effectiveness(spark, sf):
@@ -180,12 +179,13 @@ def det_market_impact(spark, sf):
 
 def txt_topics(spark, sf):
     """Documents by the topic whose words weigh most, 25 or more of at most 100; each word counts once a document."""
-    rows = [(topic, w, float(x)) for topic, words in TOPICS.items() for w, x in words.items()]
-    table = spark.createDataFrame(rows, "topic string, word string, weight double")
-    d = t.table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"))).alias("word"))
-    s = d.join(table, "word").groupBy("doc_id", "topic").agg(F.least(F.sum("weight"), F.lit(100.0)).alias("score"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "topic")
-    return s.withColumn("i", F.row_number().over(w)).filter("i = 1 and score >= 25").select("doc_id", "topic", "score")
+    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"))
+    known = sorted({w for ws in TOPICS.values() for w in ws})
+    d = t.table(spark, sf, "documents").select("doc_id", F.array_intersect(words, F.array(*[F.lit(w) for w in known])).alias("words"))
+    score = lambda ws: F.least(sum((F.when(F.array_contains("words", w), float(x)).otherwise(0.0) for w, x in ws.items()), F.lit(0.0)), F.lit(100.0))
+    found = F.array(*[F.struct((-score(ws)).alias("minus"), F.lit(topic).alias("topic")) for topic, ws in TOPICS.items()])
+    best = d.select("doc_id", F.array_min(found).alias("x"))
+    return best.select("doc_id", "x.topic", (-F.col("x.minus")).alias("score")).filter("score >= 25")
 
 
 def txt_sentiment(spark, sf):

@@ -1,13 +1,15 @@
-"""Queries whose results come from seeded models or streams; checked by invariants, not by SQL."""
+"""Queries whose results come from seeded models, checked by invariants, or from streams, checked by SQL over the same rows."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import tables as t
+from ..functions import stats
 from ..operators import learning
 from ..streaming import trades as streaming
 
@@ -43,26 +45,69 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("event_id").alias("trade_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("wallet"), F.col("event_type").alias("market"), F.col("value").alias("usd"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="streams-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def _drained(stream: DataFrame, name: str) -> DataFrame:
-    """All that a stream gives for the data that is there, from its file sink."""
-    root = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    at = f"{root}/{name}-{stream.sparkSession.range(1).select(F.expr('uuid()')).first()[0]}"
+    """All that an appending stream gives for the data that is there, from its file sink."""
+    at = _folder(stream.sparkSession, name)
     q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
 
 
+def _completed(stream: DataFrame, name: str) -> DataFrame:
+    """All groups of a stream, those that the watermark hasn't closed as well: each batch writes its whole result anew."""
+    at, spark = _folder(stream.sparkSession, name), stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
 def stream_windowed_volume(spark, sf):
-    return _drained(streaming.windowed_volume(_stream(spark, sf), "4 hours"), "windows")
+    """Count and volume of each market and window of four hours, from a stream; times in milliseconds."""
+    out = _completed(streaming.windowed_volume(_stream(spark, sf), "4 hours"), "windows")
+    return out.select("market", F.unix_millis("start").alias("start_ms"), "n", stats.rounded("usd", 3).alias("usd"))
 
 
 def stream_bursts(spark, sf):
-    return _drained(streaming.bursts(_stream(spark, sf), 20.0, "2 hours"), "bursts")
+    """Sessions of three or more trades of 20 and more less than two hours apart, from a stream; the end is the last trade's."""
+    out = _completed(streaming.bursts(_stream(spark, sf), 20.0, "2 hours"), "bursts")
+    return out.select("market", F.unix_millis("start").alias("start_ms"), (F.unix_millis("end") - 2 * t.HOUR).alias("end_ms"), "n", stats.rounded("usd", 3).alias("usd"))
 
 
 def stream_spikes(spark, sf):
-    return _drained(streaming.spikes(streaming.deduplicated(_stream(spark, sf)), late=None), "spikes")
+    """Trades two deviations above all of their market before, a minute apart at least, from a stream."""
+    out = _drained(streaming.spikes(streaming.deduplicated(_stream(spark, sf)), late=None), "spikes")
+    return out.select("market", "trade_id", stats.rounded("z", 4).alias("z"))
 
 
 QUERIES = {f.__name__: f for f in (ml_wallet_clusters, ml_isolation_forest, ml_density_clusters, ml_elbow, stream_windowed_volume, stream_bursts, stream_spikes)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "stream_windowed_volume": t.sql("trades", "SELECT market, ts_ms // 14400000 * 14400000 AS start_ms, count(*) AS n, round(sum(usd), 3) AS usd FROM trades GROUP BY ALL"),
+    "stream_bursts": t.sql(
+        "trades",
+        """,g AS (SELECT *, coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY market ORDER BY ts_ms) >= 7200000, true)::INT AS fresh FROM trades WHERE usd >= 20),
+        s AS (SELECT *, sum(fresh) OVER (PARTITION BY market ORDER BY ts_ms) AS k FROM g)
+        SELECT market, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, count(*) AS n, round(sum(usd), 3) AS usd FROM s GROUP BY market, k HAVING count(*) >= 3""",
+    ),
+    "stream_spikes": "WITH RECURSIVE "
+    + t.SQL["trades"]
+    + """, b AS (SELECT *, row_number() OVER o AS i, count(*) OVER w AS n, avg(usd) OVER w AS mean, stddev_pop(usd) OVER w AS dev FROM trades
+            WINDOW o AS (PARTITION BY market ORDER BY ts_ms, trade_id), w AS (PARTITION BY market ORDER BY ts_ms, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        c AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY i) AS j FROM b WHERE n >= 5 AND dev > 0 AND usd - mean >= 2 * dev),
+        f AS (SELECT *, ts_ms AS last, true AS found FROM c WHERE j = 1
+            UNION ALL SELECT c.*, CASE WHEN c.ts_ms - f.last >= 60000 THEN c.ts_ms ELSE f.last END, c.ts_ms - f.last >= 60000 FROM f JOIN c ON c.market = f.market AND c.j = f.j + 1)
+        SELECT market, trade_id, round(1e-7 + (usd - mean) / dev, 4) AS z FROM f WHERE found""",
+}

@@ -10,8 +10,8 @@ from ..functions import stats
 from ..operators import graph, sequences
 
 r = stats.rounded
-#: Wallets of a market that make pairs at most; more is noise for coordination.
-CROWD = 40
+#: How close in time trades of two wallets are coordinated; sizes of a sybil cluster; a fill that makes a wallet suspect.
+NEAR_MS, CLUSTER, SUSPECT_USD = 60_000, (2, 100), 104_000
 
 
 def join_dimensions(spark, sf):
@@ -78,46 +78,45 @@ def join_pre_event_volume(spark, sf):
     return j.groupBy("event_id").agg(F.count("*").alias("n"), r(F.sum(F.when(early, F.col("usd")).otherwise(0.0)), 4).alias("day_before"), r(F.sum(F.when(~early, F.col("usd")).otherwise(0.0)), 4).alias("hour_before"))
 
 
-def _daily(spark, sf):
-    return t.fills(spark, sf).select("wallet", "market", "side", "usd", "price", F.floor(F.col("ts_ms") / t.DAY).alias("day"))
-
-
 def pair_timing(spark, sf):
-    """Share of a wallet's trades with one of the other within three days in the same market, over the smaller count.
+    """Share of a wallet's trades with one of the other within a minute in the same market, over the smaller count.
 
-    Three-day buckets and their neighbours make an equi-join of the range join; a trade counts once however many match.
+    Buckets of a minute and their neighbours make an equi-join of the range join; a trade counts once however many match.
     """
-    f = _daily(spark, sf).groupBy("wallet", "market", "day").agg(F.count("*").alias("n"))
-    size = f.groupBy("wallet").agg(F.sum("n").alias("total"))
-    a = f.select("market", F.col("wallet").alias("a"), F.col("day").alias("day_a"), "n", F.explode(F.array(*[F.floor(F.col("day") / 3) + k for k in (-1, 0, 1)])).alias("b3"))
-    b = f.select("market", F.col("wallet").alias("b"), F.col("day").alias("day_b"), F.floor(F.col("day") / 3).alias("b3"))
-    near = a.join(b, ["market", "b3"]).filter((F.col("a") != F.col("b")) & (F.abs(F.col("day_a") - F.col("day_b")) <= 3))
-    once = near.groupBy("a", "b", "market", "day_a").agg(F.max("n").alias("n")).groupBy("a", "b").agg(F.sum("n").alias("hits"))
+    f = t.trades(spark, sf).select("trade_id", "wallet", "market", "ts_ms", F.floor(F.col("ts_ms") / NEAR_MS).alias("bucket"))
+    size = f.groupBy("wallet").agg(F.count("*").alias("total"))
+    a = f.select("market", F.col("wallet").alias("a"), F.col("trade_id").alias("trade"), F.col("ts_ms").alias("at"), F.explode(F.array(*[F.col("bucket") + k for k in (-1, 0, 1)])).alias("bucket"))
+    b = f.select("market", F.col("wallet").alias("b"), "ts_ms", "bucket")
+    near = a.join(b, ["market", "bucket"]).filter((F.col("a") != F.col("b")) & (F.abs(F.col("at") - F.col("ts_ms")) <= NEAR_MS))
+    once = near.select("a", "b", "trade").distinct().groupBy("a", "b").agg(F.count("*").alias("hits"))
     j = once.join(size.select(F.col("wallet").alias("a"), F.col("total").alias("na")), "a").join(size.select(F.col("wallet").alias("b"), F.col("total").alias("nb")), "b")
-    return j.filter("hits >= 2").select("a", "b", "hits", r(F.least(F.try_divide("hits", F.least("na", "nb")), F.lit(1.0)), 6).alias("timing"))
+    return j.select("a", "b", "hits", r(F.least(F.try_divide("hits", F.least("na", "nb")), F.lit(1.0)), 6).alias("timing"))
 
 
 def pair_direction(spark, sf):
-    """Of two wallets' trades on one day in one market, the share on the same side."""
-    f = _daily(spark, sf)
-    a, b = f.select("market", "day", F.col("wallet").alias("a"), F.col("side").alias("sa")), f.select("market", "day", F.col("wallet").alias("b"), F.col("side").alias("sb"))
-    return a.join(b, ["market", "day"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), r(F.avg((F.col("sa") == F.col("sb")).cast("double")), 6).alias("same_side"))
+    """Of two wallets' pairs of trades on one day in one market, the share on the same side, from counts of each side."""
+    d = t.fills(spark, sf).groupBy("market", F.floor(F.col("ts_ms") / t.DAY).alias("day"), "wallet").agg(F.count_if(F.col("side") == "BUY").alias("buys"), F.count_if(F.col("side") != "BUY").alias("sells"))
+    a, b = (d.select("market", "day", F.col("wallet").alias(x), F.col("buys").alias(f"buys_{x}"), F.col("sells").alias(f"sells_{x}")) for x in "ab")
+    same = F.col("buys_a") * F.col("buys_b") + F.col("sells_a") * F.col("sells_b")
+    total = (F.col("buys_a") + F.col("sells_a")) * (F.col("buys_b") + F.col("sells_b"))
+    out = a.join(b, ["market", "day"]).filter("a < b").groupBy("a", "b").agg(F.sum(total).alias("n"), F.sum(same).alias("same"))
+    return out.select("a", "b", "n", r(F.try_divide("same", "n"), 6).alias("same_side"))
 
 
 def pair_market_overlap(spark, sf):
-    """Jaccard index of the markets of wallets that share markets with up to CROWD wallets, by counts, not by sets."""
+    """Jaccard index of the markets of wallets that share three or more, by counts, not by sets."""
     wm = t.fills(spark, sf).select("wallet", "market").distinct()
     size = wm.groupBy("wallet").agg(F.count("*").alias("n"))
-    p = graph.shared_pairs(wm, "wallet", "market", CROWD)
+    p = graph.shared_pairs(wm, "wallet", "market", 3)
     j = p.join(size.select(F.col("wallet").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("wallet").alias("b"), F.col("n").alias("nb")), "b")
-    return j.filter("shared >= 3").select("a", "b", "shared", r(F.try_divide("shared", F.col("na") + F.col("nb") - F.col("shared")) * 100, 5).alias("jaccard"))
+    return j.select("a", "b", "shared", r(F.try_divide("shared", F.col("na") + F.col("nb") - F.col("shared")) * 100, 5).alias("jaccard"))
 
 
 def pair_coordination(spark, sf):
     """Weighted similarity of wallets that share three markets or more: markets, sizes, win rates and buy shares."""
     f = t.fills(spark, sf)
     w = f.groupBy("wallet").agg(F.count("*").alias("n"), F.avg("usd").alias("size"), F.avg(F.col("win").cast("double")).alias("wins"), F.avg((F.col("side") == "BUY").cast("double")).alias("buys"), F.countDistinct("market").alias("markets"))
-    p = graph.shared_pairs(f.select("wallet", "market").distinct(), "wallet", "market", CROWD).filter("shared >= 3")
+    p = graph.shared_pairs(f.select("wallet", "market").distinct(), "wallet", "market", 3)
     side = lambda x: w.select(*[F.col(c).alias(x if c == "wallet" else f"{c}_{x}") for c in w.columns])
     j = p.join(side("a"), "a").join(side("b"), "b")
     overlap = F.try_divide("shared", F.col("markets_a") + F.col("markets_b") - F.col("shared"))
@@ -129,17 +128,11 @@ def pair_coordination(spark, sf):
 
 def pair_star_groups(spark, sf):
     """Groups around a source wallet, not transitive: its partners by shared markets, two or more."""
-    p = graph.shared_pairs(t.fills(spark, sf).select("wallet", "market").distinct(), "wallet", "market", CROWD).filter("shared >= 4")
+    p = graph.shared_pairs(t.fills(spark, sf).select("wallet", "market").distinct(), "wallet", "market", 4)
     both = p.select("a", "b").union(p.select("b", "a"))
     return both.groupBy("a").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("b")).alias("m")).filter("n >= 2").select(F.col("a").alias("wallet"), "n", F.array_join("m", ",").alias("members"))
 
 
-def pair_sybil_clusters(spark, sf):
-    """Transitive clusters of wallets that share four markets or more: size and smallest member."""
-    p = graph.shared_pairs(t.fills(spark, sf).select("wallet", "market").distinct(), "wallet", "market", CROWD).filter("shared >= 4")
-    return graph.components(p).groupBy("root").agg(F.count("*").alias("n")).filter("n between 2 and 1000")
-
-
 def pair_cross_market(spark, sf):
     """Markets traded by the same wallets on one day: wallets, pairs and Pearson's r of the paired sizes (0 without spread)."""
     e = t.trades(spark, sf).groupBy("wallet", "market", F.floor(F.col("ts_ms") / t.DAY).alias("day")).agg(F.sum("usd").alias("usd"))
@@ -147,16 +140,39 @@ def pair_cross_market(spark, sf):
     return a.join(b, ["wallet", "day"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.countDistinct("wallet").alias("wallets"), r(stats.pearson("x", "y"), 5).alias("r")).filter("n >= 3 and wallets >= 2")
 
 
+def _title_classes(spark, sf):
+    """(market, words): the words of over three letters of a title, as a sorted set; titles with two of them or more."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("title"), "[^a-z0-9]+"), lambda w: F.length(w) > 3)))
+    return t.markets(spark, sf).select("market", words.alias("words")).filter(F.size("words") > 1)
+
+
+def pair_title_classes(spark, sf):
+    """The class of each market: markets whose titles have the same words, named by the smallest of them."""
+    m = _title_classes(spark, sf)
+    c = m.groupBy("words").agg(F.min("market").alias("class"), F.count("*").alias("n"))
+    return m.join(c, "words").select("market", "class", "n")
+
+
 def pair_related_titles(spark, sf):
-    """Markets whose titles share two words or more of over three letters."""
-    w = t.markets(spark, sf).select("market", F.explode(F.array_distinct(F.split(F.lower("title"), "[^a-z0-9]+"))).alias("word")).filter("length(word) > 3")
-    return graph.shared_pairs(w, "market", "word", 500).filter("shared >= 2")
+    """Classes of markets (see pair_title_classes) whose titles share two words or more; a class of several with itself.
+
+    Each row stands for all pairs of a market of one class with one of the other: `pairs` of them.
+    """
+    c = _title_classes(spark, sf).groupBy("words").agg(F.min("market").alias("class"), F.count("*").alias("n"))
+    p = graph.shared_pairs(c.select("class", F.explode("words").alias("word")), "class", "word", 2)
+    own = c.filter("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.size("words").cast("long").alias("shared"), F.expr("n * (n - 1) div 2").alias("pairs"))
+    n = lambda x: c.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"))
+    return p.join(n("a"), "a").join(n("b"), "b").select("a", "b", "shared", (F.col("n_a") * F.col("n_b")).alias("pairs")).union(own)
 
 
 def graph_funding_reach(spark, sf):
-    """Funding up to three steps back: who sold to wallets below 20, who sold to those, and so on."""
-    e = t.fills(spark, sf).filter("usd >= 60000").select((F.col("counterparty") * 7 % 150).alias("source"), F.col("wallet").alias("target")).distinct()
-    starts = t.wallets(spark, sf).filter("wallet < 20").select(F.col("wallet").alias("start"))
+    """Funding up to three steps back from suspect wallets: who sold to them in large fills, who sold to those, and so on.
+
+    A counterparty's id is that of the wallet which it trades with elsewhere.
+    """
+    f = t.fills(spark, sf)
+    e = f.filter("usd >= 60000").select(F.col("counterparty").alias("source"), F.col("wallet").alias("target")).distinct()
+    starts = f.filter(F.col("usd") >= SUSPECT_USD).select(F.col("wallet").alias("start"))
     return graph.reach(e, starts, 3)
 
 
@@ -167,11 +183,14 @@ def graph_funding_sources(spark, sf):
 
 
 def join_alerts_to_subscribers(spark, sf):
-    """Alerts for each subscriber by severity floor and watched kind: an equi-join on kind, then the floor."""
+    """Alerts for each subscriber (any wallet) by severity floor and watched kind: alerts are summed by kind and rank first."""
     rank = F.when(F.col("usd") >= 90_000, 3).when(F.col("usd") >= 80_000, 2).otherwise(1)
     alerts = t.fills(spark, sf).filter("usd >= 70000").join(t.wallets(spark, sf).select("wallet", "kind"), "wallet").withColumn("rank", rank)
-    subs = t.wallets(spark, sf).filter("wallet % 50 = 0").select(F.col("wallet").alias("subscriber"), "kind", (F.col("wallet") % 3 + 1).alias("floor"))
-    return alerts.join(subs, "kind").filter("rank >= floor").groupBy("subscriber").agg(F.count("*").alias("alerts"), r(F.sum("usd"), 2).alias("usd"))
+    sums = alerts.groupBy("kind", "rank").agg(F.count("*").alias("n"), F.sum("usd").alias("usd"))
+    floors = sums.crossJoin(F.broadcast(spark.range(1, 4).withColumnRenamed("id", "floor"))).filter("rank >= floor")  # three rows
+    floors = floors.groupBy("kind", "floor").agg(F.sum("n").alias("alerts"), F.sum("usd").alias("usd"))
+    subs = t.wallets(spark, sf).select(F.col("wallet").alias("subscriber"), "kind", (F.col("wallet") % 3 + 1).alias("floor"))
+    return subs.join(floors, ["kind", "floor"]).select("subscriber", "alerts", r("usd", 2).alias("usd"))
 
 
 def top_markets(spark, sf):
@@ -220,11 +239,13 @@ def set_upserted(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     join_dimensions, join_hot_markets, join_daily_profit, join_active_wallets, join_new_wallets, join_between_wallets, join_as_of_volume, join_pre_event_volume, pair_timing, pair_direction, pair_market_overlap,
-    pair_coordination, pair_star_groups, pair_sybil_clusters, pair_cross_market, pair_related_titles, graph_funding_reach, graph_funding_sources, join_alerts_to_subscribers, top_markets, top_first_trade, top_latest_snapshot,
+    pair_coordination, pair_star_groups, pair_cross_market, pair_title_classes, pair_related_titles, graph_funding_reach, graph_funding_sources, join_alerts_to_subscribers, top_markets, top_first_trade, top_latest_snapshot,
     top_page, set_filters, set_wallet_roles, set_upserted,
 )}
 
-_WM = f"wm AS (SELECT DISTINCT wallet, market FROM fills), ok AS (SELECT market FROM wm GROUP BY market HAVING count(*) BETWEEN 2 AND {CROWD}), kept AS (SELECT wm.* FROM wm SEMI JOIN ok ON wm.market = ok.market), sp AS (SELECT x.wallet AS a, y.wallet AS b, count(*) AS shared FROM kept x JOIN kept y ON x.market = y.market AND x.wallet < y.wallet GROUP BY ALL)"
+_WM = "wm AS (SELECT DISTINCT wallet, market FROM fills), sp AS (SELECT x.wallet AS a, y.wallet AS b, count(*) AS shared FROM wm x JOIN wm y ON x.market = y.market AND x.wallet < y.wallet GROUP BY ALL)"
+_TITLES = """,w AS (SELECT market, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: length(x) > 3))) AS words FROM markets),
+c AS (SELECT words, min(market) AS class, count(*) AS n FROM w WHERE len(words) > 1 GROUP BY words)"""
 
 ORACLE_SQL = {
     "join_dimensions": t.sql("fills markets wallets", "SELECT category, region, count(*) AS n, round(sum(usd), 2) AS usd FROM fills LEFT JOIN markets USING (market) LEFT JOIN wallets USING (wallet) GROUP BY ALL"),
@@ -235,17 +256,38 @@ ORACLE_SQL = {
     "join_between_wallets": t.sql("fills", "SELECT least(wallet, counterparty) AS a, greatest(wallet, counterparty) AS b, count(*) AS n, round(sum(usd), 2) AS usd FROM fills GROUP BY ALL HAVING count(*) >= 3"),
     "join_as_of_volume": t.sql("trades", "SELECT trade_id, wallet, view_id, round(q, 5) AS ratio, CASE WHEN q >= 5 THEN 'extreme' WHEN q >= 2 THEN 'high' WHEN q >= 1 THEN 'elevated' ELSE 'normal' END AS level FROM (SELECT l.trade_id, l.wallet, v.trade_id AS view_id, CASE WHEN v.usd IS NULL THEN l.usd ELSE l.usd / greatest(v.usd, 1) END AS q FROM (SELECT * FROM trades WHERE market = 'purchase') l ASOF LEFT JOIN (SELECT * FROM trades WHERE market = 'view') v ON l.wallet = v.wallet AND l.ts_ms >= v.ts_ms)"),
     "join_pre_event_volume": t.sql("trades", "SELECT e.trade_id AS event_id, count(*) AS n, round(coalesce(sum(o.usd) FILTER (o.ts_ms < e.ts_ms - 3600000), 0), 4) AS day_before, round(coalesce(sum(o.usd) FILTER (o.ts_ms >= e.ts_ms - 3600000), 0), 4) AS hour_before FROM trades e JOIN trades o ON e.wallet = o.wallet AND o.market != 'error' AND o.ts_ms < e.ts_ms AND o.ts_ms >= e.ts_ms - 86400000 WHERE e.market = 'error' AND e.usd >= 50 GROUP BY 1"),
-    "pair_timing": t.sql("fills", ",d AS (SELECT wallet, market, ts_ms // 86400000 AS day, count(*) AS n FROM fills GROUP BY ALL), s AS (SELECT wallet, sum(n) AS total FROM d GROUP BY wallet) SELECT a, b, hits::BIGINT AS hits, round(least(hits / least(x.total, y.total), 1), 6) AS timing FROM (SELECT a, b, sum(n) AS hits FROM (SELECT DISTINCT p.wallet AS a, q.wallet AS b, p.market, p.day, p.n FROM d p JOIN d q ON p.market = q.market AND p.wallet != q.wallet AND abs(p.day - q.day) <= 3) GROUP BY ALL HAVING sum(n) >= 2) JOIN s x ON x.wallet = a JOIN s y ON y.wallet = b"),
+    "pair_timing": t.sql(
+        "trades",
+        """,s AS (SELECT wallet, count(*) AS total FROM trades GROUP BY wallet)
+        SELECT a, b, hits, round(least(hits / least(x.total, y.total), 1), 6) AS timing
+        FROM (SELECT p.wallet AS a, q.wallet AS b, count(DISTINCT p.trade_id) AS hits FROM trades p JOIN trades q
+              ON p.market = q.market AND p.wallet != q.wallet AND q.ts_ms BETWEEN p.ts_ms - 60000 AND p.ts_ms + 60000 GROUP BY ALL)
+        JOIN s x ON x.wallet = a JOIN s y ON y.wallet = b""",
+    ),
     "pair_direction": t.sql("fills", "SELECT p.wallet AS a, q.wallet AS b, count(*) AS n, round(avg((p.side = q.side)::INT), 6) AS same_side FROM fills p JOIN fills q ON p.market = q.market AND p.ts_ms // 86400000 = q.ts_ms // 86400000 AND p.wallet < q.wallet GROUP BY ALL"),
-    "pair_market_overlap": t.sql("fills", f",{_WM}, z AS (SELECT wallet, count(*) AS n FROM wm GROUP BY wallet) SELECT a, b, shared, round(shared / (x.n + y.n - shared) * 100, 5) AS jaccard FROM sp JOIN z x ON x.wallet = a JOIN z y ON y.wallet = b WHERE shared >= 3"),
-    "pair_coordination": t.sql("fills", f",{_WM}, w AS (SELECT wallet, avg(usd) AS size, avg(win::INT) AS wins, avg((side = 'BUY')::INT) AS buys, count(DISTINCT market) AS markets FROM fills GROUP BY wallet) SELECT a, b, shared, s AS score, s >= 60 AS coordinated FROM (SELECT a, b, shared, round(100 * (0.4 * shared / (x.markets + y.markets - shared) + 0.25 * least(x.size, y.size) / greatest(x.size, y.size) + 0.2 * greatest(1 - 2 * abs(x.wins - y.wins), 0) + 0.15 * (1 - abs(x.buys - y.buys))), 4) AS s FROM sp JOIN w x ON x.wallet = a JOIN w y ON y.wallet = b WHERE shared >= 3)"),
-    "pair_star_groups": t.sql("fills", f",{_WM}, e AS (SELECT a, b FROM sp WHERE shared >= 4 UNION ALL SELECT b, a FROM sp WHERE shared >= 4) SELECT a AS wallet, count(*) AS n, string_agg(b, ',' ORDER BY b) AS members FROM e GROUP BY a HAVING count(*) >= 2"),
-    "pair_sybil_clusters": "WITH RECURSIVE " + t.SQL["fills"] + f", {_WM}, e AS (SELECT a, b FROM sp WHERE shared >= 4 UNION SELECT b, a FROM sp WHERE shared >= 4), c AS (SELECT DISTINCT a AS node, a AS root FROM e UNION SELECT e.b, least(c.root, e.b) FROM c JOIN e ON e.a = c.node) SELECT root, count(*) AS n FROM (SELECT node, min(root) AS root FROM c GROUP BY node) GROUP BY root HAVING count(*) BETWEEN 2 AND 1000",
+    "pair_market_overlap": t.sql("fills", "," + _WM + ", z AS (SELECT wallet, count(*) AS n FROM wm GROUP BY wallet) SELECT a, b, shared, round(shared / (x.n + y.n - shared) * 100, 5) AS jaccard FROM sp JOIN z x ON x.wallet = a JOIN z y ON y.wallet = b WHERE shared >= 3"),
+    "pair_coordination": t.sql("fills", "," + _WM + ", w AS (SELECT wallet, avg(usd) AS size, avg(win::INT) AS wins, avg((side = 'BUY')::INT) AS buys, count(DISTINCT market) AS markets FROM fills GROUP BY wallet) SELECT a, b, shared, s AS score, s >= 60 AS coordinated FROM (SELECT a, b, shared, round(100 * (0.4 * shared / (x.markets + y.markets - shared) + 0.25 * least(x.size, y.size) / greatest(x.size, y.size) + 0.2 * greatest(1 - 2 * abs(x.wins - y.wins), 0) + 0.15 * (1 - abs(x.buys - y.buys))), 4) AS s FROM sp JOIN w x ON x.wallet = a JOIN w y ON y.wallet = b WHERE shared >= 3)"),
+    "pair_star_groups": t.sql("fills", "," + _WM + ", e AS (SELECT a, b FROM sp WHERE shared >= 4 UNION ALL SELECT b, a FROM sp WHERE shared >= 4) SELECT a AS wallet, count(*) AS n, string_agg(b, ',' ORDER BY b) AS members FROM e GROUP BY a HAVING count(*) >= 2"),
     "pair_cross_market": t.sql("trades", ",d AS (SELECT wallet, market, ts_ms // 86400000 AS day, sum(usd) AS usd FROM trades GROUP BY ALL) SELECT x.market AS a, y.market AS b, count(*) AS n, count(DISTINCT x.wallet) AS wallets, round(CASE WHEN var_pop(x.usd) > 0 AND var_pop(y.usd) > 0 THEN corr(x.usd, y.usd) ELSE 0 END, 5) AS r FROM d x JOIN d y ON x.wallet = y.wallet AND x.day = y.day AND x.market < y.market GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT x.wallet) >= 2"),
-    "pair_related_titles": t.sql("markets", ",w AS (SELECT DISTINCT market, unnest(regexp_split_to_array(lower(title), '[^a-z0-9]+')) AS word FROM markets), v AS (SELECT * FROM w WHERE length(word) > 3), k AS (SELECT word FROM v GROUP BY word HAVING count(*) BETWEEN 2 AND 500), u AS (SELECT v.* FROM v SEMI JOIN k USING (word)) SELECT x.market AS a, y.market AS b, count(*) AS shared FROM u x JOIN u y ON x.word = y.word AND x.market < y.market GROUP BY ALL HAVING count(*) >= 2"),
-    "graph_funding_reach": "WITH RECURSIVE " + t.SQL["fills"] + ", " + t.SQL["wallets"] + ", e AS (SELECT DISTINCT counterparty * 7 % 150 AS source, wallet AS target FROM fills WHERE usd >= 60000), g AS (SELECT wallet AS start, wallet AS node, 0 AS depth FROM wallets WHERE wallet < 20 UNION SELECT start, source, depth + 1 FROM g JOIN e ON node = target WHERE depth < 3) SELECT start, node, min(depth) AS depth FROM g GROUP BY start, node",
+    "pair_related_titles": t.sql(
+        "markets",
+        _TITLES
+        + """,u AS (SELECT class, n, unnest(words) AS word FROM c)
+        SELECT x.class AS a, y.class AS b, count(*) AS shared, any_value(x.n * y.n) AS pairs FROM u x JOIN u y ON x.word = y.word AND x.class < y.class GROUP BY ALL HAVING count(*) >= 2
+        UNION ALL SELECT class, class, len(words), n * (n - 1) // 2 FROM c WHERE n > 1""",
+    ),
+    "pair_title_classes": t.sql("markets", _TITLES + " SELECT market, class, n FROM w JOIN c USING (words)"),
+    "graph_funding_reach": "WITH RECURSIVE "
+    + t.SQL["fills"]
+    + """, e AS (SELECT DISTINCT counterparty AS source, wallet AS target FROM fills WHERE usd >= 60000),
+        g AS (SELECT wallet AS start, wallet AS node, 0 AS depth FROM fills WHERE usd >= 104000 UNION SELECT start, source, depth + 1 FROM g JOIN e ON node = target WHERE depth < 3)
+        SELECT start, node, min(depth) AS depth FROM g GROUP BY start, node""",
     "graph_funding_sources": t.sql("fills", "SELECT counterparty AS source, count(DISTINCT wallet) AS wallets, round(sum(usd), 2) AS usd FROM fills GROUP BY 1 HAVING count(DISTINCT wallet) >= 2"),
-    "join_alerts_to_subscribers": t.sql("fills wallets", "SELECT s.wallet AS subscriber, count(*) AS alerts, round(sum(usd), 2) AS usd FROM fills f JOIN wallets w ON f.wallet = w.wallet JOIN wallets s ON s.kind = w.kind AND s.wallet % 50 = 0 WHERE usd >= 70000 AND CASE WHEN usd >= 90000 THEN 3 WHEN usd >= 80000 THEN 2 ELSE 1 END >= s.wallet % 3 + 1 GROUP BY 1"),
+    "join_alerts_to_subscribers": t.sql(
+        "fills wallets",
+        """,a AS (SELECT kind, CASE WHEN usd >= 90000 THEN 3 WHEN usd >= 80000 THEN 2 ELSE 1 END AS severity, count(*) AS n, sum(usd) AS usd FROM fills JOIN wallets USING (wallet) WHERE usd >= 70000 GROUP BY ALL)
+        SELECT wallet AS subscriber, sum(n)::BIGINT AS alerts, round(sum(usd), 2) AS usd FROM wallets JOIN a ON a.kind = wallets.kind AND severity >= wallet % 3 + 1 GROUP BY 1""",
+    ),
     "top_markets": t.sql("fills", "SELECT market, round(sum(usd), 2) AS usd FROM fills GROUP BY market ORDER BY usd DESC, market LIMIT 25"),
     "top_first_trade": t.sql("fills", "SELECT wallet, ts_ms, order_id, line, usd FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY ts_ms, order_id, line, market, counterparty, usd, pnl) AS i FROM fills) WHERE i = 1"),
     "top_latest_snapshot": t.sql("fills", "SELECT DISTINCT ON (market) market, day, n, usd FROM (SELECT market, ts_ms // 86400000 * 86400000 AS day, count(*) AS n, round(sum(usd), 2) AS usd FROM fills GROUP BY ALL) ORDER BY market, day DESC"),

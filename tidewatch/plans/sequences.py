@@ -75,14 +75,21 @@ def seq_pyramiding(spark, sf):
     return out.filter("n >= 2 and rising and sides = 1").select("wallet", "market", "n")
 
 
+#: Trailing windows of volumes.
+WINDOWS = {"1m": MINUTE, "5m": 5 * MINUTE, "15m": 15 * MINUTE, "1h": t.HOUR, "4h": 4 * t.HOUR, "24h": t.DAY}
+
+
 def seq_rolling_volume(spark, sf):
-    """Trailing hour and day of each market at each trade: count, sum, mean and the change a minute."""
-    rows, out = t.trades(spark, sf), None
-    for name, width in (("hour", t.HOUR), ("day", t.DAY)):
-        w = seq.trailing(["market"], width)
-        rows = rows.withColumns({f"n_{name}": F.count("*").over(w), f"sum_{name}": r(F.sum("usd").over(w), 3), f"mean_{name}": r(F.avg("usd").over(w), 3)})
-    out = rows.select("trade_id", "market", "n_hour", "sum_hour", "mean_hour", "n_day", "sum_day", "mean_day")
-    return out
+    """Six trailing windows of each market at each trade: count, sum, mean and velocity, the change a minute from first to last."""
+    at = F.struct("ts_ms", "trade_id")
+
+    def columns(name, w):
+        minutes = (F.col("ts_ms") - F.min("ts_ms").over(w)) / MINUTE
+        change = F.max_by("usd", at).over(w) - F.min_by("usd", at).over(w)
+        return {f"n_{name}": F.count("*").over(w), f"sum_{name}": r(F.sum("usd").over(w), 3), f"mean_{name}": r(F.avg("usd").over(w), 3), f"velocity_{name}": r(F.when(minutes > 0, change / minutes).otherwise(0.0), 3) + 0.0}
+
+    rows = t.trades(spark, sf).select("trade_id", "market", "ts_ms", "usd")
+    return seq.trailing(rows, ["market"], WINDOWS, t.DAY, columns).drop("ts_ms", "usd")
 
 
 def seq_breaches(spark, sf):
@@ -126,10 +133,8 @@ def seq_trend_split(spark, sf):
 def seq_ranks(spark, sf):
     """Leaderboard by win rate: rank, and the share of wallets below."""
     a = t.fills(spark, sf).groupBy("wallet").agg(F.count("*").alias("n"), r(F.avg(F.col("win").cast("double")), 6).alias("rate")).filter("n >= 5")
-    # one row a wallet after the aggregation; ranks over all of them need one order
-    w = Window.orderBy(F.desc("rate"), F.desc("n"), "wallet")
     total = a.agg(F.count("*").alias("all"))
-    ranked = a.withColumn("rank", F.row_number().over(w)).crossJoin(F.broadcast(total))  # one row
+    ranked = seq.ranked(a, -F.floor(F.col("rate") * 1000), [F.desc("rate"), F.desc("n"), "wallet"]).crossJoin(F.broadcast(total))  # one row
     return ranked.select("wallet", "rate", "rank", r(F.coalesce(F.try_divide((F.col("all") - F.col("rank")) * 100.0, F.col("all") - 1), F.lit(100.0)), 5).alias("percentile"))
 
 
@@ -168,10 +173,8 @@ def seq_quota(spark, sf):
 
 
 def seq_deduplicated(spark, sf):
-    """Trades of a wallet in a market that are not within an hour of the one before."""
-    w = Window.partitionBy("wallet", "market").orderBy(*_AT)
-    gap = F.col("ts_ms") - F.lag("ts_ms").over(w)
-    return t.trades(spark, sf).withColumn("gap", gap).filter(F.col("gap").isNull() | (F.col("gap") > t.HOUR)).select("trade_id", "wallet", "market", "ts_ms")
+    """Trades of a wallet in a market that come more than an hour after the last one let through."""
+    return seq.admitted(t.trades(spark, sf), ["wallet", "market"], ["ts_ms", "trade_id"], t.HOUR)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -197,7 +200,16 @@ ORACLE_SQL = {
     "seq_interval_stats": t.sql("trades", "SELECT wallet, count(*) AS n, round(avg(gap), 1) AS mean, round(median(gap), 1) AS median, round(stddev_pop(gap), 1) AS std, round(CASE WHEN count(*) < 2 THEN 1 ELSE stddev_pop(gap) / avg(gap) END, 6) AS variation, count(*) FILTER (gap < 60000) AS under_minute, count(*) FILTER (gap < 300000) AS under_five FROM (SELECT wallet, ts_ms - lag(ts_ms) OVER (PARTITION BY wallet ORDER BY ts_ms, trade_id) AS gap FROM trades) WHERE gap IS NOT NULL GROUP BY wallet"),
     "seq_martingale": t.sql("fills", f"SELECT wallet, count(*) AS losses, round(avg((ratio BETWEEN 1.8 AND 2.2)::INT), 6) AS share FROM (SELECT wallet, usd / lag(usd) OVER w AS ratio, lag(win) OVER w AS won FROM fills WINDOW w AS (PARTITION BY wallet ORDER BY {_O})) WHERE NOT won GROUP BY wallet"),
     "seq_pyramiding": t.sql("fills", f"SELECT wallet, market, count(*) AS n FROM (SELECT *, coalesce(usd > lag(usd) OVER (PARTITION BY wallet, market ORDER BY {_O}), true) AS up FROM fills) GROUP BY wallet, market HAVING count(*) >= 2 AND bool_and(up) AND count(DISTINCT side) = 1"),
-    "seq_rolling_volume": t.sql("trades", "SELECT trade_id, market, count(*) OVER h AS n_hour, round(sum(usd) OVER h, 3) AS sum_hour, round(avg(usd) OVER h, 3) AS mean_hour, count(*) OVER d AS n_day, round(sum(usd) OVER d, 3) AS sum_day, round(avg(usd) OVER d, 3) AS mean_day FROM trades WINDOW h AS (PARTITION BY market ORDER BY ts_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW), d AS (PARTITION BY market ORDER BY ts_ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW)"),
+    "seq_rolling_volume": t.sql(
+        "trades",
+        "SELECT trade_id, market, "
+        + ", ".join(
+            f"count(*) OVER w{n} AS n_{n}, round(sum(usd) OVER w{n}, 3) AS sum_{n}, round(avg(usd) OVER w{n}, 3) AS mean_{n}, round(CASE WHEN ts_ms > min(ts_ms) OVER w{n} THEN (arg_max(usd, (ts_ms, trade_id)) OVER w{n} - arg_min(usd, (ts_ms, trade_id)) OVER w{n}) / ((ts_ms - min(ts_ms) OVER w{n}) / 60000) ELSE 0 END, 3) + 0 AS velocity_{n}"
+            for n in WINDOWS
+        )
+        + " FROM trades WINDOW "
+        + ", ".join(f"w{n} AS (PARTITION BY market ORDER BY ts_ms RANGE BETWEEN {width} PRECEDING AND CURRENT ROW)" for n, width in WINDOWS.items()),
+    ),
     "seq_breaches": t.sql("trades", """SELECT market, ts_ms, round(v, 3) AS volume, z, CASE WHEN abs(z) >= 4 THEN 'critical' WHEN abs(z) >= 3 THEN 'high' WHEN abs(z) >= 2.5 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT *, round(CASE WHEN s > 0 THEN (v - m) / s ELSE 0 END, 5) AS z FROM (SELECT *, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s, count(*) OVER w AS n
         FROM (SELECT market, ts_ms // 3600000 * 3600000 AS ts_ms, sum(usd) AS v FROM trades GROUP BY ALL) WINDOW w AS (PARTITION BY market ORDER BY ts_ms RANGE BETWEEN 86400000 PRECEDING AND 1 PRECEDING)) WHERE n >= 5) WHERE abs(z) >= 2"""),
     "seq_sliding_windows": t.sql("trades", "SELECT market, s AS window_start, count(*) AS n, count(DISTINCT wallet) AS wallets, round(sum(usd), 4) AS usd, count(*) FILTER (side = 'BUY') AS buys FROM (SELECT x.*, unnest(range(greatest(0, ceil((ts_ms - f - 3600000) / 600000)::BIGINT), (ts_ms - f) // 600000 + 1)) * 600000 + f AS s FROM trades x JOIN (SELECT market, min(ts_ms) AS f FROM trades GROUP BY market) USING (market)) GROUP BY market, s HAVING count(*) >= 4 AND count(DISTINCT wallet) >= 3"),
@@ -208,7 +220,12 @@ ORACLE_SQL = {
     "seq_volume_trend": t.sql("trades", "SELECT market, s AS slope, CASE WHEN s > 0.1 THEN 'increasing' WHEN s < -0.1 THEN 'decreasing' ELSE 'stable' END AS trend FROM (SELECT market, round(coalesce(regr_slope(v, day) / nullif(avg(v), 0), 0), 6) AS s FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY day DESC) AS i FROM (SELECT market, ts_ms // 86400000 AS day, sum(usd) AS v FROM trades GROUP BY ALL)) WHERE i <= 5 GROUP BY market)"),
     "seq_first_trades": t.sql("trades", "SELECT wallet, trade_id, usd, round(usd / m, 5) AS multiple, round(CASE WHEN s > 0 THEN (usd - m) / s ELSE 0 END, 5) AS z, round(CASE WHEN s > 0 THEN (usd - m) / s ELSE 0 END, 5) >= 2 AS outlier FROM (SELECT *, avg(usd) OVER () AS m, stddev_pop(usd) OVER () AS s FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY ts_ms, trade_id) AS i FROM trades) WHERE i = 1)"),
     "seq_quota": t.sql("trades", "SELECT trade_id, wallet, nth FROM (SELECT *, row_number() OVER (PARTITION BY wallet, ts_ms // 86400000 ORDER BY ts_ms, trade_id) AS nth FROM trades WHERE usd >= 50) WHERE nth <= 3"),
-    "seq_deduplicated": t.sql("trades", "SELECT trade_id, wallet, market, ts_ms FROM (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY wallet, market ORDER BY ts_ms, trade_id) AS gap FROM trades) WHERE gap IS NULL OR gap > 3600000"),
+    "seq_deduplicated": "WITH RECURSIVE "
+    + t.SQL["trades"]
+    + """, o AS (SELECT wallet, market, ts_ms, trade_id, row_number() OVER (PARTITION BY wallet, market ORDER BY ts_ms, trade_id) AS i FROM trades),
+        f AS (SELECT *, ts_ms AS last, true AS goes_on FROM o WHERE i = 1
+            UNION ALL SELECT o.*, CASE WHEN o.ts_ms - f.last > 3600000 THEN o.ts_ms ELSE f.last END, o.ts_ms - f.last > 3600000 FROM f JOIN o ON o.wallet = f.wallet AND o.market = f.market AND o.i = f.i + 1)
+        SELECT wallet, market, ts_ms, trade_id FROM f WHERE goes_on""",
 }
 ORACLE_SQL["seq_average_cost"] = """WITH RECURSIVE """ + t.SQL["fills"] + """,
     o AS (SELECT *, row_number() OVER (PARTITION BY wallet, market ORDER BY ts_ms, order_id, line, counterparty, usd, pnl) AS i FROM fills),
