@@ -1,12 +1,16 @@
 """Quality rules, line dedup, sharding and URL filters against plain Python, with the edge cases of their docstrings."""
 
 import hashlib
+import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from tidewatch.llm import line_dedup, quality_rules, sharding, urls
 from tidewatch.llm.queries import oracle_sql, queries
@@ -114,6 +118,27 @@ def test_sharding(spark, sf_dir):
     assert sharding.sharded(docs.limit(0), sharding.tree_for(40), sharding.tree_for(41)).count() == 0
 
 
+def test_shards_equal_plain_draws(spark):
+    tree = {"a": {"x": {0: 1.0, 1: 0.5}, "y": {2: 2.0}}, "b": {"x": {3: 1.5, 4: 0.0}}, "c": {"z": {5: 0.25, 6: 1.0, 7: 3.0}}}
+
+    def draw(doc, name, weight):
+        h = xxhash.xxh64_intdigest(name.encode(), xxhash.xxh64_intdigest(struct.pack("<q", doc), 42))
+        return -math.log(((h >> 11) + 1) / 2.0**53) / weight
+
+    def plain(doc):
+        path, node = "", tree
+        total = lambda n: n if isinstance(n, float) else sum(map(total, n.values()))
+        while isinstance(node, dict):
+            named = {k: (f"{path}/{k}".lstrip("/"), total(v)) for k, v in node.items() if total(v)}
+            best = min(named, key=lambda k: draw(doc, *named[k]))  # noqa: B023
+            path, node = named[best][0], node[best]
+        return best
+
+    docs = [-5, 0, 1, 2**40, *range(100, 1100)]
+    out = spark.createDataFrame([(d,) for d in docs], "id long").select("id", sharding.shard_of(F.col("id"), tree).alias("s")).collect()
+    assert {r.id: r.s for r in out} == {d: plain(d) for d in docs}
+
+
 def test_weights_move_documents_only_into_what_gains(spark):
     tree, heavy = sharding.tree_for(40), sharding.tree_for(40)
     heavy["r2"]["k1"][21] = 3.0

@@ -1,5 +1,6 @@
 import math
 import re
+import unicodedata
 import zlib
 
 import duckdb
@@ -45,7 +46,11 @@ def test_statistics_equal_a_plain_count(spark, sf_dir):
     for d, t in rows:
         words, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if x]
         n = max(1, len(words))
-        want = {"log_words": math.log1p(len(words)), "word_chars": sum(map(len, words)) / n, "distinct": len(set(words)) / n, "marks": len(re.findall("[!?]", t)) / max(1, len(t)), "repeated_lines": (len(lines) - len(set(lines))) / max(1, len(lines))}
+        part = lambda pattern: len(re.findall(pattern, t)) / max(1, len(t))  # noqa: E731, B023
+        want = {"symbols": part(r"[#*$%&|<>@^~_{}\\\[\]=+]"), "stops": part("[.,;:]"), "digits": part("[0-9]"), "capitals": sum(unicodedata.category(c) == "Lu" for c in t) / max(1, len(t)), "line_words": len(words) / max(1, len(lines))}
+        want["other"] = sum(c.isalpha() or c in " \t\n\x0b\x0c\r.," for c in t) / max(1, len(t))
+        want |= {"log_words": math.log1p(len(words)), "word_chars": sum(map(len, words)) / n, "distinct": len(set(words)) / n, "marks": len(re.findall("[!?]", t)) / max(1, len(t)), "repeated_lines": (len(lines) - len(set(lines))) / max(1, len(lines))}
+        assert set(want) == set(re_.STATISTICS)
         assert all(math.isclose(out[d][k], v, abs_tol=1e-9) for k, v in want.items())
 
 

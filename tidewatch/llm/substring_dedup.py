@@ -26,8 +26,8 @@ from .passages import WordHashes, segments
 WINDOW, GRAM = 35, 8
 #: A minimizer with more distinct segments than this is dealt out by whole windows instead.
 HOT = 1024
-#: Words in one FM-index at most, but for what one key has.
-INDEX_WORDS = 400_000
+#: Words in one FM-index at most, but for what one key has; windows that are handed on at a time.
+INDEX_WORDS, TOGETHER = 400_000, 20_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -72,6 +72,10 @@ def _passages(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 def _windows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (content, words, copies) to one row a window: its place in the segment, its words and their hash."""
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["content", "at", "piece", "words", "copies"])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -80,9 +84,11 @@ def _windows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 for i in range(len(words) - window + 1):
                     one = b" ".join(words[i : i + window])
                     out.append((content, i, _content(one), one, copies))
+                    if len(out) >= TOGETHER:
+                        yield made(out)
+                        out = []
             if out:
-                kinds = (pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["content", "at", "piece", "words", "copies"])
+                yield made(out)
 
     return each
 
@@ -181,7 +187,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if ranges else b" ".join(words)
             out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]) if out else pa.RecordBatch.from_pydict({})
+        if out:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, index_words: int = INDEX_WORDS) -> DataFrame:
