@@ -72,15 +72,17 @@ r AS (SELECT *, CASE
     WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule,
     '^^' || regexp_replace(regexp_replace(lower(host || path), '[0-9]', '0', 'g'), '[^a-z0./-]', '_', 'g') || '$' AS s FROM v),
 k AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM r),
-strings AS (SELECT s, count(*) FILTER (ruled = 'allow') AS accepted, count(*) FILTER (ruled = 'block') AS rejected FROM k GROUP BY s),
-each AS (SELECT s, accepted, rejected, substr(s, i, 3) AS g FROM (SELECT *, unnest(range(1, length(s) - 1)) AS i FROM strings)),
-grams AS (SELECT g, substr(g, 1, 1) AS a, substr(g, 2, 1) AS b, substr(g, 3, 1) AS c, sum(accepted) AS accepted, sum(rejected) AS rejected FROM each GROUP BY g),
+strings AS (SELECT s, substr(md5(s), 1, 1) IN ('0', '1', '2', '3') AS held, count(*) FILTER (ruled = 'allow') AS accepted, count(*) FILTER (ruled = 'block') AS rejected FROM k GROUP BY s),
+each AS (SELECT s, held, accepted, rejected, substr(s, i, 3) AS g FROM (SELECT *, unnest(range(1, length(s) - 1)) AS i FROM strings)),
+grams AS (SELECT g, substr(g, 1, 1) AS a, substr(g, 2, 1) AS b, substr(g, 3, 1) AS c, sum(CASE WHEN held THEN 0 ELSE accepted END) AS accepted, sum(CASE WHEN held THEN 0 ELSE rejected END) AS rejected FROM each GROUP BY g),
 {_model("accepted")},{_model("rejected")},
 ratio AS (SELECT x.g, ln(x.p) - ln(y.p) AS ratio FROM accepted2 x JOIN rejected2 y ON x.g = y.g),
-scored AS (SELECT s, avg(ratio) AS score, any_value(accepted) AS accepted, any_value(rejected) AS rejected FROM each JOIN ratio USING (g) GROUP BY s),
-m AS (SELECT sum(accepted * score) / nullif(sum(accepted), 0) AS ma, sum(rejected * score) / nullif(sum(rejected), 0) AS mr,
-             sum(accepted * score * score) / nullif(sum(accepted), 0) AS sa, sum(rejected * score * score) / nullif(sum(rejected), 0) AS sr FROM scored),
-t AS (SELECT (ma * dr + mr * da) / (da + dr) AS least FROM (SELECT ma, mr, sqrt(greatest(sa - ma * ma, 1e-12)) AS da, sqrt(greatest(sr - mr * mr, 1e-12)) AS dr FROM m))
+scored AS (SELECT s, any_value(held) AS held, round(avg(ratio), 9) AS score, any_value(accepted) AS accepted, any_value(rejected) AS rejected FROM each JOIN ratio USING (g) GROUP BY s),
+parts AS (SELECT 1 AS part, * FROM scored WHERE held UNION ALL SELECT 2, * FROM scored),
+m AS (SELECT part, sum(accepted * score) / nullif(sum(accepted), 0) AS ma, sum(rejected * score) / nullif(sum(rejected), 0) AS mr,
+             sum(accepted * score * score) / nullif(sum(accepted), 0) AS sa, sum(rejected * score * score) / nullif(sum(rejected), 0) AS sr FROM parts GROUP BY part),
+h AS (SELECT part, round((ma * dr + mr * da) / (da + dr), 9) AS least FROM (SELECT part, ma, mr, sqrt(greatest(sa - ma * ma, 1e-12)) AS da, sqrt(greatest(sr - mr * mr, 1e-12)) AS dr FROM m)),
+t AS (SELECT coalesce(max(least) FILTER (part = 1), max(least)) AS least FROM h)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score < least THEN 'block' ELSE 'allow' END) AS verdict FROM k JOIN scored USING (s), t
 """
 

@@ -63,9 +63,11 @@ def judged_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
     """page_id, host, path, rule, verdict and score of every row of pages(page_id, url).
 
     URLs that a rule allows or blocks train the accepted and the rejected model. What no rule fits is allowed if its
-    score, the log-likelihood difference per symbol, reaches a threshold calibrated on the ruled URLs: the point that is
-    as many standard deviations below the accepted mean as above the rejected one. Without ruled URLs of both kinds,
-    what no rule fits is allowed. Equal symbol strings are counted and scored once. A null url, or one without ``://``,
+    score, the log-likelihood difference per symbol, reaches a threshold: the point that is as many standard deviations
+    below the accepted mean as above the rejected one. A quarter of the ruled URLs, by a hash of their symbols, train no
+    model and give the threshold; where they lack a kind, all ruled URLs do. Without ruled URLs of both kinds, what no
+    rule fits is allowed. Equal symbol strings are counted and scored once; scores are rounded to nine digits, so that
+    the order of a sum decides nothing. A null url, or one without ``://``,
     has an empty host and path, which no rule fits; repeated rows and null page_ids each get their row; an empty table
     gives none; other columns are not read.
     """
@@ -74,16 +76,26 @@ def judged_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = split.select("*", rule.alias("rule"), verdict.alias("ruled"), symbols(F.col("host"), F.col("path")).alias("s"))
     # what several rules fit together can differ for one string of symbols, so kinds are counted apart
+    held = F.substring(F.md5("s"), 1, 1).isin("0", "1", "2", "3")
     strings = saved(rows.groupBy("s").agg(F.count_if(F.col("ruled") == "allow").alias("accepted"), F.count_if(F.col("ruled") == "block").alias("rejected")), "strings")
     cut = F.transform(F.sequence(F.lit(1), F.length("s") - 2), lambda i: F.substring(F.col("s"), i, F.lit(3)))
     each = strings.select("*", F.explode(cut).alias("g"))
-    grams = saved(each.groupBy("g").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "grams")
+    learns = lambda kind: F.sum(F.when(held, 0).otherwise(F.col(kind))).alias(kind)
+    grams = saved(each.groupBy("g").agg(learns("accepted"), learns("rejected")), "grams")
     ratio = F.broadcast(saved(log_ratio(grams), "ratio"))  # at most 36,000 short rows
-    scored = saved(each.join(ratio, "g").groupBy("s").agg(F.avg("ratio").alias("score"), F.first("accepted").alias("accepted"), F.first("rejected").alias("rejected")), "scores")
-    n = {k: F.sum(k) for k in ("accepted", "rejected")}
-    mean = {k: F.sum(F.col(k) * F.col("score")) / F.nullif(n[k], F.lit(0)) for k in n}
-    square = {k: F.sum(F.col(k) * F.col("score") * F.col("score")) / F.nullif(n[k], F.lit(0)) for k in n}
-    dev = {k: F.sqrt(F.greatest(square[k] - mean[k] * mean[k], F.lit(1e-12))) for k in n}
-    least = scored.agg(((mean["accepted"] * dev["rejected"] + mean["rejected"] * dev["accepted"]) / (dev["accepted"] + dev["rejected"])).alias("least"))
+    scored = saved(each.join(ratio, "g").groupBy("s").agg(F.round(F.avg("ratio"), 9).alias("score"), F.first("accepted").alias("accepted"), F.first("rejected").alias("rejected")), "scores")
+
+    def between(part: Column) -> tuple[Column, Column]:
+        """Whether this part of the ruled URLs has both kinds, and the point between their scores."""
+        of = {k: F.when(part, F.col(k)).otherwise(0) for k in ("accepted", "rejected")}
+        n = {k: F.sum(x) for k, x in of.items()}
+        mean = {k: F.sum(x * F.col("score")) / F.nullif(n[k], F.lit(0)) for k, x in of.items()}
+        square = {k: F.sum(x * F.col("score") * F.col("score")) / F.nullif(n[k], F.lit(0)) for k, x in of.items()}
+        dev = {k: F.sqrt(F.greatest(square[k] - mean[k] * mean[k], F.lit(1e-12))) for k in of}
+        at = (mean["accepted"] * dev["rejected"] + mean["rejected"] * dev["accepted"]) / (dev["accepted"] + dev["rejected"])
+        return (n["accepted"] > 0) & (n["rejected"] > 0), at
+
+    (both, at), (_, of_all) = between(held), between(F.lit(True))
+    least = scored.agg(F.round(F.when(both, at).otherwise(of_all), 9).alias("least"))
     says = scored.crossJoin(F.broadcast(least)).select("s", "score", F.when(F.col("score") < F.col("least"), "block").otherwise("allow").alias("method"))  # one row
     return rows.join(says, "s", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "method").alias("verdict"), "score")
