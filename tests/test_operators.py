@@ -143,17 +143,46 @@ def test_sources_and_sinks(spark, tmp_path):
     assert tuple(files.merged(old, new, "id", "at", ["price"]).first()) == (1, 2, 5.0, "y")
 
 
-@pytest.mark.parametrize("name", ["ml_wallet_clusters", "ml_isolation_forest", "ml_density_clusters", "ml_elbow", "stream_windowed_volume", "stream_bursts", "stream_spikes", "seq_regularity", "seq_down_sampled"])
+@pytest.mark.parametrize("name", ["ml_wallet_clusters", "ml_isolation_forest", "ml_density_clusters", "ml_elbow", "seq_down_sampled"])
 def test_queries_without_sql_give_rows(spark, sf_dir, name):
     from tidewatch import catalog
 
     assert catalog.queries()[name](spark, sf_dir).count() > 0
 
 
-def test_streamed_windows_equal_the_batch(spark, sf_dir):
-    from tidewatch import catalog, tables
+def test_shared_pairs_without_a_cap(spark):
+    rng = random.Random(4)
+    sets = {i: {rng.randrange(30) for _ in range(rng.randrange(1, 8))} | ({0} if i % 3 else set()) for i in range(120)}
+    rows = spark.createDataFrame([(i, k) for i, ks in sets.items() for k in ks], "item long, key long")
+    for least in (1, 2, 3):
+        want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least}
+        for common in (3, 15, 1000):
+            assert {(r.a, r.b): r.shared for r in graph.shared_pairs(rows, "item", "key", least, common).collect()} == want
 
-    got = {(r.market, int(r.start.timestamp() * 1000)): (r.n, round(r.usd, 6)) for r in catalog.queries()["stream_windowed_volume"](spark, sf_dir).select("market", F.col("start").cast("timestamp").alias("start"), "n", "usd").collect()}
-    e = tables.trades(spark, sf_dir)
-    want = {(r.market, r.b): (r.n, round(r.usd, 6)) for r in e.groupBy("market", stats.bucket_ms(F.col("ts_ms"), 14_400_000).alias("b")).agg(F.count("*").alias("n"), F.sum("usd").alias("usd")).collect()}
-    assert got and all(want[k] == v for k, v in got.items())
+
+def test_components_of_paths_loops_and_nothing(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (200, 200), (None, 5), (5, None), (100, 101)]
+    out = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {i: 0 for i in range(61)} | {100: 100, 101: 100, 103: 100, 200: 200}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_ranks_need_no_single_order(spark):
+    rng = random.Random(5)
+    values = [round(rng.gauss(0, 3), 2) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(values)), "k long, v double")
+    got = {r.k: r["rank"] for r in sequences.ranked(rows, -F.floor(F.col("v")), [F.desc("v"), "k"]).collect()}
+    assert got == {k: i + 1 for i, (k, _) in enumerate(sorted(enumerate(values), key=lambda x: (-x[1], x[0])))}
+
+
+def test_admitted_measures_from_the_last_one_let_through(spark):
+    rows = spark.createDataFrame([("w", t, i) for i, t in enumerate((0, 50, 100, 150, 251, 300))], "w string, ts_ms long, trade_id long")
+    assert [r.ts_ms for r in sequences.admitted(rows, ["w"], ["ts_ms", "trade_id"], 60).orderBy("ts_ms").collect()] == [0, 100, 251]
+
+
+def test_frames_reach_into_the_chunk_before(spark):
+    rows = spark.createDataFrame([("m", t, 1.0) for t in (0, 90, 110, 195, 210, 420)], "m string, ts_ms long, usd double")
+    out = sequences.trailing(rows, ["m"], {"w": 100}, 100, lambda name, w: {name: F.sum("usd").over(w)})
+    assert [r.w for r in out.orderBy("ts_ms").collect()] == [1, 2, 2, 2, 3, 1]
+    with pytest.raises(ValueError, match="wider"):
+        sequences.trailing(rows, ["m"], {"w": 101}, 100, lambda name, w: {})

@@ -38,4 +38,4 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 
 def test_the_others_are_known():
-    assert set(QUERIES) - set(SQL) == {"seq_regularity", "seq_down_sampled", "ml_wallet_clusters", "ml_isolation_forest", "ml_density_clusters", "ml_elbow", "stream_windowed_volume", "stream_bursts", "stream_spikes"}
+    assert set(QUERIES) - set(SQL) == {"seq_down_sampled", "ml_wallet_clusters", "ml_isolation_forest", "ml_density_clusters", "ml_elbow"}

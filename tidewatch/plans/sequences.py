@@ -55,7 +55,7 @@ def seq_interval_stats(spark, sf):
 
 
 def seq_regularity(spark, sf):
-    """Share of a wallet's intervals that are alike within a day; order-dependent, so checked by its own test."""
+    """Share of a wallet's intervals that are alike within a day; groups are made greedily in order."""
     arrays = _intervals(spark, sf).groupBy("wallet").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "trade_id", "gap"))).alias("x")).select("wallet", F.transform("x", lambda v: v["gap"].cast("double")).alias("gaps"))
     return seq.regularity(arrays, "wallet", "gaps", t.DAY)
 
@@ -220,6 +220,14 @@ ORACLE_SQL = {
     "seq_volume_trend": t.sql("trades", "SELECT market, s AS slope, CASE WHEN s > 0.1 THEN 'increasing' WHEN s < -0.1 THEN 'decreasing' ELSE 'stable' END AS trend FROM (SELECT market, round(coalesce(regr_slope(v, day) / nullif(avg(v), 0), 0), 6) AS s FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY day DESC) AS i FROM (SELECT market, ts_ms // 86400000 AS day, sum(usd) AS v FROM trades GROUP BY ALL)) WHERE i <= 5 GROUP BY market)"),
     "seq_first_trades": t.sql("trades", "SELECT wallet, trade_id, usd, round(usd / m, 5) AS multiple, round(CASE WHEN s > 0 THEN (usd - m) / s ELSE 0 END, 5) AS z, round(CASE WHEN s > 0 THEN (usd - m) / s ELSE 0 END, 5) >= 2 AS outlier FROM (SELECT *, avg(usd) OVER () AS m, stddev_pop(usd) OVER () AS s FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY ts_ms, trade_id) AS i FROM trades) WHERE i = 1)"),
     "seq_quota": t.sql("trades", "SELECT trade_id, wallet, nth FROM (SELECT *, row_number() OVER (PARTITION BY wallet, ts_ms // 86400000 ORDER BY ts_ms, trade_id) AS nth FROM trades WHERE usd >= 50) WHERE nth <= 3"),
+    "seq_regularity": "WITH RECURSIVE "
+    + t.SQL["trades"]
+    + f""", h AS (SELECT wallet, ts_ms, trade_id, ts_ms - lag(ts_ms) OVER (PARTITION BY wallet ORDER BY ts_ms, trade_id) AS gap FROM trades),
+        g AS (SELECT wallet, gap, row_number() OVER (PARTITION BY wallet ORDER BY ts_ms, trade_id) AS i, count(*) OVER (PARTITION BY wallet) AS n FROM h WHERE gap IS NOT NULL),
+        f AS (SELECT DISTINCT wallet, 0::BIGINT AS i, []::BIGINT[] AS heads, []::BIGINT[] AS counts FROM g
+            UNION ALL SELECT wallet, j, CASE WHEN p > 0 THEN heads ELSE list_append(heads, gap) END, CASE WHEN p > 0 THEN list_concat(list_concat(counts[1:p - 1], [counts[p] + 1]), counts[p + 1:]) ELSE list_append(counts, 1) END
+            FROM (SELECT f.wallet, g.i AS j, heads, counts, gap, coalesce(list_position(list_transform(heads, lambda h: abs(h - gap) <= {t.DAY}), true), 0) AS p FROM f JOIN g ON g.wallet = f.wallet AND g.i = f.i + 1))
+        SELECT f.wallet, list_max(counts) / n AS regularity FROM f JOIN g ON g.wallet = f.wallet AND g.i = f.i AND g.i = g.n""",
     "seq_deduplicated": "WITH RECURSIVE "
     + t.SQL["trades"]
     + """, o AS (SELECT wallet, market, ts_ms, trade_id, row_number() OVER (PARTITION BY wallet, market ORDER BY ts_ms, trade_id) AS i FROM trades),
