@@ -150,6 +150,32 @@ def test_queries_without_sql_give_rows(spark, sf_dir, name):
     assert catalog.queries()[name](spark, sf_dir).count() > 0
 
 
+def plain_lttb(rows, points):
+    rows, n = sorted(rows), len(rows)
+    if n <= points or points <= 2:
+        return rows if n <= points else [rows[0], rows[-1]]
+    size, kept = (n - 2) / (points - 2), [0]
+    for i in range(points - 2):
+        a, b, d = int((i + 1) * size), min(int((i + 2) * size), n), min(int((i + 3) * size), n)
+        mx, my = (sum(r[0] for r in rows[b:d]) / (d - b), sum(r[1] for r in rows[b:d]) / (d - b)) if d > b else rows[-1]
+        p = rows[kept[-1]]
+        area = [abs((p[0] - mx) * (rows[j][1] - p[1]) - (p[0] - rows[j][0]) * (my - p[1])) for j in range(a, b)]
+        kept += [a + area.index(max(area))] if area else []
+    return [rows[i] for i in sorted({*kept, n - 1})]
+
+
+@pytest.mark.parametrize(("points", "stretch"), [(3, 50), (20, 50), (100, 100_000)])
+def test_down_sampling_equals_the_plain_way(spark, points, stretch):
+    rng = random.Random(2)
+    series = {"a": [(rng.randrange(10**6), round(rng.gauss(0, 5), 3)) for _ in range(997)], "b": [(i, float(i % 7)) for i in range(30)], "c": [(5, 1.0)]}
+    series |= {"d": [(i // 3, round(rng.random(), 2)) for i in range(400)], "e": [(9, float(i)) for i in range(200)]}
+    df = spark.createDataFrame([(k, x, y) for k, v in series.items() for x, y in v], "k string, x long, y double")
+    got = {k: [] for k in series}
+    for r in sequences.lttb(df, "k", "x", "y", points, stretch).collect():
+        got[r.k].append((r.x, r.y))
+    assert {k: sorted(v) for k, v in got.items()} == {k: plain_lttb(v, points) for k, v in series.items()}
+
+
 def test_shared_pairs_without_a_cap(spark):
     rng = random.Random(4)
     sets = {i: {rng.randrange(30) for _ in range(rng.randrange(1, 8))} | ({0} if i % 3 else set()) for i in range(120)}

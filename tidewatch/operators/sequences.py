@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,35 +130,79 @@ def drawdown(rows: DataFrame, key: str, order: Sequence[str], value: str) -> Dat
     return peak.groupBy(key).agg(F.max_by("_sum", F.struct(*order)).alias("total"), F.max(F.col("_peak") - F.col("_sum")).alias("drawdown"))
 
 
-def lttb(rows: DataFrame, key: str, x: str, y: str, points: int) -> DataFrame:
+#: Rows of a series that one task reduces at a time when it is down-sampled.
+STRETCH = 100_000
+
+
+def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the corners of the convex hull of points in ascending order of x, then y; of equal points the first."""
+    first = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+    at = np.flatnonzero(first)
+    if len(at) < 3:
+        return at
+
+    def half(order: np.ndarray) -> list[int]:
+        out: list[int] = []
+        for i in order.tolist():
+            while len(out) > 1 and (x[out[-1]] - x[out[-2]]) * (y[i] - y[out[-2]]) <= (y[out[-1]] - y[out[-2]]) * (x[i] - x[out[-2]]):
+                out.pop()
+            out.append(i)
+        return out
+
+    return np.array(sorted({*half(at), *half(at[::-1])}))
+
+
+def lttb(rows: DataFrame, key: str, x: str, y: str, points: int, stretch: int = STRETCH) -> DataFrame:
     """Largest-triangle down-sampling of each series to `points` rows; first and last always stay.
 
     Bucket i takes positions (i + 1) * size to (i + 2) * size, so that the rows before the first bucket are no
     candidates; each bucket keeps the row whose triangle with the row kept before and the next bucket's mean is largest.
-    The choice depends on the one before, so a series is one group of one task; series must fit there.
+    The area is linear in the row, so the largest one is at a corner of the bucket's convex hull: buckets are reduced to
+    their corners in stretches of `stretch` rows at most, in parallel, and only the corners of a series, a few dozen a
+    bucket, meet in one task for the choice, in which each depends on the one before.
     """
-
-    def each(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values([x, y], kind="stable").reset_index(drop=True)
-        n = len(series)
-        if n <= points:
-            return series
-        if points <= 2:
-            return series.iloc[[0, n - 1]]
-        xs, ys, size, kept = series[x].to_numpy(float), series[y].to_numpy(float), (n - 2) / (points - 2), [0]
-        for i in range(points - 2):
-            a, b = int((i + 1) * size), min(int((i + 2) * size), n)
-            c, d = b, min(int((i + 3) * size), n)
-            mx, my = (xs[c:d].mean(), ys[c:d].mean()) if d > c else (xs[-1], ys[-1])
-            if b <= a:
-                continue
-            p = kept[-1]
-            area = abs((xs[p] - mx) * (ys[a:b] - ys[p]) - (xs[p] - xs[a:b]) * (my - ys[p]))
-            kept.append(a + int(area.argmax()))
-        return series.iloc[sorted({*kept, n - 1})]
-
-    part = rows.select(key, x, y)
-    return part.groupBy(key).applyInPandas(each, part.schema)
+    part = rows.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
+    # positions without gathering a series: counts of steps of its range before, and a number within the step
+    ends = part.groupBy("k").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n"))
+    wide = F.greatest((F.col("high") - F.col("low")) / F.greatest(F.ceil(F.col("n") / stretch), F.lit(1)), F.lit(1e-300))
+    placed = part.join(ends, "k").withColumn("step", F.floor((F.col("x") - F.col("low")) / wide))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("k").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("k", "step").agg(F.count("*").alias("m")).select("k", "step", before.alias("before"))
+    at = F.col("before") + F.row_number().over(Window.partitionBy("k", "step").orderBy("x", "y")) - 1
+    placed = placed.join(starts, ["k", "step"]).select("k", "x", "y", "n", at.cast("long").alias("at"))
+    whole = placed.filter(F.col("n") <= points).select("k", "x", "y")
+    if points <= 2:
+        few = placed.filter((F.col("n") > points) & ((F.col("at") == 0) | (F.col("at") == F.col("n") - 1))).select("k", "x", "y")
+        return whole.union(few).select(F.col("k").alias(key), F.col("x").alias(x), F.col("y").alias(y))
+    size = (F.col("n") - 2) / (points - 2)
+    large = placed.filter(F.col("n") > points).withColumn("bucket", (F.ceil((F.col("at") + 1) / size) - 2).cast("int"))
+    means = large.filter("bucket >= 1").groupBy("k", "bucket").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+
+    def corners(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("at").reset_index(drop=True)
+        return group.iloc[_hull(group.x.to_numpy(float), group.y.to_numpy(float))]
+
+    held = large.filter(F.col("bucket").between(0, points - 3)).withColumn("part", F.floor(F.col("at") / stretch))
+    one = held.groupBy("k", "bucket", "part").applyInPandas(corners, held.schema)
+    two = one.groupBy("k", "bucket").applyInPandas(corners, held.schema)
+    first_last = large.filter((F.col("at") == 0) | (F.col("at") == F.col("n") - 1)).withColumn("part", F.lit(-1).cast("long"))
+    following = means.select("k", (F.col("bucket") - 1).alias("bucket"), "mx", "my")
+    candidates = two.unionByName(first_last).join(following, ["k", "bucket"], "left").select("k", "x", "y", "at", "bucket", "part", "mx", "my")
+
+    def chosen(series: pd.DataFrame) -> pd.DataFrame:
+        series = series.sort_values(["part", "at"])
+        ends_ = series[series.part < 0]
+        kept = [ends_.iloc[0]]
+        for _, b in series[series.part >= 0].groupby("bucket", sort=True):
+            last, c = kept[-1], b.sort_values("at")
+            mx, my = (c.mx.iloc[0], c.my.iloc[0]) if c.mx.notna().iloc[0] else (float(ends_.iloc[-1].x), float(ends_.iloc[-1].y))
+            area = abs((last.x - mx) * (c.y.to_numpy(float) - last.y) - (last.x - c.x.to_numpy(float)) * (my - last.y))
+            kept.append(c.iloc[int(area.argmax())])
+        out = pd.DataFrame([*kept, ends_.iloc[-1]]).drop_duplicates("at")
+        return out[["k", "x", "y"]].astype({c: series[c].dtype for c in ("k", "x", "y")})
+
+    found = candidates.groupBy("k").applyInPandas(chosen, part.schema)
+    return whole.union(found).select(F.col("k").alias(key), F.col("x").alias(x), F.col("y").alias(y))
 
 
 def regularity(rows: DataFrame, key: str, intervals: str, tolerance_ms: int) -> DataFrame:
