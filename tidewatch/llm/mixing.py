@@ -148,25 +148,24 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     a null doc_id is hashed like any other; repeated rows get equal rows; very long texts are taken whole; an empty table
     gives none; other columns are ignored.
 
-    What is fitted depends on the scratch table of posteriors alone. With columns to keep, posteriors are worked out once
-    more beside them, so that no text goes to a scratch table or a shuffle.
+    Features are worked out for the labelled documents and then, in one pass that writes each document once with its
+    posterior and the columns to keep, for all.
     """
     targets = targets or TARGETS
     names = sorted(targets)
     text = text_or_empty(F.col("text"))
-    rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("draw"), features(F.col("text")).alias("buckets"), F.size(F.array_remove(F.split(text, GAP), "")).cast("long").alias("n_tokens"))
-    counted = saved(rows.drop(*keep), "features")
     few = saved(sampled(domain_of_labels(labels), most_rows), "chosen")
-    model = learned(counted.join(F.broadcast(few), "doc_id").select("domain", "buckets"), names)  # most_rows short rows
-    scored = lambda df: df.select(*[c for c in df.columns if c != "buckets"], soft_membership(posteriors(F.col("buckets"), model)).alias("p"))
-    members = saved(scored(counted), "memberships")
-    dropped(counted, few)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")  # most_rows short rows
+    training = saved(known.select("domain", features(F.col("text")).alias("buckets")), "training")
+    model = learned(training, names)
+    dropped(few, training)
+    n_tokens = F.size(F.array_remove(F.split(text, GAP), "")).cast("long")
+    rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("draw"), n_tokens.alias("n_tokens"), features(F.col("text")).alias("buckets"))
+    members = rows.select(*keep, "doc_id", "draw", "n_tokens", soft_membership(posteriors(F.col("buckets"), model)).alias("p"))
+    members = saved(members, "memberships")
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
     mass = sum(targets.values())
     errors = fitted_rates(members, [targets[d] / mass * (budget or total) for d in names])
-    if keep:
-        dropped(members)
-        members = scored(rows)
     out = members.withColumn("rate", rate_of("p", errors))
     part = F.shiftrightunsigned(F.xxhash64("draw"), 11).cast("double") / 2.0**53
     copies = F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")
