@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, quality_rules, rule_ensemble, sharding, simhash, substring_dedup, token_files, urls
+from . import decontamination, fill_in_middle, line_dedup, mixing, quality_rules, rule_ensemble, sharding, simhash, substring_dedup, token_files, urls
 from .sql import ORACLE_SQL
 
 
@@ -63,9 +63,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged_urls(_table(spark, sf_dir, "pages")).drop("score")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.filled_in(_table(spark, sf_dir, "documents"))
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    texts = digest(F.col("output")).alias("output_sha256"), digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *texts)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_simhash_near_dedup, op2_mixing, op3_decontamination, op4_substring_dedup, op5_quality_classifier)
     found += (op6_quality_rules, op7_line_dedup, op8_token_files, op9_hash_tree_sharding, op10_url_filter)
+    found += (op11_fill_in_middle,)
     return {f.__name__: f for f in found}
 
 

@@ -86,4 +86,18 @@ t AS (SELECT coalesce(max(least) FILTER (part = 1), max(least)) AS least FROM h)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score < least THEN 'block' ELSE 'allow' END) AS verdict FROM k JOIN scored USING (s), t
 """
 
-ORACLE_SQL = {"op6_quality_rules": QUALITY, "op7_line_dedup": LINES, "op10_url_filter": URLS}
+#: Draws, units and cuts as the task states them; the output is put together and taken apart again by its markers.
+MIDDLES = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, ('0x' || substr(x, 1, 8))::BIGINT AS h1,
+        ('0x' || substr(x, 9, 8))::BIGINT AS h2, ('0x' || substr(x, 17, 8))::BIGINT AS h3, ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM d),
+k AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, n, form, t, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM k),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM p),
+c AS (SELECT *, regexp_split_to_array(output, '<[PSM]>') AS cut FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars, sha256(output) AS output_sha256,
+    sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN cut[2] || cut[4] || cut[3] ELSE cut[3] || cut[4] || cut[2] END) AS restored_sha256 FROM c
+"""
+
+ORACLE_SQL = {"op6_quality_rules": QUALITY, "op7_line_dedup": LINES, "op10_url_filter": URLS, "op11_fill_in_middle": MIDDLES}
