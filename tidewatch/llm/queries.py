@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fill_in_middle, line_dedup, mixing, quality_rules, rule_ensemble, secret_scan, sharding, simhash, substring_dedup, token_files, urls
+from . import decontamination, fill_in_middle, line_dedup, mixing, quality_rules, rule_ensemble, secret_scan, sharding, simhash, spelling, substring_dedup, token_files, urls
 from .sql import ORACLE_SQL
 
 
@@ -79,10 +79,14 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.listed(spans).alias("spans"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(spelling.words(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_simhash_near_dedup, op2_mixing, op3_decontamination, op4_substring_dedup, op5_quality_classifier)
     found += (op6_quality_rules, op7_line_dedup, op8_token_files, op9_hash_tree_sharding, op10_url_filter)
-    found += (op11_fill_in_middle, op12_secret_scan)
+    found += (op11_fill_in_middle, op12_secret_scan, op13_spelling_variants)
     return {f.__name__: f for f in found}
 
 
