@@ -206,9 +206,25 @@ def test_admitted_measures_from_the_last_one_let_through(spark):
     assert [r.ts_ms for r in sequences.admitted(rows, ["w"], ["ts_ms", "trade_id"], 60).orderBy("ts_ms").collect()] == [0, 100, 251]
 
 
-def test_frames_reach_into_the_chunk_before(spark):
-    rows = spark.createDataFrame([("m", t, 1.0) for t in (0, 90, 110, 195, 210, 420)], "m string, ts_ms long, usd double")
-    out = sequences.trailing(rows, ["m"], {"w": 100}, 100, lambda name, w: {name: F.sum("usd").over(w)})
-    assert [r.w for r in out.orderBy("ts_ms").collect()] == [1, 2, 2, 2, 3, 1]
+def test_frames_reach_into_the_chunks_before(spark):
+    rows = spark.createDataFrame([("m", i, t, 1.0) for i, t in enumerate((0, 90, 110, 195, 210, 420))], "m string, id long, ts_ms long, usd double")
+    out = sequences.rolling(rows, ["m"], "id", "usd", {"w": 100}, 100, 1)
+    assert [r.sum_w for r in out.orderBy("ts_ms").collect()] == [1, 2, 2, 2, 3, 1]
     with pytest.raises(ValueError, match="wider"):
-        sequences.trailing(rows, ["m"], {"w": 101}, 100, lambda name, w: {})
+        sequences.rolling(rows, ["m"], "id", "usd", {"w": 101}, 100, 1)
+
+
+@pytest.mark.parametrize("keys,chunk,block", [(["m"], 50, 4), ([], 7, 30), (["m"], 1000, 1)])
+def test_frames_equal_a_plain_reading(spark, keys, chunk, block):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), i, rng.choice([rng.randint(0, 60), rng.randint(0, 3000)]), float(rng.randint(-9, 9))) for i in range(300)]
+    out = sequences.rolling(spark.createDataFrame(rows, "m string, id long, ts_ms long, usd double").select(*keys, "id", "ts_ms", "usd"), keys, "id", "usd", {"x": 30, "y": 200, "z": 0}, chunk, block)
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for m, i, t, _ in rows:
+        of = sorted((ts, k, u) for n, k, ts, u in rows if not keys or n == m)
+        assert got[i]["last"] == [u for ts, _, u in of if ts <= t][-1]
+        for name, width in (("x", 30), ("y", 200), ("z", 0)):
+            frame = [(ts, u) for ts, _, u in of if t - width <= ts <= t]
+            r = got[i]
+            assert (r[f"n_{name}"], r[f"sum_{name}"], r[f"first_ms_{name}"], r[f"first_{name}"]) == (len(frame), sum(u for _, u in frame), *frame[0])

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import aggregates, behaviour, detectors, measures, models, outcomes, relations, sequences
+from .plans import aggregates, behaviour, clusters, detectors, measures, models, outcomes, relations, sequences
 
 #: Modules with queries; each has QUERIES and ORACLE_SQL.
-MODULES = (aggregates, sequences, relations, detectors, behaviour, measures, outcomes, models)
+MODULES = (aggregates, sequences, relations, detectors, behaviour, measures, outcomes, models, clusters)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
 
 
 def sessions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], gap_ms: int, least: int) -> DataFrame:
@@ -37,19 +37,43 @@ def largest_gap(rows: DataFrame, key: str, order: Sequence[str], least_ms: int)
     return steps.groupBy(key).agg(best.alias("g")).select(key, "g.*")
 
 
-def trailing(rows: DataFrame, keys: Sequence[str], widths: dict[str, int], chunk_ms: int, columns: Callable[[str, WindowSpec], dict[str, Column]]) -> DataFrame:
-    """rows with the columns that columns(name, frame) gives for each trailing width, the row's own instant included.
+def rolling(rows: DataFrame, keys: Sequence[str], ident: str, value: str, widths: dict[str, int], chunk_ms: int = 3_600_000, block: int = 24) -> DataFrame:
+    """keys, ident, ts_ms and value of each row with last, the value of the last row of its instant, and for each width
+    n_, sum_, first_ms_ and first_ of the rows in [ts_ms - width, ts_ms]: count, sum, and the first row's time and value.
 
-    A key is dealt by chunks of time, each with the rows of the widest frame before it, so that a busy key is as many
-    tasks as it has chunks; no width may exceed chunk_ms, and a row is copied once at most.
+    Rows and the points at which their frames begin are sorted once, dealt by chunks of time; running counts and sums
+    within a chunk, and those of the chunks before it in its block, are subtracted at a frame's ends, so that the work
+    doesn't grow with the width and a busy key is as many tasks as it has chunks. No width may exceed a block. Of rows
+    of one instant that with the smaller ident is first; idents are distinct.
     """
-    if max(widths.values()) > chunk_ms:
-        raise ValueError("a frame must not be wider than a chunk")
-    chunk = F.floor(F.col("ts_ms") / chunk_ms)
-    both = rows.select("*", F.explode(F.array(chunk, chunk + 1)).alias("_chunk"))
-    for name, width in widths.items():
-        both = both.withColumns(columns(name, Window.partitionBy(*keys, "_chunk").orderBy("ts_ms").rangeBetween(-width, 0)))
-    return both.filter(F.col("_chunk") == chunk).drop("_chunk")
+    if max(widths.values()) > chunk_ms * block:
+        raise ValueError("a frame must not be wider than a block")
+    point = lambda name, at, real: F.struct(F.lit(name).cast("string").alias("_name"), at.alias("_at"), F.lit(real).alias("_real"))
+    at = [point(None, F.col("ts_ms"), 1), *(point(name, F.col("ts_ms") - width, 0) for name, width in widths.items())]
+    points = rows.select(*keys, ident, "ts_ms", value, F.inline(F.array(*at))).withColumn("_chunk", F.floor(F.col("_at") / chunk_ms))
+    real = F.col("_real") == 1
+    row = F.when(real, F.struct(F.col("_at").alias("at"), F.col(ident).alias("id"), F.col(value).cast("double").alias("v")))
+    amount = F.when(real, F.col(value).cast("double")).otherwise(0.0)
+    # a frame's beginning sorts before the rows of its instant, which it takes in
+    up, down = (Window.partitionBy(*keys, "_chunk").orderBy(*by) for by in (("_at", "_real"), (F.desc("_at"), F.desc("_real"))))
+    seen = points.withColumns({"_n": F.sum(F.col("_real").cast("long")).over(up), "_s": F.sum(amount).over(up), "_last": F.max(row).over(up)["v"], "_next": F.min(row).over(down)})
+    chunks = points.groupBy(*keys, "_chunk").agg(F.sum(F.col("_real").cast("long")).alias("n"), F.sum(amount).alias("s"), F.min(row).alias("first"))
+    in_block = Window.partitionBy(*keys, F.floor(F.col("_chunk") / block))
+    before = in_block.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"_n0": F.coalesce(F.sum("n").over(before), F.lit(0)), "_s0": F.coalesce(F.sum("s").over(before), F.lit(0.0)), "_n1": F.sum("n").over(in_block), "_s1": F.sum("s").over(in_block), "_first": F.min("first").over(later)}
+    both = seen.join(chunks.select(*keys, "_chunk", *[c.alias(k) for k, c in sums.items()]), [*keys, "_chunk"])
+    # what a frame's beginning adds to the sums at its end: less all before it, and the rest of its block if that is another
+    other = F.floor(F.col("_chunk") / block) != F.floor(F.floor(F.col("ts_ms") / chunk_ms) / block)
+    part = {x: F.when(real, F.col(f"_{x}0") + F.col(f"_{x}")).otherwise(F.when(other, F.col(f"_{x}1")).otherwise(0) - F.col(f"_{x}0") - F.col(f"_{x}")) for x in "ns"}
+    first = F.coalesce("_next", "_first")
+    flat = both.select(*keys, ident, "ts_ms", value, "_name", part["n"].alias("_n"), part["s"].alias("_s"), F.when(real, F.col("_last")).alias("_last"), first["at"].alias("_ms"), first["v"].alias("_v"))
+    out = [F.max("_last").alias("last")]
+    for name in widths:
+        mine = F.col("_name") == name
+        out += [F.sum(F.when(mine | F.col("_name").isNull(), F.col(c))).alias(f"{k}_{name}") for k, c in (("n", "_n"), ("sum", "_s"))]
+        out += [F.max(F.when(mine, F.col(c))).alias(f"{k}_{name}") for k, c in (("first_ms", "_ms"), ("first", "_v"))]
+    return flat.groupBy(*keys, ident, "ts_ms", value).agg(*out)
 
 
 def anchored_windows(rows: DataFrame, keys: Sequence[str], width_ms: int, step_ms: int) -> DataFrame:

@@ -81,15 +81,13 @@ WINDOWS = {"1m": MINUTE, "5m": 5 * MINUTE, "15m": 15 * MINUTE, "1h": t.HOUR, "4h
 
 def seq_rolling_volume(spark, sf):
     """Six trailing windows of each market at each trade: count, sum, mean and velocity, the change a minute from first to last."""
-    at = F.struct("ts_ms", "trade_id")
-
-    def columns(name, w):
-        minutes = (F.col("ts_ms") - F.min("ts_ms").over(w)) / MINUTE
-        change = F.max_by("usd", at).over(w) - F.min_by("usd", at).over(w)
-        return {f"n_{name}": F.count("*").over(w), f"sum_{name}": r(F.sum("usd").over(w), 3), f"mean_{name}": r(F.avg("usd").over(w), 3), f"velocity_{name}": r(F.when(minutes > 0, change / minutes).otherwise(0.0), 3) + 0.0}
-
-    rows = t.trades(spark, sf).select("trade_id", "market", "ts_ms", "usd")
-    return seq.trailing(rows, ["market"], WINDOWS, t.DAY, columns).drop("ts_ms", "usd")
+    out = seq.rolling(t.trades(spark, sf).select("trade_id", "market", "ts_ms", "usd"), ["market"], "trade_id", "usd", WINDOWS)
+    columns = []
+    for name in WINDOWS:
+        n, total, minutes = F.col(f"n_{name}"), F.col(f"sum_{name}"), (F.col("ts_ms") - F.col(f"first_ms_{name}")) / MINUTE
+        velocity = F.when(minutes > 0, (F.col("last") - F.col(f"first_{name}")) / minutes).otherwise(0.0)
+        columns += [n, r(total, 3).alias(f"sum_{name}"), r(total / n, 3).alias(f"mean_{name}"), (r(velocity, 3) + 0.0).alias(f"velocity_{name}")]
+    return out.select("trade_id", "market", *columns)
 
 
 def seq_breaches(spark, sf):
