@@ -59,18 +59,31 @@ def shared_pairs(rows: DataFrame, item: str, key: str, least: int, common: int =
 
     Keys that more than `common` items have would make pairs with the square of their size. They are first counted by
     rarer keys; only pairs that common keys alone can make are looked for among those, without each item's least - 1
-    most common ones: two items that share `least` of them still meet at the rarest. What common keys a pair shares is
-    then counted from the items' lists of them.
+    most common ones: two items that share `least` of them still meet at the rarest. Items with the same common keys
+    are one class there, and classes become pairs of items only where they share `least` keys, which are results. The
+    rows are read several times, so what took work should be a checkpoint.
     """
-    size = rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
-    kept = rows.join(size, key)
-    pairs = lambda df: df.select(key, F.col(item).alias("a")).join(df.select(key, F.col(item).alias("b")), key).filter("a < b")
-    rare = pairs(kept.filter(F.col("_n") <= common)).groupBy("a", "b").agg(F.count("*").alias("rare"))
-    lists = kept.filter(F.col("_n") > common).groupBy(item).agg(F.array_sort(F.collect_list(F.struct("_n", key))).alias("keys"))
-    lists = lists.select(item, F.transform("keys", lambda x: x[key]).alias("keys"))
-    prefix = lists.select(item, F.explode(F.slice("keys", F.lit(1), F.greatest(F.size("keys") - (least - 1), F.lit(0)))).alias(key))
-    met = pairs(prefix).select("a", "b", F.lit(0).cast("long").alias("rare"))
-    each = rare.union(met.distinct()).groupBy("a", "b").agg(F.max("rare").alias("rare"))
-    both = each.join(lists.select(F.col(item).alias("a"), F.col("keys").alias("ka")), "a", "left").join(lists.select(F.col(item).alias("b"), F.col("keys").alias("kb")), "b", "left")
+    shared_checkpoints(rows.sparkSession)
+    rows = rows.select(F.col(item).alias("_i"), F.col(key).alias("_k"))
+    size = rows.groupBy("_k").agg(F.count("*").alias("_n")).filter("_n > 1")
+    kept = rows.join(size, "_k").checkpoint()
+    lists = kept.filter(F.col("_n") > common).groupBy("_i").agg(F.array_sort(F.collect_list(F.struct("_n", "_k"))).alias("keys"))
+    lists = lists.select("_i", F.transform("keys", lambda x: x["_k"]).alias("keys"))
+    rarely = kept.filter(F.col("_n") <= common).join(lists.select("_i", F.size("keys").alias("c")), "_i", "left").select("_k", "_i", F.coalesce("c", F.lit(0)).alias("c"))
+    side = lambda x: rarely.select("_k", F.col("_i").alias(x), F.col("c").alias(f"c{x}"))
+    # a pair shares no more common keys than either has
+    rare = side("a").join(side("b"), "_k").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("rare"), F.max(F.least("ca", "cb")).alias("more"))
+    rare = rare.filter(F.col("rare") + F.col("more") >= least).select("a", "b", "rare")
+    classes = lists.filter(F.size("keys") >= least).groupBy("keys").agg(F.min("_i").alias("class"), F.count("*").alias("n"))
+    prefix = classes.select("class", "keys", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (least - 1))).alias("_k"))
+    side = lambda x: prefix.select("_k", F.col("class").alias(f"class_{x}"), F.col("keys").alias(f"keys_{x}"))
+    enough = F.size(F.array_intersect("keys_a", "keys_b")) >= least
+    met = side("a").join(side("b"), "_k").filter((F.col("class_a") < F.col("class_b")) & enough).select("class_a", "class_b").distinct()
+    met = met.union(classes.filter("n > 1").select("class", F.col("class")))
+    of = lists.join(classes.select("keys", "class"), "keys").select("_i", "class")
+    each = met.join(of.select(F.col("class").alias("class_a"), F.col("_i").alias("x")), "class_a").join(of.select(F.col("class").alias("class_b"), F.col("_i").alias("y")), "class_b")
+    each = each.filter((F.col("x") < F.col("y")) | (F.col("class_a") != F.col("class_b"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(0).cast("long").alias("rare"))
+    found = rare.union(each).groupBy("a", "b").agg(F.max("rare").alias("rare"))
+    both = found.join(lists.select(F.col("_i").alias("a"), F.col("keys").alias("ka")), "a", "left").join(lists.select(F.col("_i").alias("b"), F.col("keys").alias("kb")), "b", "left")
     shared = F.col("rare") + F.coalesce(F.size(F.array_intersect("ka", "kb")), F.lit(0))
     return both.select("a", "b", shared.cast("long").alias("shared")).filter(F.col("shared") >= least)

@@ -12,7 +12,13 @@ from ..operators import book, scoring, sequences
 r = stats.rounded
 
 #: Topics and the weights of their words.
-TOPICS = {"shipping": {"ship": 20, "the": 5, "from": 10}, "places": {"avec": 20, "dans": 15, "der": 10}, "tables": {"of": 5, "and": 5, "que": 15}}
+# Words that tell what language a document is about to be read in, by weight.
+TOPICS = {
+    "english": {"the": 20, "and": 10, "of": 10, "that": 10, "was": 10, "with": 8, "from": 8, "for": 8, "to": 5, "in": 2, "is": 5, "ing": 2},
+    "french": {"le": 10, "la": 4, "les": 8, "des": 6, "et": 10, "dans": 15, "avec": 15, "pour": 10, "une": 10, "que": 4, "sur": 8, "aux": 5},
+    "german": {"der": 15, "die": 10, "und": 15, "nicht": 15, "mit": 10, "von": 10, "zu": 8, "ein": 8, "auch": 10, "das": 8, "ist": 8, "den": 5},
+    "spanish": {"el": 12, "los": 12, "las": 10, "que": 5, "por": 10, "una": 10, "del": 8, "como": 10, "para": 8, "con": 8, "su": 5, "est": 2},
+}
 
 
 def det_volume_clusters(spark, sf):
@@ -178,14 +184,21 @@ def det_market_impact(spark, sf):
 
 
 def txt_topics(spark, sf):
-    """Documents by the topic whose words weigh most, 25 or more of at most 100; each word counts once a document."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"))
+    """Documents by the topic whose words weigh most, 25 or more of at most 100; each word counts once a document.
+
+    What is left of a text is a short array; it is chosen from inside the expression, as a filter over it would be
+    worked out below the projection a second time.
+    """
     known = sorted({w for ws in TOPICS.values() for w in ws})
-    d = t.table(spark, sf, "documents").select("doc_id", F.array_intersect(words, F.array(*[F.lit(w) for w in known])).alias("words"))
-    score = lambda ws: F.least(sum((F.when(F.array_contains("words", w), float(x)).otherwise(0.0) for w, x in ws.items()), F.lit(0.0)), F.lit(100.0))
-    found = F.array(*[F.struct((-score(ws)).alias("minus"), F.lit(topic).alias("topic")) for topic, ws in TOPICS.items()])
-    best = d.select("doc_id", F.array_min(found).alias("x"))
-    return best.select("doc_id", "x.topic", (-F.col("x.minus")).alias("score")).filter("score >= 25")
+    words = F.array_intersect(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), F.array(*[F.lit(w) for w in known]))
+
+    def best(has):
+        score = lambda ws: F.least(sum((F.when(F.array_contains(has, w), float(x)).otherwise(0.0) for w, x in ws.items()), F.lit(0.0)), F.lit(100.0))
+        found = F.array_min(F.array(*[F.struct((-score(ws)).alias("minus"), F.lit(topic).alias("topic")) for topic, ws in TOPICS.items()]))
+        return F.filter(F.array(found), lambda x: x["minus"] <= -25)
+
+    d = t.table(spark, sf, "documents").select("doc_id", F.inline(stats.let(words, best)))
+    return d.select("doc_id", "topic", (-F.col("minus")).alias("score"))
 
 
 def txt_sentiment(spark, sf):

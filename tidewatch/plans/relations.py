@@ -103,9 +103,15 @@ def pair_direction(spark, sf):
     return out.select("a", "b", "n", r(F.try_divide("same", "n"), 6).alias("same_side"))
 
 
+def _held(spark, sf):
+    """(wallet, market) of all fills, once each."""
+    graph.shared_checkpoints(spark)
+    return t.fills(spark, sf).select("wallet", "market").distinct().checkpoint()
+
+
 def pair_market_overlap(spark, sf):
     """Jaccard index of the markets of wallets that share three or more, by counts, not by sets."""
-    wm = t.fills(spark, sf).select("wallet", "market").distinct()
+    wm = _held(spark, sf)
     size = wm.groupBy("wallet").agg(F.count("*").alias("n"))
     p = graph.shared_pairs(wm, "wallet", "market", 3)
     j = p.join(size.select(F.col("wallet").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("wallet").alias("b"), F.col("n").alias("nb")), "b")
@@ -116,7 +122,7 @@ def pair_coordination(spark, sf):
     """Weighted similarity of wallets that share three markets or more: markets, sizes, win rates and buy shares."""
     f = t.fills(spark, sf)
     w = f.groupBy("wallet").agg(F.count("*").alias("n"), F.avg("usd").alias("size"), F.avg(F.col("win").cast("double")).alias("wins"), F.avg((F.col("side") == "BUY").cast("double")).alias("buys"), F.countDistinct("market").alias("markets"))
-    p = graph.shared_pairs(f.select("wallet", "market").distinct(), "wallet", "market", 3)
+    p = graph.shared_pairs(_held(spark, sf), "wallet", "market", 3)
     side = lambda x: w.select(*[F.col(c).alias(x if c == "wallet" else f"{c}_{x}") for c in w.columns])
     j = p.join(side("a"), "a").join(side("b"), "b")
     overlap = F.try_divide("shared", F.col("markets_a") + F.col("markets_b") - F.col("shared"))
@@ -128,7 +134,7 @@ def pair_coordination(spark, sf):
 
 def pair_star_groups(spark, sf):
     """Groups around a source wallet, not transitive: its partners by shared markets, two or more."""
-    p = graph.shared_pairs(t.fills(spark, sf).select("wallet", "market").distinct(), "wallet", "market", 4)
+    p = graph.shared_pairs(_held(spark, sf), "wallet", "market", 4)
     both = p.select("a", "b").union(p.select("b", "a"))
     return both.groupBy("a").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("b")).alias("m")).filter("n >= 2").select(F.col("a").alias("wallet"), "n", F.array_join("m", ",").alias("members"))
 
