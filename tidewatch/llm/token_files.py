@@ -55,8 +55,8 @@ class _Numbers(dict):
 class TextIds:
     """The ids of whole texts as the tokenizers library gives them.
 
-    For tokenizers of the kind in _BY_WORDS a text's ids are those of its words, and A-Z can be lower-cased first: each
-    word is then encoded once and remembered. Other tokenizers, and texts that hold the string of a special token, get
+    For tokenizers of the kind in _BY_WORDS a text's ids are those of its words, and words of ASCII alone can be
+    lower-cased first: each word is then encoded once and remembered. Other tokenizers, and texts that hold the string of a special token, get
     the library's own encoding of the whole text. Ids from 65,536 on are an error.
     """
 
@@ -111,9 +111,11 @@ class TextIds:
             again = np.flatnonzero(self.uses > 1)
             self._forget(again if 2 * len(again) < self.remembered else again[:0])
         # distinct words first, then what signs part them into: both steps are small beside the texts
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        parted = pc.ascii_split_whitespace(pc.replace_substring_regex(words.dictionary, _SEAM, r"\1 \2"))
+        # other words are left to the library: a capital and a mark may compose, or not, before they are lower-cased
+        low = pc.if_else(pc.string_is_ascii(words.dictionary), pc.ascii_lower(words.dictionary), words.dictionary)
+        parted = pc.ascii_split_whitespace(pc.replace_substring_regex(low, _SEAM, r"\1 \2"))
         parts = parted.flatten().dictionary_encode()
         distinct = parts.dictionary.to_pylist()
         number = np.fromiter(map(self.number.__getitem__, distinct), dtype=np.int64, count=len(distinct))
