@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import tables as t
 from ..functions import stats
 from ..operators import learning
+from ..streaming import episodes
 from ..streaming import trades as streaming
 
 FEATURES = ["n", "mean", "largest", "wins", "markets"]
@@ -93,7 +94,21 @@ def stream_spikes(spark, sf):
     return out.select("market", "trade_id", stats.rounded("z", 4).alias("z"))
 
 
-QUERIES = {f.__name__: f for f in (ml_wallet_clusters, ml_isolation_forest, ml_density_clusters, ml_elbow, stream_windowed_volume, stream_bursts, stream_spikes)}
+def stream_episodes(spark, sf):
+    """Begins, peaks and ends of episodes of unusual hours of each market, from a stream; those of the last day, which the
+    watermark may not have passed, are left out."""
+    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rocks)
+    try:
+        out = _drained(episodes.episodes(_stream(spark, sf)), "episodes")
+    finally:
+        spark.conf.set(name, before)
+    last = t.trades(spark, sf).agg((F.max("ts_ms") - t.DAY).alias("_last"))
+    return out.crossJoin(F.broadcast(last)).filter(F.col("at_ms") < F.col("_last")).select("market", "kind", "at_ms", "start_ms", stats.rounded("peak", 3).alias("peak"), "hours")
+
+
+QUERIES = {f.__name__: f for f in (ml_wallet_clusters, ml_isolation_forest, ml_density_clusters, ml_elbow, stream_windowed_volume, stream_bursts, stream_spikes, stream_episodes)}
 ORACLE_SQL = {
     "stream_windowed_volume": t.sql("trades", "SELECT market, ts_ms // 14400000 * 14400000 AS start_ms, count(*) AS n, round(sum(usd), 3) AS usd FROM trades GROUP BY ALL"),
     "stream_bursts": t.sql(
@@ -110,4 +125,16 @@ ORACLE_SQL = {
         f AS (SELECT *, ts_ms AS last, true AS found FROM c WHERE j = 1
             UNION ALL SELECT c.*, CASE WHEN c.ts_ms - f.last >= 60000 THEN c.ts_ms ELSE f.last END, c.ts_ms - f.last >= 60000 FROM f JOIN c ON c.market = f.market AND c.j = f.j + 1)
         SELECT market, trade_id, round(1e-7 + (usd - mean) / dev, 4) AS z FROM f WHERE found""",
+    "stream_episodes": t.sql(
+        "trades",
+        f""",v AS (SELECT market, ts_ms // 3600000 * 3600000 AS hr, sum(usd) AS usd FROM trades GROUP BY ALL),
+        b AS (SELECT *, count(*) OVER w AS n, avg(usd) OVER w AS mean, stddev_pop(usd) OVER w AS dev FROM v WINDOW w AS (PARTITION BY market ORDER BY hr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        a AS (SELECT * FROM b WHERE n >= {episodes.NEEDED} AND dev > 0 AND usd >= mean + {episodes.DEVIATIONS} * dev),
+        g AS (SELECT *, coalesce(hr - lag(hr) OVER (PARTITION BY market ORDER BY hr) > {episodes.CALM_HOURS} * 3600000, true)::INT AS fresh FROM a),
+        e AS (SELECT *, sum(fresh) OVER (PARTITION BY market ORDER BY hr) AS k FROM g),
+        h AS (SELECT *, row_number() OVER o AS i, min(hr) OVER (PARTITION BY market, k) AS start_ms, max(usd) OVER (PARTITION BY market, k ORDER BY hr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak FROM e WINDOW o AS (PARTITION BY market, k ORDER BY hr)),
+        x AS (SELECT market, 'begin' AS kind, hr AS at_ms, start_ms, usd AS peak, 1 AS hours FROM h WHERE i = 1 UNION ALL SELECT market, 'peak', hr, start_ms, usd, i FROM h WHERE i > 1 AND usd > peak
+            UNION ALL SELECT market, 'end', max(hr), min(hr), max(usd), count(*) FROM e GROUP BY market, k)
+        SELECT market, kind, at_ms, start_ms, round(peak, 3) AS peak, hours FROM x WHERE at_ms < (SELECT max(ts_ms) FROM trades) - {t.DAY}""",
+    ),
 }
