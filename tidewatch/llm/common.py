@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,10 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-#: What ``saved`` has written and nothing has deleted yet.
-_TABLES: list[DataFrame] = []
+#: What ``saved`` has written and nothing has deleted yet, by path.
+_TABLES: dict[str, DataFrame] = {}
+#: The tables of the ``scratch`` block that this thread is in.
+_BLOCK: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -57,22 +60,35 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    _TABLES.append(out)
+    _TABLES[path] = out
+    if (block := _BLOCK.get()) is not None:
+        block.append(out)
     return out
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete what ``saved`` wrote, once nothing reads it any more."""
+    """Delete what ``saved`` wrote, once nothing reads it any more; what is gone already is passed over."""
     for df in tables:
-        jvm, path = df.sparkSession._jvm, df._scratch_path
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-        _TABLES[:] = [t for t in _TABLES if t is not df]
+        if _TABLES.pop(df._scratch_path, None) is not None:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """A block whose own tables are listed, those that other threads save meanwhile not among them."""
+    tables: list[DataFrame] = []
+    token = _BLOCK.set(tables)
+    try:
+        yield tables
+    finally:
+        _BLOCK.reset(token)
 
 
 def tables_since(mark: int) -> list[DataFrame]:
     """The scratch tables that stand after the first `mark` ones."""
-    return _TABLES[mark:]
+    return list(_TABLES.values())[mark:]
 
 
 def table_count() -> int:
@@ -83,7 +99,7 @@ def table_count() -> int:
 @atexit.register
 def _all_dropped() -> None:
     with contextlib.suppress(Exception):  # the session may have ended before
-        dropped(*_TABLES)
+        dropped(*list(_TABLES.values()))
 
 
 def sampled(known: DataFrame, most_rows: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import GAP, let, saved, text_or_empty
@@ -10,7 +10,7 @@ from .common import GAP, let, saved, text_or_empty
 WINDOW = 3
 
 
-def _with_lines(docs: DataFrame, *keep: str) -> DataFrame:
+def _with_lines(docs: DataFrame, *keep: Column) -> DataFrame:
     text = text_or_empty(F.col("text"))
     numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(x, GAP, " ")).alias("t")))
     return docs.select(*keep, F.col("doc_id").cast("long").alias("line_doc"), F.xxhash64(text).alias("text_key"), F.filter(numbered, lambda x: x["t"] != "").alias("lines"))
@@ -43,15 +43,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with n_lines (lines with a word), n_removed and text, from which the removed lines went; all else stays.
 
     Rows with equal doc_id and equal text count as one document and lose the same lines. Documents of fewer than three
-    lines with a word, null and empty texts lose none; a null doc_id comes before all others; an empty table gives no
-    rows. Columns named n_lines or n_removed are replaced.
+    lines with a word, null and empty texts lose none; a null doc_id comes before all others; very long texts are cut
+    into lines whole; an empty table gives no rows. Columns named n_lines or n_removed are replaced; others may have any
+    name, as they travel as one.
     """
     gone = repeated_lines(docs)
     other = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    counted = _with_lines(docs, *other)
+    counted = _with_lines(docs, F.struct(*[F.col(f"`{c}`") for c in other]).alias("row"))
     key = [F.col("line_doc").eqNullSafe(F.col("g_doc")), F.col("text_key") == F.col("g_key")]
     joined = counted.join(gone.select(F.col("line_doc").alias("g_doc"), F.col("text_key").alias("g_key"), "gone"), key[0] & key[1], "left")
-    raw = F.split("text", "\n")
+    raw = F.split("row.text", "\n")
     left = let(raw, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "gone"), lambda i: F.get(x, i)))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in other], F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    return joined.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in other], F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -161,7 +161,8 @@ def kept_rows(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SH
     one. Texts of fewer words than a shingle are one shingle; null and empty texts are copies of each other; very long
     texts are taken whole; an empty table gives no rows. All columns come back; none but doc_id and text decides a link.
     """
-    row_key = F.xxhash64(*docs.columns)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    row_key = F.xxhash64(*names)
     marked = saved(printed(docs.select("doc_id", text_or_empty(F.col("text")).alias("text"), row_key.alias("row_key")), "row_key", shingle), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
     # numbered once: the ids are written with the classes
@@ -172,8 +173,10 @@ def kept_rows(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SH
     groups = classes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
     kept = groups.select(F.col("first.doc_id").alias("kept_doc"), F.col("first.row_key").alias("kept_key"))
     again = marked.groupBy("doc_id", "row_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("kept_doc"), F.col("row_key").alias("kept_key"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("kept_doc")) & (row_key == F.col("kept_key"))
+    # the rows' own columns travel as one, so that they may have any names
+    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc"), row_key.alias("key"))
+    same = F.col("doc").eqNullSafe(F.col("kept_doc")) & (F.col("key") == F.col("kept_key"))
     several = kept.join(again, kept["kept_doc"].eqNullSafe(again["kept_doc"]) & (kept["kept_key"] == again["kept_key"]), "left_semi")
     # rows that repeat are few: only they are compared with each other
-    once = docs.join(kept, same, "left_semi").join(several, same, "left_anti")
-    return once.union(docs.join(several, same, "left_semi").distinct())
+    once = rows.join(kept, same, "left_semi").join(several, same, "left_anti")
+    return once.union(rows.join(several, same, "left_semi").distinct()).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -101,13 +101,14 @@ def quality_rules(docs: DataFrame, host: str = "source", min_documents: int = MI
 def cleaned(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """docs without the rows that quality_rules rejects, the frequent lines of each host taken out of the texts of the rest.
 
-    All columns stay; the cases are those of quality_rules. Only rows that change or go are looked up, by doc_id and a
-    hash of text and host, so that each row is decided by its own text.
+    All columns stay, whatever their names, as they travel as one; the cases are those of quality_rules. Only rows that
+    change or go are looked up, by doc_id and a hash of text and host, so that each row is decided by its own text.
     """
     judged = _judged(saved(base_counts(docs, host), "quality"), min_documents, max_share, min_left)
     marks = judged.filter("not kept or gone_lines is not null").groupBy("doc_id", "row_key").agg(F.first("kept").alias("stays"), F.first("gone_lines").alias("gone_lines"))
     marks = marks.select(F.col("doc_id").alias("marked_doc"), F.col("row_key").alias("marked_key"), "stays", "gone_lines")
-    key = F.xxhash64(text_or_empty(docs["text"]), docs[host])
-    joined = docs.join(marks, docs["doc_id"].cast("long").eqNullSafe(marks["marked_doc"]) & (key == marks["marked_key"]), "left").filter(F.coalesce("stays", F.lit(True)))
-    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x: ~F.array_contains("gone_lines", F.xxhash64(normal_line(x)))), "\n")
-    return joined.select(*[F.when(F.col("gone_lines").isNull(), docs[c]).otherwise(left).alias(c) if c == "text" else docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text_or_empty(F.col("text")), F.col(host)).alias("key"))
+    joined = rows.join(marks, F.col("doc").eqNullSafe(F.col("marked_doc")) & (F.col("key") == F.col("marked_key")), "left").filter(F.coalesce("stays", F.lit(True)))
+    left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains("gone_lines", F.xxhash64(normal_line(x)))), "\n")
+    text = F.when(F.col("gone_lines").isNull(), F.col("row.text")).otherwise(left)
+    return joined.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
