@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontamination, mixing, near_copies, quality_rules, token_files
-from tidewatch.llm.common import dropped, saved, table_count, tables_since
+from tidewatch.llm.common import dropped, saved, scratch
 from tidewatch.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -77,7 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the scratch folder and read again; what a stage has used goes after it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        mark = table_count()
-        before, docs = docs, saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        dropped(*[t for t in tables_since(mark) if t is not docs], *([before] if hasattr(before, "_scratch_path") else []))
+        with scratch() as tables:
+            before, docs = docs, saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        dropped(*[t for t in tables if t is not docs], *([before] if hasattr(before, "_scratch_path") else []))
     return STAGES[-1][1](spark, docs, sf_dir)
