@@ -86,13 +86,8 @@ def scratch() -> Iterator[list[DataFrame]]:
         _BLOCK.reset(token)
 
 
-def tables_since(mark: int) -> list[DataFrame]:
-    """The scratch tables that stand after the first `mark` ones."""
-    return list(_TABLES.values())[mark:]
-
-
 def table_count() -> int:
-    """How many scratch tables there are: a mark for ``tables_since``."""
+    """How many scratch tables there are."""
     return len(_TABLES)
 
 
