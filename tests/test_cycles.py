@@ -111,3 +111,18 @@ def test_episodes_over_several_batches(spark, tmp_path):
     if left:  # nothing followed for long enough
         want.append(("end", left["last"], left["start"], left["peak"], left["n"]))
     assert got == sorted((k, a, s, round(p, 6), n) for k, a, s, p, n in want)
+
+
+def test_predictions_leave_out_what_is_missing(spark):
+    from tidewatch.operators import prediction
+    from tidewatch.operators.prediction import Feature
+
+    features = [Feature("a", 0.5, True, 0.8), Feature("b", 0.3, False, 0.5), Feature("c", 0.2, True, 0.1)]
+    rows = [(1, 1.0, 0.0, 0.5), (2, None, 0.9, None), (3, None, None, None), (4, 0.2, 2 / 3, 0.5)]
+    got = {r.k: r for r in prediction.judged(spark.createDataFrame(rows, "k long, a double, b double, c double"), "k", features).collect()}
+    assert (got[1].raw, got[1].confidence, got[1].standing_out, got[1].factors) == (pytest.approx(0.9), pytest.approx(1.0), 3, ["a", "b", "c"])
+    assert (got[2].raw, got[2].confidence, got[2].standing_out, got[2].factors) == (pytest.approx(0.1), pytest.approx((1 / 3 + 0.3) / 2), 0, ["b"])
+    assert (got[3].raw, got[3].confidence, got[3].factors) == (0.5, 0.0, [])
+    assert got[4].factors == ["a", "b", "c"]  # equal contributions go by name
+    one = spark.range(1).select(prediction.platt(F.lit(0.5), -6.0, 3.0).alias("p"), prediction.tempered(F.lit(0.5), 0.7).alias("t"), prediction.outcome_probability({"x": (F.lit(2.0), 0.5)}, F.lit(0.5), -1.0, 2.0).alias("o")).first()
+    assert (one.p, one.t, one.o) == (pytest.approx(0.5), pytest.approx(0.5), pytest.approx(0.5))

@@ -44,7 +44,10 @@ def det_whale_tiers(spark, sf):
 def det_trade_size_flags(spark, sf):
     """Trades that are large by percentile, by z-score or by absolute size, the strongest of the three deciding."""
     e = t.trades(spark, sf)
-    s = e.groupBy("market").agg(F.avg("usd").alias("m"), F.stddev_pop("usd").alias("s"), F.percentile("usd", F.array(*[F.lit(x) for x in (0.75, 0.9, 0.99)])).alias("p"))
+    # counted by value first: what a market's percentiles are taken from is as many rows as there are values
+    v = e.groupBy("market", "usd").agg(F.count("*").alias("n"))
+    p = v.groupBy("market").agg(F.percentile("usd", F.array(*[F.lit(x) for x in (0.75, 0.9, 0.99)]), F.col("n")).alias("p"))
+    s = e.groupBy("market").agg(F.avg("usd").alias("m"), F.stddev_pop("usd").alias("s")).join(p, "market")
     j = e.join(s, "market").withColumn("z", r(stats.population_z(F.col("usd"), F.col("m"), F.col("s")), 5))
     by_p = F.when(F.col("usd") >= F.col("p")[2], 3).when(F.col("usd") >= F.col("p")[1], 2).when(F.col("usd") >= F.col("p")[0], 1).otherwise(0)
     by_z = F.when(F.col("z") >= 4, 4).when(F.col("z") >= 3, 3).when(F.col("z") >= 2, 2).otherwise(0)
