@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import aggregates, behaviour, clusters, cycles, detectors, measures, models, outcomes, predictions, relations, sequences, tagging
+from .plans import aggregates, behaviour, clusters, cycles, detectors, feeds, measures, models, outcomes, predictions, relations, sequences, tagging
 
 #: Modules with queries; each has QUERIES and ORACLE_SQL.
-MODULES = (aggregates, sequences, relations, detectors, behaviour, measures, outcomes, models, clusters, tagging, cycles, predictions)
+MODULES = (aggregates, sequences, relations, detectors, behaviour, measures, outcomes, models, clusters, tagging, cycles, predictions, feeds)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

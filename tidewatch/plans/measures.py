@@ -53,12 +53,33 @@ def det_spike_types(spark, sf):
 
 
 def pair_correlation_types(spark, sf):
-    """How trades of one wallet in two markets within a day go together: at once, in turn, by volume, with or against."""
-    e = t.trades(spark, sf).select("wallet", "market", "ts_ms", "usd", "side", F.floor(F.col("ts_ms") / t.DAY).alias("day"))
-    a = e.select("wallet", "day", F.col("market").alias("a"), F.col("ts_ms").alias("ta"), F.col("usd").alias("x"), F.col("side").alias("sa"))
-    b = e.select("wallet", "day", F.col("market").alias("b"), F.col("ts_ms").alias("tb"), F.col("usd").alias("y"), F.col("side").alias("sb"))
-    p = a.join(b, ["wallet", "day"]).filter("a < b")
-    g = p.groupBy("a", "b").agg(F.count("*").alias("n"), F.avg((F.col("sa") == F.col("sb")).cast("double")).alias("same"), F.avg(F.abs(F.col("ta") - F.col("tb"))).alias("apart"), F.avg(F.coalesce(F.try_divide(F.least("x", "y"), F.greatest("x", "y")), F.lit(0.0))).alias("volumes"))
+    """How trades of one wallet in two markets within a day go together: at once, in turn, by volume, with or against.
+
+    A pair of markets gets the trades of both, not their product: what all pairs of trades add up to follows from how
+    many trades of the other market come before one by time, or are smaller, and from their sums.
+    """
+    day = F.floor(F.col("ts_ms") / t.DAY)
+    e = t.trades(spark, sf).select("trade_id", "wallet", "market", day.alias("day"), (F.col("ts_ms") - day * t.DAY).alias("at"), "usd", "side")
+    held = e.groupBy("wallet", "day").agg(F.collect_set("market").alias("markets")).filter(F.size("markets") > 1)
+    each = e.join(held, ["wallet", "day"]).withColumn("other", F.explode(F.array_remove("markets", F.col("market")))).drop("markets")
+    each = each.select("*", F.least("market", "other").alias("a"), F.greatest("market", "other").alias("b"), (F.col("market") < F.col("other")).alias("first"))
+    of = ["wallet", "day", "a", "b"]
+
+    def other_before(value, order):
+        """How many of the other market's trades come before, and the sum of a value of them."""
+        w = Window.partitionBy(*of).orderBy(order, "trade_id").rowsBetween(Window.unboundedPreceding, -1)
+        count = lambda mine: F.coalesce(F.sum((F.col("first") == mine).cast("long")).over(w), F.lit(0))
+        total = lambda mine: F.coalesce(F.sum(F.when(F.col("first") == mine, F.col(value))).over(w), F.lit(0))
+        return F.when(F.col("first"), count(False)).otherwise(count(True)), F.when(F.col("first"), total(False)).otherwise(total(True))
+
+    earlier, earlier_sum = other_before("at", "at")
+    _, smaller_sum = other_before("usd", "usd")
+    each = each.select(*of, "first", "side", (F.col("at") * earlier - earlier_sum).alias("apart"), F.when(F.col("usd") > 0, smaller_sum / F.col("usd")).otherwise(0.0).alias("volumes"))
+    count = lambda first, buys: F.count_if((F.col("first") == first) & ((F.col("side") == "BUY") == buys))
+    g = each.groupBy(*of).agg(count(True, True).alias("ab"), count(True, False).alias("as"), count(False, True).alias("bb"), count(False, False).alias("bs"), F.sum("apart").alias("apart"), F.sum("volumes").alias("volumes"))
+    n = (F.col("ab") + F.col("as")) * (F.col("bb") + F.col("bs"))
+    g = g.groupBy("a", "b").agg(F.sum(n).alias("n"), F.sum(F.col("ab") * F.col("bb") + F.col("as") * F.col("bs")).alias("same"), F.sum("apart").alias("apart"), F.sum("volumes").alias("volumes"))
+    g = g.select("a", "b", "n", *[(F.col(c) / F.col("n")).alias(c) for c in ("same", "apart", "volumes")])
     kind = F.when(F.col("apart") < 150_000, "simultaneous").when(F.col("apart") < 1_800_000, "sequential").when(r("volumes", 6) > 0.3, "volume").when(r("same", 6) > 0.7, "positive").when(r("same", 6) < 0.3, "negative").otherwise("mixed")
     return g.select("a", "b", "n", r("same", 5).alias("same"), r(F.col("apart") / t.HOUR, 4).alias("hours"), r("volumes", 5).alias("volumes"), kind.alias("kind"))
 
