@@ -228,3 +228,19 @@ def test_frames_equal_a_plain_reading(spark, keys, chunk, block):
             frame = [(ts, u) for ts, _, u in of if t - width <= ts <= t]
             r = got[i]
             assert (r[f"n_{name}"], r[f"sum_{name}"], r[f"first_ms_{name}"], r[f"first_{name}"]) == (len(frame), sum(u for _, u in frame), *frame[0])
+
+
+@pytest.mark.parametrize("chunk", [10, 100, 100_000])
+def test_sessions_go_on_through_chunks(spark, chunk):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), i, rng.randint(0, 2000), 1.0) for i in range(300)]
+    want = []
+    for m in "ab":
+        run = []
+        for ts in [*sorted(ts for n, _, ts, _ in rows if n == m), None]:
+            if run and (ts is None or ts - run[-1] > 12):
+                want += [(m, run[0], run[-1], len(run), float(len(run)))] if len(run) > 1 else []
+                run = []
+            run.append(ts)
+    out = sequences.sessions(spark.createDataFrame(rows, "m string, id long, ts_ms long, usd double"), ["m"], ["ts_ms", "id"], 12, 2, chunk)
+    assert sorted(map(tuple, out.select("m", "start", "end", "n", "usd").collect())) == sorted(want)

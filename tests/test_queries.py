@@ -38,4 +38,4 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 
 def test_the_others_are_known():
-    assert set(QUERIES) - set(SQL) == {"seq_down_sampled", "ml_wallet_clusters", "ml_isolation_forest", "ml_density_clusters", "ml_elbow", "ml_average_linkage"}
+    assert set(QUERIES) - set(SQL) == {"seq_down_sampled", "ml_wallet_clusters", "ml_isolation_forest", "ml_elbow", "ml_average_linkage"}

@@ -11,12 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def sessions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], gap_ms: int, least: int) -> DataFrame:
-    """Runs of rows of a key in which no step is longer than the gap: keys, start, end, n, usd; runs below `least` go."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+def sessions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], gap_ms: int, least: int, chunk_ms: int = 86_400_000) -> DataFrame:
+    """Runs of rows of a key in which no step is longer than the gap: keys, start, end, n, usd; runs below `least` go.
+
+    A key is dealt by chunks of time. The first and the last run of a chunk may go on in the chunks beside it: these two
+    a chunk are put together in the order of time, all others are whole.
+    """
+    dealt = rows.withColumn("_chunk", F.floor(F.col("ts_ms") / chunk_ms))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     new = F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(w) > gap_ms).cast("int"), F.lit(1))
-    marked = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "_run").agg(F.min("ts_ms").alias("start"), F.max("ts_ms").alias("end"), F.count("*").alias("n"), F.sum("usd").alias("usd")).filter(F.col("n") >= least).drop("_run")
+    marked = dealt.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marked.groupBy(*keys, "_chunk", "_run").agg(F.min("ts_ms").alias("start"), F.max("ts_ms").alias("end"), F.count("*").alias("n"), F.sum("usd").alias("usd"))
+    runs = runs.withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(Window.partitionBy(*keys, "_chunk"))))
+    inner = runs.filter(~F.col("_edge")).select(*keys, "start", "end", "n", "usd")
+    at = Window.partitionBy(*keys).orderBy("start")
+    apart = F.coalesce((F.col("start") - F.lag("end").over(at) > gap_ms).cast("int"), F.lit(1))
+    edges = runs.filter("_edge").withColumn("_new", apart).withColumn("_run", F.sum("_new").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = edges.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.sum("usd").alias("usd")).drop("_run")
+    return inner.union(joined).filter(F.col("n") >= least)
 
 
 def streaks(rows: DataFrame, key: str, order: Sequence[str], outcome: str) -> DataFrame:

@@ -137,4 +137,14 @@ ORACLE_SQL = {
             UNION ALL SELECT market, 'end', max(hr), min(hr), max(usd), count(*) FROM e GROUP BY market, k)
         SELECT market, kind, at_ms, start_ms, round(peak, 3) AS peak, hours FROM x WHERE at_ms < (SELECT max(ts_ms) FROM trades) - {t.DAY}""",
     ),
+    "ml_density_clusters": "WITH RECURSIVE "
+    + t.SQL["fills"]
+    + """, f AS (SELECT wallet, avg(usd) AS mean, avg(win::INT) AS wins FROM fills GROUP BY wallet),
+    p AS (SELECT wallet, coalesce((mean - min(mean) OVER ()) / nullif(max(mean) OVER () - min(mean) OVER (), 0), 0) AS x, coalesce((wins - min(wins) OVER ()) / nullif(max(wins) OVER () - min(wins) OVER (), 0), 0) AS y FROM f),
+    near AS MATERIALIZED (SELECT a.wallet AS a, b.wallet AS b, sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) AS d FROM p a JOIN p b ON abs(a.x - b.x) <= 0.05 AND abs(a.y - b.y) <= 0.05 WHERE sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) <= 0.05),
+    core AS MATERIALIZED (SELECT a AS core FROM near GROUP BY a HAVING count(*) >= 4),
+    links AS MATERIALIZED (SELECT a, b FROM near SEMI JOIN core x ON near.a = x.core SEMI JOIN core y ON near.b = y.core),
+    c(node, root) USING KEY (node) AS (SELECT core, core FROM core UNION SELECT l.b, min(c.root) FROM c JOIN links l ON l.a = c.node JOIN recurring.c r ON r.node = l.b WHERE c.root < r.root GROUP BY l.b),
+    own AS (SELECT core AS wallet, core AS of FROM core UNION ALL SELECT a, arg_min(b, (d, b)) FROM near SEMI JOIN core ON near.b = core.core ANTI JOIN core y ON near.a = y.core GROUP BY a)
+    SELECT wallet, root AS cluster FROM own JOIN c ON own.of = c.node""",
 }
