@@ -16,20 +16,20 @@ from __future__ import annotations
 import numpy as np
 
 #: Ids in a block, and ids there can be.
-BLOCK, IDS = 1 << 13, 1 << 16
+BLOCK, IDS = 1 << 12, 1 << 16
 #: Contexts that a block remembers, as bits; groups of high bytes with low-byte counts of their own; models.
-_SLOTS, _GROUPS, _OUTCOMES = 11, 32, 3
+_SLOTS, _GROUPS, _OUTCOMES = 10, 32, 3
 #: Bits of the shares of models and of a byte; of all that one id is coded by.
 _SHARE, _BYTE = 10, 12
 #: What a byte's being seen counts for, when having not been seen counts 1.
-_SEEN = np.float32(20)
+_SEEN = np.float32(60)
 _ALL = _SHARE + 2 * _BYTE
 #: The interval is below 2**_WHOLE wide; a digit of 24 bits is written as soon as it is below 2**_LEAST.
 _WHOLE, _DIGIT = 61, 24
 _LEAST = _WHOLE - _DIGIT
 #: Ends of frames, those where order 0's distribution is drawn anew, and the weight above which a model's is halved.
 _FRAMES = [0, 16, 32, *range(64, BLOCK + 1, 64)]
-_REDRAW, _HEAVY = {64, 192, 384, 768, 1344, 2112, 3200, 4480, 6080}, 4000
+_REDRAW, _HEAVY = {64, 128, 192, 320, 512, 768, 1088, 1472, 1984, 2624, 3328}, 4000
 #: Sums of 256 counts and their total, filled up to whole rows of 16.
 _ROW = 272
 
