@@ -23,7 +23,7 @@ def plain(row):
 @pytest.fixture(scope="module")
 def con(sf_dir):
     c = duckdb.connect()
-    for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations"):
+    for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations", "benchmark"):
         c.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     return c
 
