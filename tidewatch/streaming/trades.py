@@ -36,31 +36,32 @@ def spikes(trades: DataFrame, z: float = 2.0, least: int = 5, cooldown_s: int =
     """Trades whose value lies z deviations above what the market has seen before, no closer than the cooldown.
 
     The state of a market is count, mean, sum of squared differences and the time of the last spike: bounded, whatever
-    the history. A market without trades for a day is forgotten. late: None if the stream has a watermark.
+    the history. Times are whole milliseconds, as everywhere; of one instant the smaller trade_id is first. A market
+    without trades for a day is forgotten. late: None if the stream has a watermark.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        n, mean, m2, last = state.get if state.exists else (0, 0.0, 0.0, -1.0)
+        n, mean, m2, last = state.get if state.exists else (0, 0.0, 0.0, -1)
         found = []
-        rows = pd.concat(list(batches)).sort_values(["ts", "trade_id"])
-        for trade, at, usd in zip(rows.trade_id, rows.ts, rows.usd, strict=True):
-            std, seconds = (m2 / n) ** 0.5 if n else 0.0, at.timestamp()
-            if n >= least and std > 0 and usd - mean >= z * std and (last < 0 or seconds - last >= cooldown_s):
+        rows = pd.concat(list(batches)).sort_values(["ts_ms", "trade_id"])
+        for trade, at, ms, usd in zip(rows.trade_id, rows.ts, rows.ts_ms.tolist(), rows.usd, strict=True):
+            std = (m2 / n) ** 0.5 if n else 0.0
+            if n >= least and std > 0 and usd - mean >= z * std and (last < 0 or ms - last >= cooldown_s * 1000):
                 found.append((key[0], trade, at, (usd - mean) / std))
-                last = seconds
+                last = ms
             n += 1
             shift = usd - mean
             mean += shift / n
             m2 += shift * (usd - mean)
         state.update((n, mean, m2, last))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows.ts.max().timestamp() * 1000)) + 86_400_000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows.ts_ms.max())) + 86_400_000)
         yield pd.DataFrame(found, columns=["market", "trade_id", "ts", "z"])
 
     marked = trades.withWatermark("ts", late) if late else trades
-    return marked.select("market", "trade_id", "ts", "usd").groupBy("market").applyInPandasWithState(step, "market string, trade_id long, ts timestamp, z double", "n long, mean double, m2 double, last double", "append", "EventTimeTimeout")
+    return marked.select("market", "trade_id", "ts", F.unix_millis("ts").alias("ts_ms"), "usd").groupBy("market").applyInPandasWithState(step, "market string, trade_id long, ts timestamp, z double", "n long, mean double, m2 double, last long", "append", "EventTimeTimeout")
 
 
 def upserting(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
