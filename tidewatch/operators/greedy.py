@@ -2,42 +2,98 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import shared_checkpoints
 
 
+#: A task settles the windows of so many chunks of time at once.
+SPAN = 8
+
+
 def disjoint_intervals(windows: DataFrame, least: int, chunk: int) -> DataFrame:
     """windows with `left` and `right`, what is left of [lo, hi] when larger windows, of equal ones those that end first,
     have taken their places; windows with under `least` places left are dropped and take none.
 
-    windows(lo, hi, start, ...) have different hi, places lo to hi and times from start to start + chunk at most. A
-    window is decided when it comes first in all chunks of time that it reaches into: none that it overlaps comes before
-    it. What larger windows take of a window is a head and a tail, never a part inside, so two places describe the rest.
-    Each round is one aggregation by chunk and a join with its one winner a chunk.
+    windows(lo, hi, start, ...) have different hi, places lo to hi and times from start to start + chunk at most. They
+    are dealt by spans of time; a window that reaches into two spans goes to both. Of a span a task settles, in their
+    order, the windows that meet nothing unsettled before them; one in two spans is never settled there, but is when the
+    spans of the next round begin half a span later. What larger windows take of a window is a head and a tail, never a
+    part inside, so two places describe the rest. A task has what begins within a span, as five numbers a window.
     """
     shared_checkpoints(windows.sparkSession)
     columns = windows.columns
-    first = F.struct((F.col("lo") - F.col("hi")).alias("minus"), F.col("hi").alias("hi"))
-    at = F.array_distinct(F.array(F.floor(F.col("start") / chunk), F.floor(F.col("end") / chunk)))
-    live = windows.select("*", F.col("lo").alias("left"), F.col("hi").alias("right"), first.alias("_key"), at.alias("_chunks")).filter(F.col("right") - F.col("left") + 1 >= least).checkpoint()
-    out = None
+    numbers = ["lo", "hi", "left", "right"]
+    live = windows.select("*", F.col("lo").alias("left"), F.col("hi").alias("right")).filter(F.col("right") - F.col("left") + 1 >= least).checkpoint()
+    out, turn = None, 0
     while not live.isEmpty():
-        by_chunk = live.select(F.explode("_chunks").alias("_c"), "_key")
-        winners = by_chunk.groupBy("_c").agg(F.min("_key").alias("_key")).groupBy("_key").agg(F.count("*").alias("_won"))
-        kept = live.join(winners, "_key").filter(F.size("_chunks") == F.col("_won")).drop("_won").checkpoint()
+        span = lambda c, turn=turn: F.floor((F.floor(F.col(c) / chunk) + turn % 2 * (SPAN // 2)) / SPAN)
+        one = span("start") == span("end")
+        dealt = live.select(*[F.col(c).cast("long").alias(c) for c in numbers], one.alias("inside"), F.explode(F.array_distinct(F.array(span("start"), span("end")))).alias("_span"))
+        told = dealt.groupBy("_span").applyInPandas(_settling(least), "hi long, left long, right long, kept boolean")
+        # one in two spans is cut by both
+        cuts = told.groupBy(F.col("hi").alias("_hi")).agg(F.max("left").alias("_left"), F.min("right").alias("_right"), F.max("kept").alias("_kept"))
+        both = live.join(cuts, F.col("hi") == F.col("_hi")).select(*columns, F.col("_left").alias("left"), F.col("_right").alias("right"), "_kept").checkpoint()
+        kept = both.filter("_kept").drop("_kept")
         out = kept if out is None else out.union(kept)
-        taken = kept.select(F.explode("_chunks").alias("_c"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))  # one a chunk at most
-        met = live.select("hi", "left", "right", F.explode("_chunks").alias("_c")).join(taken, "_c")
-        head = F.max(F.when(F.col("_lo") <= F.col("left"), F.col("_hi") + 1))
-        tail = F.min(F.when(F.col("_hi") >= F.col("right"), F.col("_lo") - 1))
-        cuts = met.groupBy("hi").agg(head.alias("_head"), tail.alias("_tail"))
-        rest = live.join(cuts, "hi", "left").withColumns({"left": F.greatest("left", "_head"), "right": F.least("right", "_tail")})
-        live = rest.filter(F.col("right") - F.col("left") + 1 >= least).select(*columns, "left", "right", "_key", "_chunks").checkpoint()
+        live = both.filter(~F.col("_kept") & (F.col("right") - F.col("left") + 1 >= least)).drop("_kept")
+        turn += 1
     return (live if out is None else out).select(*columns, "left", "right")
 
 
+def _settling(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What a task does with the windows of a span."""
+
+    class Places:
+        """Places, as ascending ranges that neither meet nor touch."""
+
+        def __init__(self) -> None:
+            self.starts: list[int] = []
+            self.ends: list[int] = []
+
+        def add(self, left: int, right: int) -> None:
+            i, j = bisect.bisect_left(self.ends, left - 1), bisect.bisect_right(self.starts, right + 1)
+            if i < j:
+                left, right = min(left, self.starts[i]), max(right, self.ends[j - 1])
+            self.starts[i:j], self.ends[i:j] = [left], [right]
+
+        def meets(self, left: int, right: int) -> bool:
+            i = bisect.bisect_left(self.ends, left)
+            return i < len(self.starts) and self.starts[i] <= right
+
+        def rest(self, left: int, right: int) -> tuple[int, int]:
+            """left and right without a range at either end."""
+            i = bisect.bisect_left(self.ends, left)
+            if i < len(self.starts) and self.starts[i] <= left:
+                left = self.ends[i] + 1
+            i = bisect.bisect_right(self.starts, right) - 1
+            if i >= 0 and self.ends[i] >= right:
+                right = self.starts[i] - 1
+            return left, right
+
+    def settled(windows: pd.DataFrame) -> pd.DataFrame:
+        """hi, left, right and `kept` of the windows of a span that are kept or can't be settled yet; the others are gone."""
+        windows = windows.assign(n=windows.hi - windows.lo).sort_values(["n", "hi"], ascending=[False, True])
+        taken, waiting, out = Places(), Places(), []
+        for hi, left, right, inside in zip(*(windows[c].tolist() for c in ("hi", "left", "right", "inside")), strict=True):
+            left, right = taken.rest(left, right)
+            if right - left + 1 < least:
+                if not inside:  # the other span has to know
+                    out.append((hi, left, right, False))
+                continue
+            now = inside and not waiting.meets(left, right)
+            (taken if now else waiting).add(left, right)
+            out.append((hi, left, right, now))
+        return pd.DataFrame(out, columns=["hi", "left", "right", "kept"]).astype({"hi": "int64", "left": "int64", "right": "int64", "kept": "bool"})
+
+    return settled
+
+
 def first_seeds(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, seed): nodes go in ascending order; one that no seed has claimed becomes a seed and claims its neighbours.
 
@@ -62,3 +118,27 @@ def first_seeds(nodes: DataFrame, links: DataFrame) -> DataFrame:
     by = both.join(seeds, F.col("b") == F.col("node")).groupBy("a").agg(F.min("b").alias("seed"))
     own = seeds.select("node", F.col("node").alias("seed"))
     return own.union(by.join(seeds, F.col("a") == F.col("node"), "left_anti").select(F.col("a").alias("node"), "seed"))
+
+
+def first_seeds_by_key(rows: DataFrame) -> DataFrame:
+    """(node, seed) as of first_seeds, of nodes that are linked if they share a key; rows(node, key) are distinct.
+
+    A node that is the smallest undecided one of all its keys is a seed and claims who has one of them. No pair is made:
+    a round is two aggregations of the rows, whatever many nodes have in common.
+    """
+    shared_checkpoints(rows.sparkSession)
+    all_of = rows.select("node", "key").checkpoint()
+    live, seeds = all_of, None
+    while not live.isEmpty():
+        least = live.groupBy("key").agg(F.min("node").alias("_least"))
+        new = live.join(least, "key").groupBy("node").agg(F.min((F.col("node") == F.col("_least")).cast("int")).alias("_first")).filter("_first = 1").select("node")
+        won = live.join(new, "node", "left_semi").select("key", F.col("node").alias("seed")).checkpoint()
+        seeds = won if seeds is None else seeds.union(won)
+        # a key has one seed at most: whoever shares it with that one is claimed
+        done = live.join(won, "key", "left_semi").select("node").distinct()
+        live = live.join(done, "node", "left_anti").checkpoint()
+    if seeds is None:
+        return rows.select("node", F.col("node").alias("seed"))
+    own = seeds.select(F.col("seed").alias("node"), "seed").distinct()
+    claimed = all_of.join(seeds, "key").groupBy("node").agg(F.min("seed").alias("seed"))
+    return own.union(claimed.join(own.select("node"), "node", "left_anti"))
