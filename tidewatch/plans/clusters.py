@@ -83,13 +83,16 @@ def _memberships(spark, sf):
 def graph_multi_factor_groups(spark, sf):
     """Groups of wallets that share two clusters or more with the first of them, taken in the order of wallets.
 
-    Wallets of the same clusters are one class, so that a crowded cluster makes pairs of classes, not of wallets.
+    Wallets of the same clusters are one class. Classes are linked through the pairs of clusters that they share, never as
+    pairs of classes, so that a crowded cluster makes as many rows as it has classes.
     """
     m = _memberships(spark, sf)
     classes = m.groupBy("wallet").agg(F.array_sort(F.collect_list("cluster")).alias("clusters")).filter(F.size("clusters") > 1)
     classes = classes.groupBy("clusters").agg(F.min("wallet").alias("class"), F.count("*").alias("n")).checkpoint()
     each = classes.select("class", "n", F.explode("clusters").alias("cluster"))
-    seeds = greedy.first_seeds(classes.select(F.col("class").alias("node")), graph.shared_pairs(each.select("class", "cluster"), "class", "cluster", 2)).checkpoint()
+    # two share two clusters if they share a pair of clusters: a wallet has three clusters at most, so three pairs
+    pairs = F.flatten(F.transform("clusters", lambda x: F.transform(F.filter("clusters", lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    seeds = greedy.first_seeds_by_key(classes.select(F.col("class").alias("node"), F.explode(pairs).alias("key"))).checkpoint()
     held = each.join(seeds, F.col("class") == F.col("node")).groupBy("seed", "cluster").agg(F.sum("n").alias("k"))
     shared = held.groupBy("seed").agg(F.count_if(F.col("k") >= 2).alias("clusters"))
     sizes = classes.join(seeds, F.col("class") == F.col("node")).groupBy("seed").agg(F.sum("n").alias("wallets"))
