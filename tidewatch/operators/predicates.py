@@ -96,3 +96,32 @@ def fits(rows: DataFrame, values: dict[str, Column], numbers: dict[str, Column],
     found = met.filter(once & F.forall("_all", holds)).select("filter", *names)
     free = filters.select("filter").join(real.select("filter").distinct(), "filter", "left_anti")
     return found.union(free.crossJoin(rows).select("filter", *names))
+
+
+#: Numbers are folded between the bounds of ranges if a field has no more bounds than this; else by equal values.
+MOST_BOUNDS = 1_000
+
+
+def alike(conditions: DataFrame, filters: DataFrame) -> DataFrame:
+    """(filter, class): filters(filter) with the same conditions have one class, the smallest of them."""
+    parts = F.array_sort(F.collect_list(F.struct("field", "kind", F.array_sort("any").alias("any"), "low", "high")))  # its fields at most
+    own = filters.select("filter").join(conditions.groupBy("filter").agg(parts.alias("parts")), "filter", "left")
+    lists = own.select("filter", F.coalesce(F.to_json("parts"), F.lit("")).alias("parts"))
+    return lists.join(lists.groupBy("parts").agg(F.min("filter").alias("class")), "parts").select("filter", "class")
+
+
+def folded(rows: DataFrame, values: list[str], number: str, field: str, conditions: DataFrame) -> DataFrame:
+    """rows that no filter can tell apart as one: values, number (one of theirs), n and the sum of the number.
+
+    values are names of columns, number that of a column of doubles, which conditions know as `field`. Numbers that lie
+    between the same two neighbouring bounds of all ranges fit the same ranges; a number that is a bound stands alone.
+    """
+    ranges = conditions.filter((F.col("kind") == "range") & (F.col("field") == field))
+    bounds = ranges.select(F.explode(F.array("low", "high")).alias("b")).filter("b is not null").distinct().limit(MOST_BOUNDS + 1)
+    found = sorted(r.b for r in bounds.collect())
+    place = F.col(number)
+    if len(found) <= MOST_BOUNDS:
+        at = F.array(*map(F.lit, found)).cast("array<double>")
+        below, up_to = F.size(F.filter(at, lambda b: b < F.col(number))), F.size(F.filter(at, lambda b: b <= F.col(number)))
+        place = (below + up_to).cast("double")
+    return rows.groupBy(*values, F.when(F.col(number).isNotNull(), place).alias("_place")).agg(F.count("*").alias("n"), F.sum(number).alias("sum"), F.min(number).alias(number)).drop("_place")

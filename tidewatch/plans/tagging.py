@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import tables as t
 from ..functions import stats
-from ..operators import phrases, predicates
+from ..operators import graph, phrases, predicates
 from .dictionaries import ADVANTAGES, BASE, CATEGORIES, OTHER, patterns
 
 r = stats.rounded
@@ -86,8 +86,15 @@ def _alerts(spark, sf):
 
 
 def _matched(alerts, conditions, filters):
-    found = predicates.fits(alerts, {"side": F.array("side"), "kind": F.array("category"), "word": F.col("words")}, {"usd": F.col("usd")}, conditions, filters)
-    return found.groupBy("filter").agg(F.count("*").alias("n"), r(F.sum("usd"), 2).alias("usd"))
+    """Filters alike are looked up once, and so are alerts that none of them tells apart: no pair of a filter and an alert is made."""
+    graph.shared_checkpoints(alerts.sparkSession)
+    conditions = conditions.checkpoint()
+    same = predicates.alike(conditions, filters).checkpoint()
+    classes = same.filter("filter = class").select("filter")
+    few = predicates.folded(alerts.withColumn("words", F.array_sort("words")), ["side", "category", "words"], "usd", "usd", conditions).checkpoint()
+    found = predicates.fits(few, {"side": F.array("side"), "kind": F.array("category"), "word": F.col("words")}, {"usd": F.col("usd")}, conditions.join(classes, "filter", "left_semi"), classes)
+    sums = found.groupBy(F.col("filter").alias("class")).agg(F.sum("n").alias("n"), r(F.sum("sum"), 2).alias("usd"))
+    return same.join(sums, "class").select("filter", "n", "usd")
 
 
 def set_standing_filters(spark, sf):
