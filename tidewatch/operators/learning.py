@@ -13,7 +13,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, shared_checkpoints
 
 
 def scaled(rows: DataFrame, columns: Sequence[str], how: str = "standard") -> DataFrame:
@@ -36,23 +36,61 @@ def clusters(rows: DataFrame, columns: Sequence[str], k: int, seed: int = 1) ->
     return out.drop("_raw", "_features"), ClusteringEvaluator(featuresCol="_features", predictionCol="cluster").evaluate(out)
 
 
+#: Cells of a density grid are this part of eps wide, so that points of a cell are always within eps of each other.
+CELL = 0.7
+#: Parts of a cell's side; the first core of each part stands for it when cells are linked.
+PARTS = 4
+_AROUND = [(a, b) for a in range(-2, 3) for b in range(-2, 3)]
+
+
 def density_clusters(rows: DataFrame, key: str, x: str, y: str, eps: float, least: int) -> DataFrame:
     """(key, cluster) of points in two dimensions: cores have `least` points within eps, themselves included; cores
     within eps share a cluster, named by its smallest core; border points join their nearest core; noise has no row.
 
-    The grid of cells of width eps makes the range join an equi-join of each cell with its nine neighbours.
+    All points of a cell with `least` points are cores, whatever lies around it; only points of other cells, `least` - 1
+    a cell at most, are compared with what lies in the cells around. Cores of a cell share a cluster, so links are looked
+    for between cells: first by a few cores of each, then by all cores near each other's box, but only of cells that
+    aren't in one cluster yet. So the work grows with the points, not with their pairs.
     """
-    at = rows.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"), F.floor(F.col(x) / eps).alias("i"), F.floor(F.col(y) / eps).alias("j"))
-    around = F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    left = at.select(F.col("k").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.inline(around))
-    near = left.join(at.select(F.col("k").alias("b"), "x", "y", "i", "j"), ["i", "j"]).withColumn("d", F.hypot(F.col("xa") - F.col("x"), F.col("ya") - F.col("y"))).filter(F.col("d") <= eps).select("a", "b", "d")
-    core = near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("a").alias("core"))
-    links = near.join(core, near["b"] == core["core"]).select("a", "b", "d")
-    both = links.join(core, links["a"] == core["core"], "left_semi").select("a", "b")
-    roots = components(both)
-    nearest = links.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    own = nearest.join(core, nearest["a"] == core["core"], "left").select("a", F.coalesce("core", "b").alias("b"))
-    return own.join(roots, own["b"] == roots["node"]).select(F.col("a").alias(key), F.col("root").alias("cluster"))
+    shared_checkpoints(rows.sparkSession)
+    wide = eps * CELL
+    at = rows.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    at = at.withColumns({"i": F.floor(F.col("x") / wide), "j": F.floor(F.col("y") / wide)}).checkpoint()
+    size = at.groupBy("i", "j").agg(F.count("*").alias("n"))
+    full = at.join(size.filter(F.col("n") >= least), ["i", "j"]).select("k", "x", "y", "i", "j")
+    thin = at.join(size.filter(F.col("n") < least), ["i", "j"]).select("k", "x", "y", "i", "j").checkpoint()
+    around = F.inline(F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a, b in _AROUND]))
+    asks = thin.select(F.col("k").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), around)
+    apart = F.hypot(F.col("xa") - F.col("x"), F.col("ya") - F.col("y"))
+    close = lambda points: asks.join(points, ["i", "j"]).withColumn("d", apart).filter(F.col("d") <= eps)
+    more = close(at).groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("a").alias("k"))
+    core = full.union(thin.join(more, "k", "left_semi")).checkpoint()
+
+    cells = core.groupBy("i", "j").agg(F.min("k").alias("cell"), *[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).checkpoint()
+    part = [F.floor(F.col(c) / (wide / PARTS)) for c in "xy"]
+    some = core.groupBy("i", "j", part[0].alias("pi"), part[1].alias("pj")).agg(F.min(F.struct("k", "x", "y")).alias("p")).join(cells, ["i", "j"]).select("i", "j", "cell", "p.x", "p.y")
+    beside = F.inline(F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a, b in _AROUND if (a, b) > (0, 0)]))
+    met = some.select(F.col("cell").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), beside).join(some.withColumnRenamed("cell", "b"), ["i", "j"]).filter(apart <= eps)
+    links = met.select("a", "b").distinct().checkpoint()
+    own = cells.select(F.col("cell").alias("a"), F.col("cell").alias("b"))
+    so_far = components(links.union(own)).checkpoint()
+    # cells of different clusters whose boxes come within eps: cores that are near the other's box meet
+    boxes = ["lo_x", "hi_x", "lo_y", "hi_y"]
+    other = cells.select("i", "j", F.col("cell").alias("b"), *[F.col(c).alias(f"{c}_b") for c in boxes])
+    pairs = cells.select(F.col("cell").alias("a"), *boxes, beside).join(other, ["i", "j"]).drop("i", "j")
+    root = lambda c: so_far.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    pairs = pairs.join(root("a"), "a").join(root("b"), "b").filter("root_a != root_b")
+    of = core.join(cells.select("i", "j", "cell"), ["i", "j"]).select("k", "x", "y", "cell")
+    off = lambda c, low, high: F.greatest(F.col(low) - F.col(c), F.col(c) - F.col(high), F.lit(0.0))
+    # a little more than eps, so that rounding loses no link; the exact distance decides
+    near = lambda mine, box: of.join(pairs, of["cell"] == pairs[mine]).filter(F.hypot(off("x", f"lo_x{box}", f"hi_x{box}"), off("y", f"lo_y{box}", f"hi_y{box}")) <= eps * (1 + 1e-9))
+    left = near("a", "_b").select("a", "b", F.col("x").alias("xa"), F.col("y").alias("ya"))
+    rest = left.join(near("b", "").select("a", "b", "x", "y"), ["a", "b"]).filter(apart <= eps).select("a", "b").distinct()
+    roots = components(links.union(own).union(rest)).select(F.col("node").alias("cell"), F.col("root").alias("cluster"))
+
+    border = close(core).join(core.select(F.col("k").alias("a")), "a", "left_anti").groupBy("a").agg(F.min(F.struct("d", "k", "i", "j")).alias("p"))
+    joined = core.select("k", "i", "j").union(border.select("a", "p.i", "p.j"))
+    return joined.join(cells.select("i", "j", "cell"), ["i", "j"]).join(roots, "cell").select(F.col("k").alias(key), "cluster")
 
 
 class _Tree:
