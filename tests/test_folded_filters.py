@@ -44,3 +44,11 @@ def test_bounds_stand_alone(spark):
     got = sorted((r.n, r.sum or 0.0) for r in predicates.folded(rows, ["k"], "x", "x", conditions).collect())
     assert got == [(1, 0.0), (1, 1.0), (1, 2.0), (2, 1.2), (2, 2.9), (2, 11.1)]
     assert predicates.folded(rows.select("k", F.col("x")), ["k"], "x", "x", conditions.limit(0)).count() == 2
+
+
+def test_merged_filters_alike_are_one_class(spark):
+    conditions = [(f, "x", "range", None, low, None) for f, low in ((1, 1.0), (2, 5.0), (3, 5.0), (4, 2.0), (5, 6.0), (6, 1.0))]
+    groups = spark.createDataFrame([(10, 1), (10, 2), (20, 3), (20, 4), (30, 5), (30, 6)], "group long, filter long")
+    both = predicates.merged(spark.createDataFrame(conditions, CONDITION), groups)
+    got = predicates.alike(both, groups.select(F.col("group").alias("filter")).distinct()).collect()
+    assert {r.filter: r["class"] for r in got} == {10: 10, 20: 10, 30: 30}
