@@ -52,3 +52,12 @@ def test_merged_filters_alike_are_one_class(spark):
     both = predicates.merged(spark.createDataFrame(conditions, CONDITION), groups)
     got = predicates.alike(both, groups.select(F.col("group").alias("filter")).distinct()).collect()
     assert {r.filter: r["class"] for r in got} == {10: 10, 20: 10, 30: 30}
+
+
+def test_places_between_bounds_are_plain_conditions(spark):
+    bounds = [1.0, 2.0, 5.0, 9.0]
+    rows = spark.createDataFrame([(x,) for x in (0.0, 1.0, 1.5, 2.0, 3.0, 5.0, 9.0, 10.0)], "x double")
+    place = predicates._between(F.col("x"), bounds)
+    assert "lambda" not in place._jc.toString().lower()
+    assert [r.p for r in rows.select("x", place.alias("p")).sort("x").collect()] == [0, 1, 2, 3, 4, 5, 7, 8]
+    assert rows.select(predicates._between(F.col("x"), []).alias("p")).distinct().collect()[0].p == 0

@@ -106,7 +106,8 @@ def set_standing_filters(spark, sf):
 def set_merged_filters(spark, sf):
     """Alerts that fit the filters of two neighbouring wallets at once."""
     groups = t.wallets(spark, sf).select(F.floor(F.col("wallet") / 2).alias("group"), F.col("wallet").alias("filter"))
-    both = predicates.merged(_conditions(spark, sf), groups)
+    graph.shared_checkpoints(spark)
+    both = predicates.merged(_conditions(spark, sf).checkpoint(), groups)
     return _matched(_alerts(spark, sf), both, groups.select(F.col("group").alias("filter")).distinct()).select(F.col("filter").alias("pair"), "n", "usd")
 
 
