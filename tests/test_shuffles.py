@@ -15,3 +15,20 @@ def exchanges(df):
 
 def test_near_trades_are_counted_without_a_shuffle_by_trade(spark, sf_dir):
     assert not any("trade" in x for x in exchanges(relations.pair_timing(spark, sf_dir)))
+
+
+def test_reach_is_shuffled_by_start_alone_and_takes_hubs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PIECE", 3)
+    rng = random.Random(7)
+    pairs = sorted({(rng.randrange(40), rng.randrange(25)) for _ in range(120)} | {(s, 1) for s in range(30)})
+    edges = spark.createDataFrame([*pairs, (None, 2)], "source long, target long")
+    out = graph.reach(edges, spark.createDataFrame([(i,) for i in (0, 1, 2, 3)], "start long"), 3)
+    assert not any("start" in x and "node" in x for x in exchanges(out))
+    want = {}
+    for start in range(4):
+        level = {start}
+        want[start, start] = 0
+        for d in (1, 2, 3):
+            level = {s for s, t in [*pairs, (None, 2)] if t in level} - {n for s, n in want if s == start}
+            want |= {(start, n): d for n in level}
+    assert {(r.start, r.node): r.depth for r in out.collect()} == want
