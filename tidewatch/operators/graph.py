@@ -71,11 +71,24 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return known
 
 
+def _rare(kept: DataFrame, common: int) -> tuple[int, float]:
+    """How many items a rare key has at most, and how many pairs rare keys make: `common` items, or up to four times as
+    many where all such keys make no more pairs a row than keys of `common` items do, half as many."""
+    n = kept.filter(F.col("_n") <= 4 * common).groupBy("_n").agg((F.count("*") * (F.col("_n") - 1) / 2).alias("pairs"))
+    rows, sizes = kept.count(), sorted(n.collect())  # 4 x common rows at most
+    most, total, so_far = common, 0.0, 0.0
+    for size, pairs in sizes:
+        so_far += pairs
+        if size <= common or so_far <= rows * common / 2:
+            most, total = max(most, size), so_far
+    return most, total
+
+
 def shared_pairs(rows: DataFrame, item: str, key: str, least: int, common: int = 40) -> DataFrame:
     """(a, b, shared): all pairs of items, a below b, that share `least` keys or more, with how many; rows(item, key) are distinct.
 
-    Keys that more than `common` items have would make pairs with the square of their size. They are first counted by
-    rarer keys; only pairs that common keys alone can make are looked for among those, without each item's least - 1
+    Keys that more than `common` items have (or a little more, see _rare) would make pairs with the square of their size.
+    They are first counted by rarer keys; only pairs that common keys alone can make are looked for among those, without each item's least - 1
     most common ones: two items that share `least` of them still meet at the rarest. Items with the same common keys
     are one class there, and classes become pairs of items only where they share `least` keys, which are results. The
     rows are read several times, so what took work should be a checkpoint.
@@ -84,12 +97,17 @@ def shared_pairs(rows: DataFrame, item: str, key: str, least: int, common: int =
     rows = rows.select(F.col(item).alias("_i"), F.col(key).alias("_k"))
     size = rows.groupBy("_k").agg(F.count("*").alias("_n")).filter("_n > 1")
     kept = rows.join(size, "_k").checkpoint()
-    lists = kept.filter(F.col("_n") > common).groupBy("_i").agg(F.array_sort(F.collect_list(F.struct("_n", "_k"))).alias("keys"))
+    most, pairs = _rare(kept, common)
+    lists = kept.filter(F.col("_n") > most).groupBy("_i").agg(F.array_sort(F.collect_list(F.struct("_n", "_k"))).alias("keys"))
     lists = lists.select("_i", F.transform("keys", lambda x: x["_k"]).alias("keys"))
-    rarely = kept.filter(F.col("_n") <= common).join(lists.select("_i", F.size("keys").alias("c")), "_i", "left").select("_k", "_i", F.coalesce("c", F.lit(0)).alias("c"))
-    side = lambda x: rarely.select("_k", F.col("_i").alias(x), F.col("c").alias(f"c{x}"))
-    # a pair shares no more common keys than either has
-    rare = side("a").join(side("b"), "_k").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("rare"), F.max(F.least("ca", "cb")).alias("more"))
+    rarely = kept.filter(F.col("_n") <= most).join(lists.select("_i", F.size("keys").alias("c")), "_i", "left")
+    # a pair shares no more common keys than either has; the items of a key travel as arrays, by their smallest
+    group = rarely.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_i", F.least(F.coalesce("c", F.lit(0)), F.lit(least)).cast("byte").alias("c")))).alias("g"))
+    each = group.select("g", F.posexplode("g").alias("at", "one")).filter(F.col("at") < F.size("g") - 1)
+    others = F.slice("g", F.col("at") + 2, F.size("g"))
+    packed = each.select(F.col("one._i").alias("a"), F.col("one.c").alias("ca"), F.transform(others, lambda x: x["_i"]).alias("b"), F.transform(others, lambda x: x["c"]).alias("cb"))
+    packed = packed.repartition(_tasks(rows.sparkSession, pairs), "a").select("a", "ca", F.inline(F.arrays_zip("b", "cb")))
+    rare = packed.groupBy("a", "b").agg(F.count("*").alias("rare"), F.max(F.least("ca", "cb")).alias("more"))
     rare = rare.filter(F.col("rare") + F.col("more") >= least).select("a", "b", "rare")
     classes = lists.filter(F.size("keys") >= least).groupBy("keys").agg(F.min("_i").alias("class"), F.count("*").alias("n"))
     prefix = classes.select("class", "keys", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (least - 1))).alias("_k"))
