@@ -98,6 +98,25 @@ def anchored_windows(rows: DataFrame, keys: Sequence[str], width_ms: int, step_m
     return at.select("*", F.explode(F.sequence(low, F.floor(F.col("_at") / step_ms))).alias("_i")).withColumn("window_start", F.col("_first") + F.col("_i") * step_ms).drop("_at", "_first", "_i")
 
 
+def anchored_totals(rows: DataFrame, keys: Sequence[str], width_ms: int, step_ms: int) -> DataFrame:
+    """keys, window_start, n, wallets, usd and buys of the windows of anchored_windows, without a row for each row and window.
+
+    The windows that hold a row follow each other, and so do those that the rows of one wallet hold together: a row
+    brings its wallet to those windows alone that the wallet's row before it doesn't reach. Rows are counted by their
+    first and last window and by the first that is new to their wallet, a few cells a step; cells are spread to windows.
+    """
+    first = rows.groupBy(*keys).agg(F.min("ts_ms").alias("_first"))
+    at = rows.join(first, list(keys)).withColumn("_at", F.col("ts_ms") - F.col("_first"))
+    low, high = F.greatest(F.ceil((F.col("_at") - width_ms) / step_ms), F.lit(0).cast("long")), F.floor(F.col("_at") / step_ms)
+    at = at.withColumns({"_low": low, "_high": high}).filter("_low <= _high")
+    reached = F.lag("_high").over(Window.partitionBy(*keys, "wallet").orderBy("ts_ms"))
+    new = F.when(F.col("wallet").isNull(), F.col("_high") + 1).otherwise(F.greatest("_low", F.coalesce(reached + 1, F.lit(0).cast("long"))))
+    cells = at.withColumn("_new", new).groupBy(*keys, "_first", "_low", "_high", "_new").agg(F.count("*").alias("n"), F.sum("usd").alias("usd"), F.count_if(F.col("side") == "BUY").alias("buys"))
+    each = cells.withColumn("_i", F.explode(F.sequence("_low", "_high")))
+    sums = each.groupBy(*keys, (F.col("_first") + F.col("_i") * step_ms).alias("window_start")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("_i") >= F.col("_new"), F.col("n")).otherwise(0)).alias("wallets"), F.sum("usd").alias("usd"), F.sum("buys").alias("buys"))
+    return sums
+
+
 def admitted(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ttl_ms: int) -> DataFrame:
     """The rows of each key that come more than ttl_ms after the last one admitted; the first one is.
 

@@ -23,8 +23,7 @@ TOPICS = {
 
 def det_volume_clusters(spark, sf):
     """Windows of an hour with three wallets and four trades or more, scored by direction, wallets, trades, volume and timing."""
-    rows = sequences.anchored_windows(t.trades(spark, sf), ["market"], t.HOUR, 600_000)
-    a = rows.groupBy("market", "window_start").agg(F.count("*").alias("n"), F.countDistinct("wallet").alias("w"), F.sum("usd").alias("usd"), F.count_if(F.col("side") == "BUY").alias("buys")).filter("n >= 4 and w >= 3")
+    a = sequences.anchored_totals(t.trades(spark, sf), ["market"], t.HOUR, 600_000).withColumnRenamed("wallets", "w").filter("n >= 4 and w >= 3")
     lean = F.abs(2 * F.col("buys") - F.col("n")) / F.col("n")
     score = 100 * (0.25 * lean + 0.25 * F.least((F.col("w") - 2) / 8, F.lit(1.0)) + 0.25 * F.least((F.col("n") - 3) / 17, F.lit(1.0)) + 0.25 * F.least(F.col("usd") / 1000, F.lit(1.0)))
     kind = F.when(lean < 0.3, "counter").when(lean >= 0.8, "directional").otherwise("mixed")

@@ -101,8 +101,7 @@ def seq_breaches(spark, sf):
 
 def seq_sliding_windows(spark, sf):
     """Windows of an hour every ten minutes from each market's first trade: three wallets or more make a cluster."""
-    rows = seq.anchored_windows(t.trades(spark, sf), ["market"], t.HOUR, 10 * MINUTE)
-    out = rows.groupBy("market", "window_start").agg(F.count("*").alias("n"), F.countDistinct("wallet").alias("wallets"), F.sum("usd").alias("usd"), F.count_if(F.col("side") == "BUY").alias("buys"))
+    out = seq.anchored_totals(t.trades(spark, sf), ["market"], t.HOUR, 10 * MINUTE)
     return out.filter("n >= 4 and wallets >= 3").withColumn("usd", r("usd", 4))
 
 
