@@ -280,7 +280,8 @@ def pair_sybil_similarity(spark, sf):
 
 def pair_sybil_clusters(spark, sf):
     """Transitive clusters of likely sybil pairs: size and smallest member."""
-    return graph.components(_sybil_pairs(spark, sf).filter("likely").select("a", "b")).groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n").between(*CLUSTER))
+    likely = _sybil_pairs(spark, sf).filter("likely").select("a", "b").checkpoint()  # components read them several times
+    return graph.components(likely).groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n").between(*CLUSTER))
 
 
 QUERIES = {f.__name__: f for f in (class_features, class_patterns, rule_actions, score_liquidity, det_relevant_liquidity, det_impact_thresholds, score_funding_suspicion, pair_sybil_similarity, pair_sybil_clusters)}
