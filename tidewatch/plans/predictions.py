@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import tables as t
 from ..functions import stats
 from ..operators import prediction
+from ..operators.graph import shared_checkpoints
 from ..operators.prediction import Feature
 
 r = stats.rounded
@@ -72,21 +73,37 @@ def score_insider_predictions(spark, sf):
     return out.select("wallet", r("raw", 6).alias("raw"), r(prediction.platt(F.col("raw"), *PLATT), 6).alias("probability"), r(prediction.tempered(F.col("raw"), TEMPERATURE), 6).alias("tempered"), r("confidence", 6).alias("confidence"), level.alias("level"), "standing_out", F.get("factors", F.lit(0)).alias("first_factor"))
 
 
+def _market_sums(fills, to_ms):
+    """Sums of each market's fills in one pass; recent and weight are decayed from to_ms on."""
+    decay = F.exp(-F.lit(0.6931471805599453) * ((F.lit(to_ms) - F.col("ts_ms")) / t.DAY) / HALF_LIFE_DAYS)
+    share = lambda c: F.avg(c.cast("double"))
+    return fills.groupBy("market").agg(
+        F.count("*").alias("k"), share(F.col("side") == "BUY").alias("bullish"), F.avg("usd").alias("mean"), F.max("usd").alias("largest"), share(F.col("win")).alias("confidence"), F.sum(F.col("win").cast("double")).alias("wins"),
+        F.sum(decay * F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)).alias("signed"), F.sum(decay).alias("weight"), share(F.col("win") & (F.col("usd") >= 50_000)).alias("insiders"), share(F.col("usd") >= 60_000).alias("whales"), F.max("ts_ms").alias("last"),
+    )
+
+
 def score_outcome_probability(spark, sf):
-    """The probability of a market's good end from its trades, its category's record as the prior."""
-    f = t.fills(spark, sf).join(t.markets(spark, sf).select("market", "category"), "market")
-    now = F.broadcast(f.agg(F.max("ts_ms").alias("now"), F.max("usd").alias("top")))  # one row
-    age = (F.col("now") - F.col("ts_ms")) / t.DAY
-    decay = F.exp(-F.lit(0.6931471805599453) * age / HALF_LIFE_DAYS)
-    sign = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
-    won = F.col("win").cast("double")
-    a = f.crossJoin(now).groupBy("category", "market").agg(
-        F.avg((F.col("side") == "BUY").cast("double")).alias("bullish"), F.avg(F.col("usd") / F.col("top")).alias("strength"), F.max(F.col("usd") / F.col("top")).alias("strongest"), F.avg(won).alias("confidence"),
-        (F.sum(decay * sign) / F.sum(decay)).alias("recent"), F.least(F.count("*") / 50, F.lit(1.0)).alias("volume"), F.avg((F.col("win") & (F.col("usd") >= 50_000)).cast("double")).alias("insiders"), F.avg((F.col("usd") >= 60_000).cast("double")).alias("whales"),
-        F.sum(won).alias("won"), F.count("*").alias("n"),
+    """The probability of a market's good end from its trades, its category's record as the prior.
+
+    Fills are summed by market before anything else, once, and only these sums meet the markets. The share of recent
+    trades is the same from whatever instant weights are taken, so the last line item's will do; only if the markets'
+    own trades end so much earlier that weights would vanish are they summed again, from their own last instant.
+    """
+    shared_checkpoints(spark)
+    f, kinds = t.fills(spark, sf), t.markets(spark, sf).groupBy("market", "category").agg(F.count("*").alias("times"))
+    now = t.line_ends(spark, sf)[1] or 0
+    a = _market_sums(f, now).join(kinds, "market").checkpoint()
+    last, top = a.agg(F.max("last"), F.max("largest")).first()
+    if last is not None and now - last > 100 * HALF_LIFE_DAYS * t.DAY:
+        a = _market_sums(f, last).join(kinds, "market").checkpoint()
+    part = lambda c: F.try_divide(F.col(c), F.lit(top).cast("double"))
+    n = F.col("k") * F.col("times")
+    a = a.select(
+        "category", "market", "bullish", part("mean").alias("strength"), part("largest").alias("strongest"), "confidence", F.try_divide("signed", "weight").alias("recent"), F.least(n / 50, F.lit(1.0)).alias("volume"), "insiders", "whales", (F.col("wins") * F.col("times")).alias("won"), n.alias("n"),
     )
-    prior = a.groupBy("category").agg((F.sum("won") / F.sum("n")).alias("prior"))
-    both = a.join(F.broadcast(prior), "category")  # a row a category
+    prior = a.groupBy(F.col("category").alias("_category")).agg((F.sum("won") / F.sum("n")).alias("prior"))
+    both = a.join(F.broadcast(prior), F.col("category").eqNullSafe(F.col("_category")))  # a row a category
     p = prediction.outcome_probability({k: (F.col(k), w) for k, w in OUTCOME.items()}, F.col("prior"), 0.0, TEMPERATURE)
     return both.select("market", "category", "n", r("recent", 5).alias("recent"), r("prior", 6).alias("prior"), r(p, 5).alias("probability"))
 
