@@ -29,10 +29,15 @@ def scaled(rows: DataFrame, columns: Sequence[str], how: str = "standard") -> Da
     return rows.crossJoin(F.broadcast(a)).select(*[c for c in rows.columns if c not in columns], *[one(c) for c in columns])  # one row
 
 
-def clusters(rows: DataFrame, columns: Sequence[str], k: int, seed: int = 1) -> tuple[DataFrame, float]:
-    """rows with `cluster` by k-means with parallel seeding on standardised columns, and the silhouette."""
+def assigned(rows: DataFrame, columns: Sequence[str], k: int, seed: int = 1) -> DataFrame:
+    """rows with `cluster` by k-means with parallel seeding on standardised columns, and the columns `_raw` and `_features`."""
     steps = [VectorAssembler(inputCols=list(columns), outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_features", withMean=True), KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster", initMode="k-means||")]
-    out = Pipeline(stages=steps).fit(rows).transform(rows)
+    return Pipeline(stages=steps).fit(rows).transform(rows)
+
+
+def clusters(rows: DataFrame, columns: Sequence[str], k: int, seed: int = 1) -> tuple[DataFrame, float]:
+    """rows with their `cluster`, see assigned, and the silhouette."""
+    out = assigned(rows, columns, k, seed)
     return out.drop("_raw", "_features"), ClusteringEvaluator(featuresCol="_features", predictionCol="cluster").evaluate(out)
 
 
