@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def with_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with m, the median of the key's values, nulls left out; null where a key has none.
+
+    A key's rows are sorted, which can spill, and its middle ones found by their numbers: rows travel once, and no map of
+    a key's values is held or travels. What is then grouped by the key doesn't travel again.
+    """
+    w = Window.partitionBy(key)
+    at, n = F.row_number().over(w.orderBy(F.col(value).asc_nulls_last())), F.count(value).over(w)
+    middle = F.when(F.col("_at").isin(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1), F.col(value))
+    return rows.withColumn("_at", at).withColumn("_n", n).withColumn("m", F.avg(middle).over(w)).drop("_at", "_n")
+
+
 def aggregated(levels: DataFrame, interval: float) -> DataFrame:
     """levels(book, side, price, size) on a price grid: bids go down to it, asks up; levels without size go."""
     grid = F.when(F.col("side") == "bid", F.floor(F.col("price") / interval)).otherwise(F.ceil(F.col("price") / interval)) * interval
@@ -39,8 +51,9 @@ def book_stats(levels: DataFrame) -> DataFrame:
 
 def within(levels: DataFrame, share: float) -> DataFrame:
     """(book, side, size) no further than a share of the middle from it."""
-    mid = book_stats(levels).select("book", "middle")
-    return levels.join(mid, "book").filter(F.abs(F.col("price") - F.col("middle")) <= F.col("middle") * share).groupBy("book", "side").agg(F.sum("size").alias("size"))
+    w = Window.partitionBy("book")
+    best = F.max(F.when(F.col("side") == "bid", F.col("price"))).over(w), F.min(F.when(F.col("side") == "ask", F.col("price"))).over(w)
+    return levels.withColumn("middle", (best[0] + best[1]) / 2).filter(F.abs(F.col("price") - F.col("middle")) <= F.col("middle") * share).groupBy("book", "side").agg(F.sum("size").alias("size"))
 
 
 def latest(deltas: DataFrame) -> DataFrame:

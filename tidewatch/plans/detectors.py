@@ -157,9 +157,7 @@ def book_stats(spark, sf):
 
 def _levels(spark, sf):
     """Books from fills: sellers below each market's median price bid, the others ask; prices to whole numbers."""
-    f = t.fills(spark, sf)
-    m = f.groupBy("market").agg(F.median("price").alias("m"))
-    l = f.join(m, "market").filter(F.col("price") != F.col("m"))
+    l = book.with_median(t.by_market(spark, sf, "price", "size"), "market", "price").filter(F.col("price") != F.col("m"))
     side = F.when(F.col("price") < F.col("m"), "bid").otherwise("ask")
     return l.groupBy(F.col("market").alias("book"), side.alias("side"), F.floor("price").cast("double").alias("price")).agg(F.sum("size").alias("size"))
 
