@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .. import tables as t
 from ..functions import stats
-from ..operators import graph
+from ..operators import book, graph
 from .detectors import signals
 from .relations import CLUSTER
 
@@ -155,28 +155,55 @@ def rule_actions(spark, sf):
     return a.select("wallet", "score", "matches", F.when(acts, F.col("top.id")).alias("rule"), r(adjusted, 4).alias("adjusted"), action.alias("action"))
 
 
-def _sides(spark, sf):
-    """(market, side, price, size) of books from fills: below the market's median price they bid, above it they ask."""
-    f = t.fills(spark, sf)
-    m = f.groupBy("market").agg(F.median("price").alias("m"))
-    rows = f.join(m, "market").filter(F.col("price") != F.col("m"))
-    return rows.groupBy("market", F.when(F.col("price") < F.col("m"), "bid").otherwise("ask").alias("side"), F.floor("price").cast("double").alias("price")).agg(F.sum("size").alias("size"))
+def _sided(fills):
+    """fills(market, price, size, ...) with m and side: below the market's median price they bid, above it they ask, else null."""
+    rows = book.with_median(fills, "market", "price")
+    return rows.withColumn("side", F.when(F.col("price") < F.col("m"), "bid").when(F.col("price") > F.col("m"), "ask"))
+
 
+def _levels(sided, *carried):
+    """(market, side, price, size) of sides to whole prices, and what is the same in all rows of a market."""
+    return sided.groupBy("market", "side", F.floor("price").cast("double").alias("price")).agg(F.sum("size").alias("size"), *[F.max(c).alias(c) for c in carried])
 
-def _book(spark, sf):
-    of = lambda side, c: F.when(F.col("side") == side, F.col(c))
-    value = _sides(spark, sf).withColumn("usd", F.col("price") * F.col("size"))
-    a = value.groupBy("market").agg(F.coalesce(F.sum(of("bid", "usd")), F.lit(0.0)).alias("bids"), F.coalesce(F.sum(of("ask", "usd")), F.lit(0.0)).alias("asks"), F.count("*").alias("levels"), F.max(of("bid", "price")).alias("bid"), F.min(of("ask", "price")).alias("ask"))
-    return a.withColumn("spread", (F.col("ask") - F.col("bid")) / ((F.col("ask") + F.col("bid")) / 2) * 100)
+
+def _of(side, c):
+    return F.when(F.col("side") == side, c)
+
+
+def _sides(spark, sf):
+    """(market, side, price, size) of books from fills, with the middle and the worth of the whole book."""
+    rows = _levels(_sided(t.by_market(spark, sf, "price", "size")).filter("side is not null"))
+    w, usd = Window.partitionBy("market"), F.col("price") * F.col("size")
+    worth = lambda side: F.coalesce(F.sum(_of(side, usd)).over(w), F.lit(0.0))
+    middle = (F.max(_of("bid", F.col("price"))).over(w) + F.min(_of("ask", F.col("price"))).over(w)) / 2
+    return rows.withColumns({"middle": middle, "total": worth("bid") + worth("ask")})
+
+
+def _books_and_trading(spark, sf, now):
+    """A row a market: its book, trading of the last year before now and its last fill. Fills travel once, by market."""
+    f = _sided(t.by_market(spark, sf, "price", "size", "usd", "ts_ms"))
+    w, recent = Window.partitionBy("market"), F.col("ts_ms") > F.lit(now) - 365 * t.DAY
+    usd = F.when(recent, F.col("usd"))
+    trading = {"usd": F.sum(usd), "n": F.count_if(recent), "mean": F.avg(usd), "dev": F.stddev_pop(usd), "last": F.max("ts_ms")}
+    f = f.select("market", "side", "price", "size", *[c.over(w).alias(k) for k, c in trading.items()])
+    worth = lambda side: F.coalesce(F.sum(_of(side, F.col("price") * F.col("size"))), F.lit(0.0))
+    best = F.max(_of("bid", F.col("price"))).alias("bid"), F.min(_of("ask", F.col("price"))).alias("ask")
+    a = _levels(f, *trading).groupBy("market").agg(worth("bid").alias("bids"), worth("ask").alias("asks"), F.count("side").alias("levels"), *best, *[F.max(c).alias(c) for c in trading])
+    return a.withColumn("spread", (F.col("ask") - F.col("bid")) / ((F.col("ask") + F.col("bid")) / 2) * 100).checkpoint()
 
 
 def score_liquidity(spark, sf):
-    """Liquidity of each market from 0 to 100: depth .35, trading of the last year .30, spread .20, participation .15."""
-    f = t.fills(spark, sf)
-    now = f.agg(F.max("ts_ms").alias("now"))
-    recent = f.crossJoin(F.broadcast(now)).filter(F.col("ts_ms") > F.col("now") - 365 * t.DAY)  # one row
-    v = recent.groupBy("market").agg(F.sum("usd").alias("usd"), F.count("*").alias("n"), F.avg("usd").alias("mean"), F.stddev_pop("usd").alias("dev"))
-    j = _book(spark, sf).join(v, "market", "left")
+    """Liquidity of each market from 0 to 100: depth .35, trading of the last year .30, spread .20, participation .15.
+
+    The year ends with the last line item; only if that is no fill are the books made again, with the last fill's.
+    """
+    graph.shared_checkpoints(spark)
+    now = t.line_ends(spark, sf)[1] or 0
+    j = _books_and_trading(spark, sf, now)
+    last = j.agg(F.max("last")).first()[0]
+    if last is not None and last != now:
+        j = _books_and_trading(spark, sf, last)
+    j = j.filter("levels > 0")
     cut = lambda c: stats.clamp(c, 0.0, 100.0)
     total, levels, n = F.col("bids") + F.col("asks"), F.col("levels"), F.coalesce("n", F.lit(0))
     by_level = F.least(F.when(levels > 10, 50 + (levels - 10) * 2.5).otherwise(levels * 5.0), F.lit(100.0))
@@ -196,7 +223,7 @@ def score_liquidity(spark, sf):
 
 def det_relevant_liquidity(spark, sf):
     """What a trade of either direction meets: the whole book, the other side within 2 %, and depths of 1, 2 and 5 % by .5, .3, .2."""
-    j = _sides(spark, sf).join(_book(spark, sf).select("market", ((F.col("bid") + F.col("ask")) / 2).alias("middle"), (F.col("bids") + F.col("asks")).alias("total")), "market").filter("middle is not null")
+    j = _sides(spark, sf).filter("middle is not null")
     away, usd = F.abs(F.col("price") - F.col("middle")) / F.col("middle"), F.col("price") * F.col("size")
     within = {p: F.sum(F.when(away <= p / 100, usd).otherwise(0.0)).alias(f"d{p}") for p in (1, 2, 5)}
     a = j.groupBy("market", "side", "total").agg(F.sum(usd).alias("usd"), *within.values())
@@ -211,7 +238,7 @@ IMPACTS = {"notable": (0.1, 0.001), "large": (0.5, 0.005), "very_large": (1.0, 0
 
 def det_impact_thresholds(spark, sf):
     """Trade sizes that move a market by 0.1 to 5 percent, between its depths at 1 and 5 percent; shares of all without them."""
-    j = _sides(spark, sf).join(_book(spark, sf).select("market", ((F.col("bid") + F.col("ask")) / 2).alias("middle"), (F.col("bids") + F.col("asks")).alias("total")), "market").filter("middle is not null")
+    j = _sides(spark, sf).filter("middle is not null")
     away, usd = F.abs(F.col("price") - F.col("middle")) / F.col("middle"), F.col("price") * F.col("size")
     side = lambda s, p: F.sum(F.when((F.col("side") == s) & (away <= p / 100), usd).otherwise(0.0))
     a = j.groupBy("market", "total").agg(F.least(side("bid", 1), side("ask", 1)).alias("v1"), F.least(side("bid", 5), side("ask", 5)).alias("v5"))
