@@ -66,10 +66,19 @@ def rolling(rows: DataFrame, keys: Sequence[str], ident: str, value: str, widths
     real = F.col("_real") == 1
     row = F.when(real, F.struct(F.col("_at").alias("at"), F.col(ident).alias("id"), F.col(value).cast("double").alias("v")))
     amount = F.when(real, F.col(value).cast("double")).otherwise(0.0)
-    # a frame's beginning sorts before the rows of its instant, which it takes in
-    up, down = (Window.partitionBy(*keys, "_chunk").orderBy(*by) for by in (("_at", "_real"), (F.desc("_at"), F.desc("_real"))))
-    seen = points.withColumns({"_n": F.sum(F.col("_real").cast("long")).over(up), "_s": F.sum(amount).over(up), "_last": F.max(row).over(up)["v"], "_next": F.min(row).over(down)})
-    chunks = points.groupBy(*keys, "_chunk").agg(F.sum(F.col("_real").cast("long")).alias("n"), F.sum(amount).alias("s"), F.min(row).alias("first"))
+    # a frame's beginning sorts before the rows of its instant, which it takes in; one sort serves both windows
+    up = Window.partitionBy(*keys, "_chunk").orderBy("_at", "_real")
+    named = ", ".join(f"`{k}`" for k in (*keys, "_chunk"))
+    points = points.withColumn("_row", row)
+    seen = points.withColumn("_next", F.expr(f"lead(_row) IGNORE NULLS OVER (PARTITION BY {named} ORDER BY _at, _real, `{ident}`)"))
+    seen = seen.withColumns({"_n": F.sum(F.col("_real").cast("long")).over(up), "_s": F.sum(amount).over(up), "_last": F.max("_row").over(up)["v"]})
+    # the least of structs is found by sorting, so rows alone go there; chunks that only frames begin in have none
+    held = rows.select(*keys, F.floor(F.col("ts_ms") / chunk_ms).alias("_chunk"), F.col(value).cast("double").alias("_v"), F.struct(F.col("ts_ms").alias("at"), F.col(ident).alias("id"), F.col(value).cast("double").alias("v")).alias("_row"))
+    held = held.groupBy(*keys, "_chunk").agg(F.count("*").alias("_k"), F.sum("_v").alias("_sum"), F.min("_row").alias("first"))
+    held = held.select(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate((*keys, "_chunk"))], "_k", "_sum", "first")
+    alike = [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate((*keys, "_chunk"))]
+    chunks = points.select(*keys, "_chunk").distinct().join(held, alike, "left")
+    chunks = chunks.select(*keys, "_chunk", F.coalesce("_k", F.lit(0)).alias("n"), F.coalesce("_sum", F.lit(0.0)).alias("s"), "first")
     in_block = Window.partitionBy(*keys, F.floor(F.col("_chunk") / block))
     before = in_block.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
@@ -85,7 +94,8 @@ def rolling(rows: DataFrame, keys: Sequence[str], ident: str, value: str, widths
         mine = F.col("_name") == name
         out += [F.sum(F.when(mine | F.col("_name").isNull(), F.col(c))).alias(f"{k}_{name}") for k, c in (("n", "_n"), ("sum", "_s"))]
         out += [F.max(F.when(mine, F.col(c))).alias(f"{k}_{name}") for k, c in (("first_ms", "_ms"), ("first", "_v"))]
-    return flat.groupBy(*keys, ident, "ts_ms", value).agg(*out)
+    # the points of a row lie in as many chunks: they travel as they are, for sums of each task would only be wider
+    return flat.repartition(*keys, ident).groupBy(*keys, ident, "ts_ms", value).agg(*out)
 
 
 def anchored_windows(rows: DataFrame, keys: Sequence[str], width_ms: int, step_ms: int) -> DataFrame:
