@@ -1,8 +1,10 @@
 import math
+import time
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import mixing
 
@@ -105,3 +107,15 @@ def test_each_domain_meets_its_own_target_by_exact_posteriors(spark):
     assert np.allclose(np.stack(out.p), p, atol=1e-12)
     reached = ((out.rate * out.n_tokens).to_numpy()[:, None] * p).sum(0)
     assert np.abs(reached / target - 1).max() < 0.02
+
+
+def test_word_features_are_those_of_the_plain_pattern_and_a_long_run_takes_no_square(spark):
+    texts = ["x.y,z!!", "!a?b", "ab" * 40 + "#$", "", "É1.,?! é", ",.;a;", "a-b--c d_e's", "?\n.a\t..!b", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\p{L}\p{N}.,]+([^\p{L}\p{N}.,\s]+)", "$1")
+    words = F.array_remove(F.split(plain, r"[\s.,]+"), "")
+    want = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(mixing.BUCKETS)).cast("int"))
+    assert rows.filter(~want.eqNullSafe(mixing.features(F.col("text")))).count() == 0
+    began = time.time()
+    assert spark.range(1).select(F.size(mixing.features(F.repeat(F.lit("a"), F.col("id").cast("int") + 300_000))).alias("n")).first().n == 1
+    assert time.time() - began < 15

@@ -35,7 +35,8 @@ def domain_of_labels(labels: DataFrame) -> DataFrame:
 
 def features(text: Column) -> Column:
     """Buckets of a text's word features: a word's signs if it has any but stops and commas, else the lower-cased word."""
-    signs = F.regexp_replace(F.lower(text_or_empty(text)), r"[\p{L}\p{N}.,]+([^\p{L}\p{N}.,\s]+)", "$1")
+    # a run begins where none goes on and is taken whole, so that each character is looked at once
+    signs = F.regexp_replace(F.lower(text_or_empty(text)), r"(?<![\p{L}\p{N}.,])[\p{L}\p{N}.,]++([^\p{L}\p{N}.,\s]+)", "$1")
     words = F.array_remove(F.split(signs, r"[\s.,]+"), "")
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
