@@ -1,3 +1,4 @@
+import cProfile
 import zlib
 from functools import cache
 
@@ -91,6 +92,31 @@ def test_files_are_smaller_than_those_of_a_plain_compressor():
     assert size * 8 < 9.3 * len(ids)
 
 
+def test_coder_takes_few_steps_and_little_room():
+    """Calls for each position of a block, in which all blocks of a segment share, and bits an id."""
+    texts = [t or "" for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' order by doc_id").fetchall()]
+    ids, _ = token_files.text_ids(PATH).of(pa.array(texts))
+    ids = ids[: len(ids) // id_coder.BLOCK * id_coder.BLOCK]
+    profile = cProfile.Profile()
+    blocks = id_coder.encoded(ids)
+    found = profile.runcall(id_coder.decoded, blocks, [id_coder.BLOCK] * len(blocks))
+    calls = sum(entry.callcount for entry in profile.getstats())
+    assert (found == ids).all()
+    assert sum(map(len, blocks)) * 8 < 9.1 * len(ids)
+    assert calls < 20 * id_coder.BLOCK
+
+
+@pytest.mark.parametrize("last", [1, 9, 700, 1999])
+def test_coder_round_trip_of_unequal_blocks(last):
+    """Blocks that order 0 gives nothing, little or all of, and runs of ids that end within a step."""
+    any_ids = np.random.default_rng(5).integers(0, 1 << 16, 6000)
+    ids = np.concatenate([np.zeros(2000, dtype=np.int64), any_ids[:2000], np.tile(any_ids[:13], 154)[:2000], any_ids[2000:2003], np.full(1997, 65535), any_ids[4000 : 4000 + last]])
+    blocks, counts = id_coder.encoded(ids, 2000), [2000] * 4 + [last]
+    assert (id_coder.decoded(blocks, counts) == ids).all()
+    for i, n in enumerate(counts):
+        assert (id_coder.decoded([blocks[i]], [n]) == ids[2000 * i : 2000 * i + n]).all()
+
+
 def test_forgotten_words_are_learned_again():
     few, texts = token_files.TextIds(PATH, remembered=5), [["some words here", "some more"], ["some words that are new"], ["words here", "some"]]
     for t in texts * 2:
