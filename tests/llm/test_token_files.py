@@ -84,6 +84,14 @@ def test_marks_compose_before_letters_are_lowered():
     assert flat.tolist() == [i for x in texts for i in [*library_of(PATH).encode(x, add_special_tokens=False).ids, 1]]
 
 
+def test_words_of_letters_in_any_case():
+    letters = [chr(i) for i in range(0x41, 0x180) if chr(i).isalpha() or chr(i) in "×÷"]
+    texts = [a + b for a in letters for b in ("", "x", "É", "ß", "'S", "\u0301", " ÑANDÚ,", "1Ÿ")] + ["ÀÉ×Õ÷Ö", "Straße ÜBER", "ÇA\u0327"]
+    texts += [" ".join(texts), "".join(letters), " ".join(f"é{a}{b}" for a in letters for b in letters)]  # over 200 words at a time
+    flat, _ = token_files.TextIds(PATH).of(pa.array(texts))
+    assert flat.tolist() == [i for x in texts for i in [*library_of(PATH).encode(x, add_special_tokens=False).ids, 1]]
+
+
 def test_files_are_smaller_than_those_of_a_plain_compressor():
     texts = [t or "" for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' order by doc_id").fetchall()]
     ids, _ = token_files.text_ids(PATH).of(pa.array(texts))

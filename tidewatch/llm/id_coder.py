@@ -24,7 +24,7 @@ _SLOTS, _GROUPS, _OUTCOMES = 11, 32, 3
 #: Bits of the shares of models and of a byte.
 _SHARE, _BYTE = 12, 12
 #: What a byte's being seen counts for, when having not been seen counts 1.
-_SEEN = np.float32(20)
+_SEEN = np.int32(20)
 #: The interval is below 2**_WHOLE wide; a digit of 24 bits is written as soon as it is below 2**_LEAST.
 _WHOLE, _DIGIT = 61, 24
 _LEAST = _WHOLE - _DIGIT
@@ -64,8 +64,9 @@ class _Shares:
         self.drawn[grown] = self.total[grown]
         for at in range(0, len(grown), 512):
             of = grown[at : at + 512]
-            sums = np.cumsum(self.counts[of] * _SEEN + np.float32(1), axis=1, dtype=np.float32)
-            sums *= np.float32((1 << _BYTE) - 256) / sums[:, -1:]
+            sums = np.cumsum(self.counts[of], axis=1, dtype=np.int32) * _SEEN  # sums of other types are slow
+            sums += _LEAST_SUMS
+            sums = sums.astype(np.float32) * (np.float32((1 << _BYTE) - 256) / sums[:, -1:].astype(np.float32))
             drawn = sums.astype(np.uint16)
             drawn += _LEAST_SUMS
             self.sums[of, 1:256] = drawn[:, :-1]
@@ -176,7 +177,7 @@ class _Reader:
         """data: digits by interval, each with three zeros after it at least."""
         lanes, size = data.shape
         self.data, self.used = data.ravel(), np.arange(lanes) * size + 3
-        first, second, third = data[:, 0], data[:, 1], data[:, 2]
+        first, second, third = data[:, :3].T.astype(np.int64)
         self.code = first << _LEAST | second << _THIRD | third >> _DIGIT - _THIRD
         self.spare, self.width = third & (1 << _DIGIT - _THIRD) - 1, np.full(lanes, (1 << _WHOLE) - 1)
 
@@ -190,7 +191,7 @@ class _Reader:
         self.width[:n] = width
         of = np.flatnonzero(width < 1 << _LEAST)
         at = self.used[of]
-        digit = self.data.take(at, mode="clip")  # an interval may run on for a step after its last id
+        digit = self.data.take(at, mode="clip").astype(np.int64)  # an interval may run on for a step after its last id
         self.used[of] = at + 1
         self.code[of] = self.code[of] << _DIGIT | self.spare[of] << _THIRD | digit >> _DIGIT - _THIRD
         self.spare[of] = digit & (1 << _DIGIT - _THIRD) - 1
@@ -258,12 +259,11 @@ def encoded(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     many, outcomes, whole = many[order], outcomes[order], whole[order]
     writer, weights = _Writer(lanes * PARTS, each * 3 // 2 + 8), _Weights(lanes)
 
-    by_step = np.ascontiguousarray(outcomes.reshape(-1, each).T).astype(np.int64)
-    after = np.concatenate([np.zeros((2, lanes * PARTS), dtype=np.int64), by_step])
+    by_step = np.concatenate([np.zeros((2, lanes * PARTS), dtype=np.uint8), outcomes.reshape(-1, each).T])
     cuts = [0, *sorted(at for at in _LEARN if at < each), each]
     for begin, end in zip(cuts, cuts[1:], strict=False):
-        now = by_step[begin:end]
-        rows = weights.row + after[begin:end] * _OUTCOMES + after[begin + 1 : end + 1]
+        some = by_step[begin : end + 2].astype(np.int64)
+        now, rows = some[2:], weights.row + some[:-2] * _OUTCOMES + some[1:-1]
         share2, both = weights.share2.take(rows), weights.both.take(rows)
         start = np.where(now == 0, 0, np.where(now == 1, share2, both))
         share = np.where(now == 0, share2, np.where(now == 1, both, 1 << _SHARE)) - start
@@ -311,19 +311,17 @@ def decoded(blocks: list[bytes], counts: list[int]) -> np.ndarray:
     digits = np.concatenate([heads[:, 1:], (total - heads[:, 1:].sum(1))[:, None]], axis=1).ravel()
     flat = np.zeros((int(total.sum()), 4), dtype=np.uint8)
     flat[:, 1:] = np.frombuffer(b"".join(b[head:] for b in blocks), dtype=np.uint8).reshape(-1, 3)
-    data = np.zeros((lanes * PARTS, int(digits.max()) + 4), dtype=np.int64)
+    data = np.zeros((lanes * PARTS, int(digits.max()) + 4), dtype=np.uint32)
     data[np.arange(data.shape[1]) < digits[:, None]] = flat.view(">u4").ravel()
     reader, weights = _Reader(data), _Weights(lanes)
 
     width, now = lanes * PARTS, np.zeros(lanes * PARTS, dtype=np.int64)
     bounds, lane, row = np.zeros((4, width), dtype=np.int64), np.arange(width), weights.row
-    rows, by_step = (np.empty((each, width), dtype=np.int64) for _ in range(2))
-    learned = 0
+    by_step, seen_rows, seen = np.empty((each, width), dtype=np.uint8), [], []
     for t in range(each):
         if t in _LEARN:
-            weights.learn(rows[learned:t], by_step[learned:t])
-            learned = t
-        rows[t] = row
+            weights.learn(np.array(seen_rows), np.array(seen))
+            seen_rows, seen = [], []
         unit = reader.width >> _SHARE
         np.multiply(weights.share2.take(row), unit, out=bounds[1])
         np.multiply(weights.both.take(row), unit, out=bounds[2])
@@ -333,8 +331,10 @@ def decoded(blocks: list[bytes], counts: list[int]) -> np.ndarray:
         below = bounds.ravel().take(at)
         reader.narrow(below, bounds.ravel().take(at + width) - below)
         by_step[t] = now
+        seen_rows.append(row)
+        seen.append(now)
         row = weights.row + before * _OUTCOMES + now
-    outcomes = by_step.T.astype(np.uint8).reshape(lanes, -1)
+    outcomes = np.ascontiguousarray(by_step.T).reshape(lanes, -1)
 
     many = np.count_nonzero(outcomes == 2, axis=1)
     order = np.argsort(-many, kind="stable")

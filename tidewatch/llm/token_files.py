@@ -36,28 +36,20 @@ _BY_WORDS = (
 )
 #: Between a letter or digit and a sign such a tokenizer always cuts, but for the apostrophe; a cut there makes fewer words.
 _SEAM = r"([a-z0-9])([!-&(-/:-@\[-`{-~])"
+#: The rest of such a tokenizer: bytes of a word as characters, and a mark at the end of its last token.
+_OF_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Lower-cased words of letters that no other normal form, case or cut can change, and the same in either case.
+_PLAIN, _LETTERS = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$", "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 #: Documents that are read back at a time, bytes of texts encoded at a time, new words encoded as one text.
-DOCS, TEXT_BYTES, _TOGETHER = 2000, 1 << 24, 200
-
-
-class _Numbers(dict):
-    """A number for each word, given in the order of first use; the words that are new wait in `new`."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        found = self[word] = len(self)
-        return found
+DOCS, TEXT_BYTES, _TOGETHER = 2000, 1 << 23, 200
 
 
 class TextIds:
     """The ids of whole texts as the tokenizers library gives them.
 
-    For tokenizers of the kind in _BY_WORDS a text's ids are those of its words, and words of ASCII alone can be
-    lower-cased first: each word is then encoded once and remembered. Other tokenizers, and texts that hold the string of a special token, get
-    the library's own encoding of the whole text. Ids from 65,536 on are an error.
+    For tokenizers of the kind in _BY_WORDS a text's ids are those of its words, and words of ASCII or of Latin-1 letters
+    alone can be lower-cased first: each word is then encoded once and remembered. Other tokenizers, and texts that hold the
+    string of a special token, get the library's own encoding of the whole text. Ids from 65,536 on are an error.
     """
 
     def __init__(self, path: str, remembered: int = 600_000) -> None:
@@ -66,48 +58,63 @@ class TextIds:
 
         self.tokenizer, self.of_words, self.of_letters = (Tokenizer.from_file(path) for _ in range(3))
         self.of_words.encode_special_tokens = True  # lower-cased words may look like a special token
-        # words of a-z alone need neither another form nor a cut
-        self.of_letters.normalizer, self.of_letters.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         spec = json.loads(self.tokenizer.to_str())
-        cut = (spec["pre_tokenizer"] or {}).get("pretokenizers", [None])[0]
+        cut, *others = (spec["pre_tokenizer"] or {}).get("pretokenizers", [None])
         self.by_words = (((spec["normalizer"] or {}).get("normalizers")), cut) == _BY_WORDS and all(t["special"] and not t["normalized"] for t in spec["added_tokens"])
         self.specials = [t["content"] for t in spec["added_tokens"]]
         if self.tokenizer.get_vocab_size() > IDS:
             raise ValueError(f"ids of this tokenizer reach {IDS}")
-        self.remembered, self.number = remembered, _Numbers()
+        # plain words need neither another form nor a cut, and the last token of each has a mark
+        mark, self.ends_word = spec["model"].get("end_of_word_suffix"), np.zeros(IDS, dtype=bool)
+        if mark and others == [_OF_BYTES]:
+            self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(mark)]] = True
+        self.of_letters.normalizer = normalizers.Sequence([])
+        self.of_letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.remembered, self.known = remembered, pa.array([], pa.string())
         self.flat, self.ends = np.zeros(0, dtype=np.uint16), np.zeros(1, dtype=np.int64)
-        self._forget(np.zeros(0, dtype=np.int64))
+        self.uses = np.zeros(0, dtype=np.int64)
 
     def _forget(self, but: np.ndarray) -> None:
         """Keep only the words with these numbers."""
-        names = list(self.number) if len(but) else []
-        number = _Numbers()
-        for i in but.tolist():
-            number[names[i]] = len(number)
-        self.number, self.uses = number, np.zeros(len(but), dtype=np.int64)
+        self.known, self.uses = self.known.take(pa.array(but)), np.zeros(len(but), dtype=np.int64)
         self.flat, self.ends = _gathered(self.flat, self.ends, but)
 
-    def _learn(self) -> None:
-        """Encode the new words, many as one text; a token belongs to the word in which it begins."""
-        words, self.number.new = self.number.new, []
-        letters = np.fromiter((w.isascii() and w.isalpha() for w in words), dtype=bool, count=len(words))
-        ids, lengths, order = [], [], np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])
-        for tokenizer, which in ((self.of_letters, order[: letters.sum()]), (self.of_words, order[letters.sum() :])):
-            for at in range(0, len(which), _TOGETHER):
-                some = [words[i] for i in which[at : at + _TOGETHER]]
-                found = tokenizer.encode(" ".join(some), add_special_tokens=False)
-                begins = np.cumsum([0, *[len(w) + 1 for w in some[:-1]]])
-                of = np.searchsorted(begins, np.array([a for a, _ in found.offsets], dtype=np.int64), side="right") - 1
-                lengths.append(np.bincount(of, minlength=len(some)))
-                ids.append(np.array(found.ids, dtype=np.uint16))
+    def _learn(self, words: pa.Array) -> None:
+        """Encode new words, many as one text."""
+        plain = np.zeros(len(words), dtype=bool)
+        if self.ends_word.any():
+            plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        ids, lengths, order = [], [], np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        for which, of in ((order[: plain.sum()], self._of_plain), (order[plain.sum() :], self._of_others)):
+            some = words.take(pa.array(which))
+            offsets = np.minimum(np.arange(0, len(some) + _TOGETHER, _TOGETHER), len(some))
+            for text, at in zip(pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), some), " ").to_pylist(), offsets.tolist(), strict=False):
+                found, n = of(text, some[at : at + _TOGETHER])
+                ids.append(found)
+                lengths.append(n)
         cuts = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
         flat, cuts = _gathered(np.concatenate(ids), cuts, np.argsort(order))
         self.flat, self.ends = np.concatenate([self.flat, flat]), np.concatenate([self.ends, self.ends[-1] + cuts[1:]])
-        self.uses = np.concatenate([self.uses, np.zeros(len(words), dtype=np.int64)])
+        self.known, self.uses = pa.concat_arrays([self.known, words]), np.concatenate([self.uses, np.zeros(len(words), dtype=np.int64)])
+
+    def _of_plain(self, text: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words and how many each has, by the marks at their ends."""
+        ids = np.array(self.of_letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint16)
+        last = np.flatnonzero(self.ends_word[ids])
+        if len(last) != len(words) or last[-1] != len(ids) - 1:
+            return self._of_others(text, words)  # some letter has no token
+        return ids, np.diff(last, prepend=-1)
+
+    def _of_others(self, text: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of any words and how many each has; a token belongs to the word in which it begins."""
+        found = self.of_words.encode(text, add_special_tokens=False)
+        begins = np.cumsum(pc.utf8_length(words).to_numpy() + 1, dtype=np.int64)[:-1]
+        of = np.searchsorted(begins, np.array([a for a, _ in found.offsets], dtype=np.int64), side="right")
+        return np.array(found.ids, dtype=np.uint16), np.bincount(of, minlength=len(words))
 
     def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, one after another, and where each text begins and the last one ends."""
-        if len(self.number) > self.remembered:
+        if len(self.known) > self.remembered:
             again = np.flatnonzero(self.uses > 1)
             self._forget(again if 2 * len(again) < self.remembered else again[:0])
         # distinct words first, then what signs part them into: both steps are small beside the texts
@@ -115,23 +122,25 @@ class TextIds:
         words = split.flatten().dictionary_encode()
         # other words are left to the library: a capital and a mark may compose, or not, before they are lower-cased
         low = pc.if_else(pc.string_is_ascii(words.dictionary), pc.ascii_lower(words.dictionary), words.dictionary)
+        low = pc.if_else(pc.match_substring_regex(low, _LETTERS), pc.utf8_lower(low), low)
         parted = pc.ascii_split_whitespace(pc.replace_substring_regex(low, _SEAM, r"\1 \2"))
         parts = parted.flatten().dictionary_encode()
-        distinct = parts.dictionary.to_pylist()
-        number = np.fromiter(map(self.number.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        if self.number.new:
-            self._learn()
+        number = pc.index_in(parts.dictionary, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = len(self.known) + np.arange(len(new))
+            self._learn(parts.dictionary.take(pa.array(new)))
         self.uses[number] += 1
         part_ids, part_cuts = _gathered(self.flat, self.ends, number[parts.indices.to_numpy()])
-        word_ids, word_cuts = part_ids, part_cuts[parted.offsets.to_numpy()]
-        ids, cuts = _gathered(word_ids, word_cuts, words.indices.to_numpy())
+        ids, cuts = _gathered(part_ids, part_cuts[parted.offsets.to_numpy()], words.indices)
         offsets = split.offsets.to_numpy()
         return ids, cuts[offsets - offsets[0]]
 
     def of(self, texts: pa.Array, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another and each with the end id, and how many each has."""
         whole = np.full(len(texts), not self.by_words)
-        if self.by_words:
+        # what all special tokens begin with is rare
+        if self.by_words and pc.any(pc.match_substring(texts, os.path.commonprefix(self.specials))).as_py():
             for token in self.specials:
                 whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         rest = texts.filter(pa.array(~whole)) if whole.any() else texts
@@ -148,11 +157,10 @@ class TextIds:
         return np.insert(ids, np.cumsum(counts), np.uint16(end)), counts + 1
 
 
-def _gathered(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gathered(flat: np.ndarray, ends: np.ndarray, which: np.ndarray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The runs flat[ends[i]:ends[i + 1]] for each i of `which`, one after another, and where each begins and the last ends."""
-    begins = ends[which]
-    cuts = np.concatenate([[0], np.cumsum(ends[which + 1] - begins)])
-    return flat[np.repeat(begins - cuts[:-1], np.diff(cuts)) + np.arange(cuts[-1])], cuts
+    runs = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).take(pa.array(which))
+    return runs.flatten().to_numpy(), runs.offsets.to_numpy()
 
 
 _KNOWN: dict[str, TextIds] = {}
