@@ -24,13 +24,13 @@ _SLOTS, _GROUPS, _OUTCOMES = 11, 32, 3
 #: Bits of the shares of models and of a byte.
 _SHARE, _BYTE = 12, 12
 #: What a byte's being seen counts for, when having not been seen counts 1.
-_SEEN = np.int32(20)
+_SEEN = np.float32(20)
 #: The interval is below 2**_WHOLE wide; a digit of 24 bits is written as soon as it is below 2**_LEAST.
 _WHOLE, _DIGIT = 61, 24
 _LEAST = _WHOLE - _DIGIT
 #: Bits of the third digit that the interval holds; a reader keeps the others.
 _THIRD = _WHOLE - 2 * _DIGIT
-#: Outcomes of a part after which weights take effect, and the weight above which a model's is halved.
+#: Outcomes of a part, which are coded by twos, after which weights take effect, and the weight above which a model's is halved.
 _LEARN, _HEAVY = {2, 4, *range(8, BLOCK // PARTS, 8)}, 4000
 #: Ids of a part after which order 0's distribution is drawn anew, for bytes whose counts have grown by more than a _GROWN-th.
 _REDRAW = [2, 5, 9, 14, 20, 28, 38, 50, 64, 80, 100, 124, 150, 180, 216, 256, 304, 360, 424, 500, 590, 690, 800, 920]
@@ -64,10 +64,11 @@ class _Shares:
         self.drawn[grown] = self.total[grown]
         for at in range(0, len(grown), 512):
             of = grown[at : at + 512]
-            sums = np.cumsum(self.counts[of], axis=1, dtype=np.int32) * _SEEN  # sums of other types are slow
+            sums = np.cumsum(self.counts.take(of, axis=0), axis=1, dtype=np.int32).astype(np.float32)  # of another type it would be slow
+            sums *= _SEEN
             sums += _LEAST_SUMS
-            sums = sums.astype(np.float32) * (np.float32((1 << _BYTE) - 256) / sums[:, -1:].astype(np.float32))
-            drawn = sums.astype(np.uint16)
+            sums *= np.float32((1 << _BYTE) - 256) / sums[:, -1:]
+            drawn = sums.astype(np.int32).astype(np.uint16)
             drawn += _LEAST_SUMS
             self.sums[of, 1:256] = drawn[:, :-1]
             self.coarse[of, 1:] = drawn[:, 15:255:16]
@@ -87,8 +88,8 @@ class _Shares:
 
 def _set(below: np.ndarray) -> np.ndarray:
     """How many of 16 flags are set, less one."""
-    two = np.bitwise_count(below.view(np.uint64))
-    return two[:, 0].astype(np.int64) + two[:, 1] - 1
+    two = below.view(np.uint64)
+    return ((two[:, 0] + two[:, 1]) * np.uint64(0x0101010101010101) >> np.uint64(56)).view(np.int64) - 1  # bytes summed up in the highest
 
 
 class _Weights:
@@ -222,15 +223,17 @@ def _outcomes(ids: np.ndarray) -> np.ndarray:
 
 def _filled_in(ids: np.ndarray, outcomes: np.ndarray) -> None:
     """Put what orders 1 and 2 say into ids (positions x blocks), which hold those of order 0."""
-    steps, lanes = ids.shape
+    lanes = ids.shape[1]
     base = np.arange(lanes) << _SLOTS
     next1, next2 = (np.zeros(lanes << _SLOTS, dtype=np.uint16) for _ in range(2))
     slot1, before, follows = base, 0, 0
-    by2, by1 = outcomes == 0, outcomes == 1
-    for t in range(steps):
-        x, slot2 = ids[t], slot1 ^ before
-        np.copyto(x, next1.take(slot1), where=by1[t])
-        np.copyto(x, next2.take(slot2), where=by2[t])
+    guess1, guess2 = np.empty((2, lanes), dtype=np.uint16)
+    for x, by2, by1 in zip(ids, outcomes == 0, outcomes == 1, strict=True):
+        slot2 = slot1 ^ before
+        next1.take(slot1, out=guess1, mode="wrap")
+        next2.take(slot2, out=guess2, mode="wrap")
+        np.copyto(x, guess1, where=by1)
+        np.copyto(x, guess2, where=by2)
         next1[slot1] = x
         next2[slot2] = x
         before, slot1 = follows, _SLOT1.take(x) + base
@@ -248,7 +251,7 @@ def encoded(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         return []
     if int(ids.max()) >= IDS or block > BLOCK:
         raise ValueError(f"ids must be below {IDS} and blocks hold {BLOCK} at most")
-    lanes, each = -(-n // block), -(-min(n, block) // PARTS)
+    lanes, each = -(-n // block), -(-min(n, block) // (2 * PARTS)) * 2
     table = np.zeros((lanes, block), dtype=np.uint16)
     table.ravel()[:n] = ids
     whole = np.zeros((lanes, each * PARTS), dtype=np.uint16)
@@ -267,8 +270,9 @@ def encoded(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         share2, both = weights.share2.take(rows), weights.both.take(rows)
         start = np.where(now == 0, 0, np.where(now == 1, share2, both))
         share = np.where(now == 0, share2, np.where(now == 1, both, 1 << _SHARE)) - start
-        for t in range(end - begin):
-            writer.narrow(start[t], share[t], _SHARE)
+        start, share = (start[::2] << _SHARE) + share[::2] * start[1::2], share[::2] * share[1::2]
+        for t in range((end - begin) // 2):
+            writer.narrow(start[t], share[t], 2 * _SHARE)
         weights.learn(rows, now)
 
     if many[0]:
@@ -322,16 +326,26 @@ def decoded(blocks: list[bytes], counts: list[int]) -> np.ndarray:
         if t in _LEARN:
             weights.learn(np.array(seen_rows), np.array(seen))
             seen_rows, seen = [], []
-        unit = reader.width >> _SHARE
-        np.multiply(weights.share2.take(row), unit, out=bounds[1])
-        np.multiply(weights.both.take(row), unit, out=bounds[2])
-        np.left_shift(unit, _SHARE, out=bounds[3])
-        before, now = now, (reader.code >= bounds[1]).astype(np.int64) + (reader.code >= bounds[2])
+        seen_rows.append(row)
+        first = t % 2 == 0
+        if first:
+            unit = reader.width >> 2 * _SHARE
+            place = (reader.code.view(np.uint64) // unit.view(np.uint64)).view(np.int64)
+            below, share = 0, 1 << _SHARE
+        np.multiply(weights.share2.take(row), share, out=bounds[1])
+        np.multiply(weights.both.take(row), share, out=bounds[2])
+        bounds[3] = share << _SHARE
+        before, now = now, (place >= bounds[1]).astype(np.int64) + (place >= bounds[2])
         at = now * width + lane
-        below = bounds.ravel().take(at)
-        reader.narrow(below, bounds.ravel().take(at + width) - below)
+        start = bounds.ravel().take(at)
+        size = bounds.ravel().take(at + width) - start
+        below = below + start
+        if first:
+            place -= start
+            share = size >> _SHARE
+        else:
+            reader.narrow(below * unit, size * unit)
         by_step[t] = now
-        seen_rows.append(row)
         seen.append(now)
         row = weights.row + before * _OUTCOMES + now
     outcomes = np.ascontiguousarray(by_step.T).reshape(lanes, -1)

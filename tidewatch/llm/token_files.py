@@ -41,7 +41,7 @@ _OF_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": Tru
 #: Lower-cased words of letters that no other normal form, case or cut can change, and the same in either case.
 _PLAIN, _LETTERS = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$", "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 #: Documents that are read back at a time, bytes of texts encoded at a time, new words encoded as one text.
-DOCS, TEXT_BYTES, _TOGETHER = 2000, 1 << 23, 200
+DOCS, TEXT_BYTES, _TOGETHER = 2000, 1 << 24, 200
 
 
 class TextIds:
@@ -121,8 +121,10 @@ class TextIds:
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
         # other words are left to the library: a capital and a mark may compose, or not, before they are lower-cased
-        low = pc.if_else(pc.string_is_ascii(words.dictionary), pc.ascii_lower(words.dictionary), words.dictionary)
-        low = pc.if_else(pc.match_substring_regex(low, _LETTERS), pc.utf8_lower(low), low)
+        ascii_only = pc.string_is_ascii(words.dictionary)
+        some = words.dictionary.filter(pc.invert(ascii_only))
+        some = pc.if_else(pc.match_substring_regex(some, _LETTERS), pc.utf8_lower(some), some)
+        low = pc.replace_with_mask(pc.ascii_lower(words.dictionary), pc.invert(ascii_only), some)
         parted = pc.ascii_split_whitespace(pc.replace_substring_regex(low, _SEAM, r"\1 \2"))
         parts = parted.flatten().dictionary_encode()
         number = pc.index_in(parts.dictionary, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
