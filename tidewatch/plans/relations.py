@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from .. import tables as t
 from ..functions import stats
-from ..operators import graph, sequences
+from ..operators import graph, nearby, sequences
 
 r = stats.rounded
 #: How close in time trades of two wallets are coordinated; sizes of a sybil cluster; a fill that makes a wallet suspect.
@@ -79,23 +79,9 @@ def join_pre_event_volume(spark, sf):
 
 
 def pair_timing(spark, sf):
-    """Share of a wallet's trades with one of the other within a minute in the same market, over the smaller count.
-
-    Buckets of a minute and their neighbours make an equi-join of the range join. A trade counts once however many
-    match: with the first of the other wallet's trades that do, told by the trade before it. So two wallets are one row
-    with the hits of both, which is summed once.
-    """
-    f = t.trades(spark, sf).select("trade_id", "wallet", "market", "ts_ms", F.floor(F.col("ts_ms") / NEAR_MS).alias("bucket"))
-    size = f.groupBy("wallet").agg(F.count("*").alias("total"))
-    before = F.lag("ts_ms").over(Window.partitionBy("wallet", "market").orderBy("ts_ms", "trade_id"))
-    f = f.withColumn("before", before).join(size, "wallet")
-    side = lambda x, bucket: f.select("market", F.col("wallet").alias(x), F.col("total").alias(f"n{x}"), F.col("ts_ms").alias(f"at_{x}"), F.col("before").alias(f"before_{x}"), bucket.alias("bucket"))
-    around = F.explode(F.array(*[F.col("bucket") + k for k in (-1, 0, 1)]))
-    near = side("a", F.col("bucket")).join(side("b", around), ["market", "bucket"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("at_a") - F.col("at_b")) <= NEAR_MS))
-    first = lambda x, y: F.count_if(F.coalesce(F.col(f"before_{x}") < F.col(f"at_{y}") - NEAR_MS, F.lit(True)))
-    j = near.groupBy("a", "b", "na", "nb").agg(first("b", "a").alias("hits_a"), first("a", "b").alias("hits_b"))
-    both = F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.col(f"hits_{x}").alias("hits")) for x, y in ("ab", "ba")]))
-    return j.select(F.least("na", "nb").alias("n"), both).select("a", "b", "hits", r(F.least(F.try_divide("hits", "n"), F.lit(1.0)), 6).alias("timing"))
+    """Share of a wallet's trades with one of the other within a minute in the same market, over the smaller count."""
+    near = nearby.near_pairs(t.trades(spark, sf).select("wallet", "market", "ts_ms"), NEAR_MS)
+    return near.select("a", "b", "hits", r(F.least(F.try_divide("hits", "n"), F.lit(1.0)), 6).alias("timing"))
 
 
 def pair_direction(spark, sf):
