@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import pieces
+
 #: Trades that a block of wallets has at most and at least, about; pairs of trades that are in memory at once, about.
 MOST_TRADES, LEAST_TRADES, PIECE_PAIRS = 2_000_000, 100_000, 1_000_000
 #: Times that share an array.
@@ -95,22 +97,11 @@ def _square(a: _Trades, b: _Trades, within: int) -> Iterator[pa.RecordBatch]:
             low[s] = o.start + np.searchsorted(b.at[o], a.at[s] - within)
             high[s] = o.start + np.searchsorted(b.at[o], a.at[s] + within, "right")
     met = np.flatnonzero(high > low)
-    if not len(met):
-        return
     met = met[np.argsort(a.wallet[met], kind="stable")]
     low, n = low[met], (high - low)[met]
-    ends = np.cumsum(n)
-    # pieces end with a wallet where they can; a wallet that has more pairs goes on in several, whose sums are put together
-    starts = np.flatnonzero(np.diff(a.wallet[met], prepend=-1))
-    starts = starts[np.flatnonzero(np.diff((ends - n)[starts] // PIECE_PAIRS, prepend=-1))]
-    for s, e in zip(starts, [*starts[1:], len(met)], strict=True):
-        held = None
-        while s < e:
-            to = min(e, max(s + 1, int(np.searchsorted(ends, ends[s] - n[s] + 2 * PIECE_PAIRS, "right"))))
-            part = _counted(a, b, met[s:to], low[s:to], n[s:to], within)
-            held = part if held is None else _summed(*(np.concatenate(x) for x in zip(held, part, strict=True)))
-            s = to
-        yield from _batches(a, b, *held)
+    # a wallet that has more pairs goes on in several pieces, whose sums are put together
+    for chunk in pieces.chunks(a.wallet[met], n, PIECE_PAIRS):
+        yield from _batches(a, b, *pieces.together(_counted(a, b, met[x], low[x], n[x], within) for x in chunk))
 
 
 def _counted(a: _Trades, b: _Trades, rows: np.ndarray, low: np.ndarray, n: np.ndarray, within: int):
@@ -118,7 +109,7 @@ def _counted(a: _Trades, b: _Trades, rows: np.ndarray, low: np.ndarray, n: np.nd
 
     A trade counts once however many match: with the first of the other wallet's trades that do, told by the trade before it.
     """
-    q = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+    q = pieces.places(low, n)
     p = np.repeat(rows, n)
     if a is b:
         up = b.wallet[q] > a.wallet[p]
@@ -126,17 +117,7 @@ def _counted(a: _Trades, b: _Trades, rows: np.ndarray, low: np.ndarray, n: np.nd
     code = (a.wallet[p] * len(b.wallets) + b.wallet[q]) * 4
     code += (b.before[q] < a.at[p] - within) * 2 + (a.before[p] < b.at[q] - within)
     code.sort()
-    return _summed(code >> 2, code >> 1 & 1, code & 1, in_order=True)
-
-
-def _summed(pair: np.ndarray, hits_a: np.ndarray, hits_b: np.ndarray, in_order: bool = False):
-    if not in_order:
-        order = np.argsort(pair, kind="stable")
-        pair, hits_a, hits_b = pair[order], hits_a[order], hits_b[order]
-    starts = np.flatnonzero(np.diff(pair, prepend=-1))
-    if not len(starts):
-        return pair, hits_a, hits_b
-    return pair[starts], np.add.reduceat(hits_a, starts), np.add.reduceat(hits_b, starts)
+    return pieces.summed(code >> 2, code >> 1 & 1, code & 1, in_order=True)
 
 
 def _batches(a: _Trades, b: _Trades, pair: np.ndarray, hits_a: np.ndarray, hits_b: np.ndarray, rows: int = 65_536) -> Iterator[pa.RecordBatch]:

@@ -277,14 +277,14 @@ CREATED_DAYS = 30
 
 
 def _sybil_pairs(spark, sf):
-    f = t.fills(spark, sf)
+    graph.shared_checkpoints(spark)
+    p = graph.shared_pairs(t.fills(spark, sf).select("wallet", "market"), "wallet", "market", 4).checkpoint()
+    f = t.fills(spark, sf, p.select(F.explode(F.array("a", "b")).alias("wallet")).distinct())
     days = F.array(*[F.count_if(F.floor(F.col("ts_ms") / t.DAY) % 7 == k) for k in range(7)])
     w = f.groupBy("wallet").agg(
         F.count("*").alias("n"), F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"), F.avg("usd").alias("size"), F.avg("price").alias("price"), F.avg(F.col("win").cast("double")).alias("wins"),
         F.countDistinct("market").alias("markets"), days.alias("days"), F.collect_set(F.when(F.col("usd") >= DEPOSIT_USD, F.col("counterparty"))).alias("sources"),
     )
-    graph.shared_checkpoints(spark)
-    p = graph.shared_pairs(f.select("wallet", "market").distinct().checkpoint(), "wallet", "market", 4)
     side = lambda x: w.select(*[F.col(c).alias(x if c == "wallet" else f"{c}_{x}") for c in w.columns])
     j = p.join(side("a"), "a").join(side("b"), "b")
     both = lambda c, most: alike(F.col(f"{c}_a"), F.col(f"{c}_b"), most)
